@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphledger.llm.common import table
 from graphledger.llm.substring_dedup import substring_dedup
+from graphledger.llm.suffix_dedup import suffix_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
 }
 
 ORACLE = {
