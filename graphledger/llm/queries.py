@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphledger.llm.common import table
+from graphledger.llm.ngram_jaccard import ngram_jaccard
 from graphledger.llm.substring_dedup import substring_dedup
 from graphledger.llm.suffix_dedup import suffix_dedup
+from graphledger.llm.token_binary import token_binary
+from graphledger.llm.token_counts import token_counts
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +21,24 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op6_token_binary": op6_token_binary,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 ORACLE = {
