@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks of documents, and buckets of keys, for each shuffle partition: enough to even out their sizes.
-PER_PARTITION = 4
+#: Blocks of documents for each shuffle partition. Blocks times buckets is the number of payloads.
+BLOCKS_PER_PARTITION = 2
 
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(spark: SparkSession) -> int:
-    """How many blocks or buckets to deal out; it follows the cluster's partition count."""
-    return width(spark) * PER_PARTITION
+def block_count(spark: SparkSession) -> int:
+    return width(spark) * BLOCKS_PER_PARTITION
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """How many buckets keys are dealt into; it follows the cluster's partition count."""
+    return width(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +34,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def block_of(spark: SparkSession, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(pieces(spark))).cast("int")
-
-
-def blocked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Documents dealt into blocks by id. The same exchange serves every pass over them in one plan."""
-    return texts(docs).withColumn("block", block_of(spark, "doc_id")).repartition(width(spark), "block")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's spark.checkpoint.dir; only where that is unset, a local one of our own."""
     context = spark.sparkContext

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import blocked, pieces
+from graphledger.llm.blocks import blocked, opened
+from graphledger.llm.common import bucket_count
 
 Key = tuple[pa.Scalar, ...]
 KEY_BITS = 38
@@ -50,17 +51,16 @@ class _Words:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.first = A.word_spans(buf, offsets)
-        self.buf = buf
+        self.buf, self.offsets = buf, offsets
 
     def hashes(self, which: int) -> np.ndarray:
         return A.span_hashes(self.buf, self.starts, self.ends, which)
 
 
 def _documents(table: pa.Table):
-    ids = A.ids_of(table["doc_id"])
-    buf, offsets = A.text_bytes(table["text"])
+    ids, buf, offsets = opened(table)
     for i, j in A.runs(offsets):
-        yield ids[i:j], _Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), (i, j)
+        yield ids[i:j], _Words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _probe(buckets: int, width: int):
@@ -68,7 +68,7 @@ def _probe(buckets: int, width: int):
 
     def run(key: Key, table: pa.Table) -> pa.Table:
         found = []
-        for _, words, _ in _documents(table):
+        for _, words in _documents(table):
             at = A.whole_windows(words.first, width)
             if not len(at):
                 continue
@@ -125,7 +125,7 @@ def _extend(buckets: int, width: int, window: int):
             return _table(PASSAGE_SCHEMA, [])
         hits, anchors = _hits(replies)
         found = []
-        for ids, words, _ in _documents(table):
+        for ids, words in _documents(table):
             at = A.whole_windows(words.first, window)
             if not len(at):
                 continue
@@ -216,13 +216,12 @@ def _remove(window: int, with_text: bool):
         order = np.argsort(far, kind="stable")
         far, far_second, far_ids = far[order], far_second[order], far_ids[order]
         parts = []  # the passages of the whole block, to find the smallest id in it
-        for ids, words, span in _documents(table):
+        for ids, words in _documents(table):
             at = A.whole_windows(words.first, window)
-            parts.append((ids, words, span, at, A.rolling(words.hashes(0), window)[at], A.rolling(words.hashes(1), window, 1)[at] & A.U64(0xFFFFFFFF)))
-            words.buf = None
-        holders = [ids[A.owners(w.first, at)] for ids, w, _, at, _, _ in parts]
-        first = np.concatenate([p[4] for p in parts] or [np.empty(0, np.uint64)])
-        second = np.concatenate([p[5] for p in parts] or [np.empty(0, np.uint64)])
+            parts.append((ids, words, at, A.rolling(words.hashes(0), window)[at], A.rolling(words.hashes(1), window, 1)[at] & A.U64(0xFFFFFFFF)))
+        holders = [ids[A.owners(w.first, at)] for ids, w, at, _, _ in parts]
+        first = np.concatenate([p[3] for p in parts] or [np.empty(0, np.uint64)])
+        second = np.concatenate([p[4] for p in parts] or [np.empty(0, np.uint64)])
         holder = np.concatenate(holders or [np.empty(0, np.int64)])
         order = np.lexsort((holder, second, first)) if _repeats(first) else None
         least = holder.copy()
@@ -237,13 +236,13 @@ def _remove(window: int, with_text: bool):
                 least = np.where(same, np.minimum(least, far_ids[inside]), least)
                 place = place + 1
         gone = least < holder
-        texts, rows, done = table["text"], [], 0
-        for ids, words, (i, j), at, _, _ in parts:
+        rows, done = [], 0
+        for ids, words, at, _, _ in parts:
             mask = A.covered(at[gone[done : done + len(at)]], window, int(words.first[-1]))
             done += len(at)
-            for k in range(j - i):
+            for k in range(len(ids)):
                 own = mask[words.first[k] : words.first[k + 1]]
-                pieces_ = texts[i + k].as_py().encode().split()
+                pieces_ = words.buf[words.offsets[k] : words.offsets[k + 1]].tobytes().split()
                 removed = int(own.sum())
                 kept = b" ".join(compress(pieces_, ~own) if removed else pieces_)
                 spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if removed else 0
@@ -300,9 +299,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     if window < 1:
         raise ValueError("window must be at least 1")
     spark = docs.sparkSession
-    buckets = pieces(spark)
+    buckets = bucket_count(spark)
     block_words = (window + 1) // 2
-    dealt = blocked(spark, docs)
+    dealt = blocked(docs)
     replies = dealt.groupBy("block").applyInArrow(_probe(buckets, block_words), PROBE).groupBy("bucket").applyInArrow(_match, PROBE)
     passages = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_extend(buckets, block_words, window), PASSAGES)
     settled = passages.groupBy("bucket").applyInArrow(_settle, PASSAGES)
