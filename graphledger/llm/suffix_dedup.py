@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import blocked, pieces
+from graphledger.llm.blocks import blocked, opened
+from graphledger.llm.common import bucket_count
 
 Key = tuple[pa.Scalar, ...]
 KEY_BITS = 38
@@ -40,6 +41,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 CLASS_SIZE = (1, 4, 32, 256)
 CLASS_FROM = (1, 2, 8, 64)
 HOT = 2048
+#: Text of a bucket that one suffix array takes at most, but for what one anchor gathers.
+SHARE_BYTES = 1 << 20
 
 KEYS = "bucket int, block int, kind int, keys binary"
 KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
@@ -90,7 +93,7 @@ def _probe(buckets: int, length: int):
     """The anchors of a block of documents, with a class for how many documents hold each."""
 
     def run(key: Key, table: pa.Table) -> pa.Table:
-        buf, offsets = A.text_bytes(table["text"])
+        _, buf, offsets = opened(table)
         found = []
         for i, j in A.runs(offsets, A.RUN_BYTES // 2):
             r = Runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
@@ -147,8 +150,7 @@ class Strings:
     """
 
     def __init__(self, table: pa.Table, replies: pa.Table, buckets: int, length: int):
-        self.buf, self.offsets = A.text_bytes(table["text"])
-        self.ids = A.ids_of(table["doc_id"])
+        self.ids, self.buf, self.offsets = opened(table)
         bucket = np.repeat(replies["bucket"].to_numpy().astype(np.uint64), [len(x) // 5 for x in replies["keys"].to_pylist()])
         packed = A.widen(b"".join(replies["keys"].to_pylist()), 5)
         known = (bucket << A.U64(KEY_BITS)) | (packed >> A.U64(1))
@@ -196,7 +198,7 @@ def _send(buckets: int, length: int):
         block, rows = key[0].as_py(), []
         for b, i, j in A.rows_by(bucket[order]):
             own = order[i:j]
-            head = np.stack((own, s.count[own], s.least[own])).astype("<i8").tobytes()
+            head = np.stack((own, s.count[own], s.least[own], (s.target[own] // A.U64(buckets)).astype(np.int64))).astype("<i8").tobytes()
             size = s.count[own] + length - 1
             at = np.repeat(s.text_at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             rows.append((b, block, len(own), packer.compress(head + s.buf[at].tobytes())))
@@ -282,56 +284,73 @@ def _settle(length: int):
     """A suffix array over one bucket's distinct strings; tells each block which windows have a smaller holder."""
 
     def run(key: Key, table: pa.Table) -> pa.Table:
-        block, number, count, holder, texts = [], [], [], [], []
+        block, heads, texts = [], [], []
         for b, n, payload in zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["keys"].to_pylist()):
-            raw = zstandard.ZstdDecompressor().decompress(payload)
-            head = np.frombuffer(raw, "<i8", 3 * n).reshape(3, n)
+            raw = zstandard.decompress(payload)
             block.append(np.full(n, b))
-            number.append(head[0]), count.append(head[1]), holder.append(head[2])
-            texts.append(np.frombuffer(raw, np.uint8, offset=24 * n))
-        block, number, count, holder = (np.concatenate(x) for x in (block, number, count, holder))
-        raw = np.concatenate(texts)
+            heads.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
+            texts.append(np.frombuffer(raw, np.uint8, offset=32 * n))
+        block, raw = np.concatenate(block), np.concatenate(texts)
+        number, count, holder, target = np.concatenate(heads, axis=1)
         size = count + length - 1
         start = np.cumsum(size) - size
-        one, two = (A.span_hashes(raw, start, start + size, k) for k in (0, 1))
-        order = np.lexsort((holder, two, one))
-        begin = np.flatnonzero(np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))))
-        same = np.empty(len(order), np.int64)
-        same[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-        lead = order[begin]  # each distinct string once, with its smallest holder
-        u_size, u_count, u_holder = size[lead], count[lead], holder[lead]
-        u_start = np.cumsum(u_size + 1) - u_size - 1
-        text = np.zeros(int(u_size.sum()) + len(lead) + length + 16, np.uint8)
-        text[A_range(u_start, u_size)] = raw[A_range(start[lead], u_size)]
-        suffixes, words = suffix_order(text, length)
-        owner = np.full(len(text), -1, np.int64)
-        owner[A_range(u_start, u_count)] = np.repeat(np.arange(len(lead)), u_count)
-        suffixes = suffixes[owner[suffixes] >= 0]  # those that a whole window starts
-        shared = adjacent_prefixes(words, suffixes, length)
-        begin = np.flatnonzero(shared < length)
-        least = np.minimum.reduceat(u_holder[owner[suffixes]], begin) if len(begin) else u_holder[:0]
-        at = np.empty(len(text), np.int64)
-        at[suffixes] = np.repeat(least, np.diff(np.append(begin, len(suffixes))))
-        rows, bucket = [], key[0].as_py()
-        by = np.argsort(block, kind="stable")
-        for b, i, j in A.rows_by(block[by]):
-            own = by[i:j]
-            windows = A_range(u_start[same[own]], count[own])
-            best, mine = at[windows], np.repeat(holder[own], count[own])
-            place = A_range(np.zeros(len(own), np.int64), count[own])
-            what = np.repeat(number[own], count[own])
-            tell = best < mine
-            best, place, what = best[tell], place[tell], what[tell]
-            if not len(best):
-                continue
-            new = np.flatnonzero(np.concatenate(([True], (what[1:] != what[:-1]) | (best[1:] != best[:-1]) | (place[1:] != place[:-1] + 1))))
-            long = np.diff(np.append(new, len(best)))
-            rows.append((bucket, b, len(new), zstandard.compress(np.stack((what[new], place[new], long, best[new])).astype("<i8").tobytes(), 1)))
-        return _rows([(b, k, 1, n.to_bytes(8, "little") + x) for b, k, n, x in rows])
+        # Equal windows have equal targets, so a large bucket is worked through in shares of targets.
+        share = target % max(1, -(-len(raw) // SHARE_BYTES))
+        order = np.argsort(share, kind="stable")
+        told = []
+        for _, i, j in A.rows_by(share[order]):
+            own = order[i:j]
+            text = raw[A_range(start[own], size[own])]
+            told.extend(_smaller_holders(text, block[own], number[own], count[own], holder[own], length))
+        bucket = key[0].as_py()
+        return _rows([(bucket, b, 1, n.to_bytes(8, "little") + zstandard.compress(x, 1)) for b, n, x in _by_block(told)])
 
     return run
 
 
+def _by_block(told: list[tuple[int, np.ndarray]]):
+    blocks = np.array([b for b, _ in told])
+    for b in np.unique(blocks):
+        joined = np.concatenate([x for c, x in told if c == b], axis=1)
+        yield int(b), joined.shape[1], joined.astype("<i8").tobytes()
+
+
+def _smaller_holders(raw: np.ndarray, block: np.ndarray, number: np.ndarray, count: np.ndarray, holder: np.ndarray, length: int):
+    """For each block: string, first window, windows and smallest holder, where that is smaller than the string's own."""
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    one, two = (A.span_hashes(raw, start, start + size, k) for k in (0, 1))
+    order = np.lexsort((holder, two, one))
+    begin = np.flatnonzero(np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))))
+    same = np.empty(len(order), np.int64)
+    same[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    lead = order[begin]  # each distinct string once, with its smallest holder
+    u_size, u_count, u_holder = size[lead], count[lead], holder[lead]
+    u_start = np.cumsum(u_size + 1) - u_size - 1
+    text = np.zeros(int(u_size.sum()) + len(lead) + length + 16, np.uint8)
+    text[A_range(u_start, u_size)] = raw[A_range(start[lead], u_size)]
+    suffixes, words = suffix_order(text, length)
+    owner = np.full(len(text), -1, np.int32)
+    owner[A_range(u_start, u_count)] = np.repeat(np.arange(len(lead)), u_count)
+    suffixes = suffixes[owner[suffixes] >= 0]  # those that a whole window starts
+    shared = adjacent_prefixes(words, suffixes, length)
+    begin = np.flatnonzero(shared < length)
+    least = np.minimum.reduceat(u_holder[owner[suffixes]], begin)
+    at = np.empty(len(text), np.int64)
+    at[suffixes] = np.repeat(least, np.diff(np.append(begin, len(suffixes))))
+    by = np.argsort(block, kind="stable")
+    for b, i, j in A.rows_by(block[by]):
+        own = by[i:j]
+        best, mine = at[A_range(u_start[same[own]], count[own])], np.repeat(holder[own], count[own])
+        place = A_range(np.zeros(len(own), np.int64), count[own])
+        what = np.repeat(number[own], count[own])
+        tell = best < mine
+        best, place, what = best[tell], place[tell], what[tell]
+        if len(best):
+            new = np.flatnonzero(np.concatenate(([True], (what[1:] != what[:-1]) | (best[1:] != best[:-1]) | (place[1:] != place[:-1] + 1))))
+            yield b, np.stack((what[new], place[new], np.diff(np.append(new, len(best))), best[new]))
+
+
 def A_range(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ..., size[0] of them, then the same for the next."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -382,8 +401,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_kept: bool = False, hot
     if length < 16:
         raise ValueError("length must be at least 16 bytes")
     spark = docs.sparkSession
-    buckets = pieces(spark)
-    dealt = blocked(spark, docs)
+    buckets = bucket_count(spark)
+    dealt = blocked(docs)
     anchors = dealt.groupBy("block").applyInArrow(_probe(buckets, length), KEYS).groupBy("bucket").applyInArrow(_match(hot), KEYS)
     strings = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_send(buckets, length), KEYS)
     settled = strings.groupBy("bucket").applyInArrow(_settle(length), KEYS)
