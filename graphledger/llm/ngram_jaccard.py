@@ -27,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import pieces, texts, written
+from graphledger.llm import tallies
+from graphledger.llm.common import bucket_count, texts, written
 from graphledger.llm.components import connected_components
 
 Key = tuple[pa.Scalar, ...]
-#: Cells of the frequency table, and in how many slices it is summed.
-CELLS, SLICES = 1 << 18, 16
+#: Cells of the frequency table.
+CELLS = 1 << 22
+#: Up to so many ids (8 MB) a set of wanted documents goes to every executor; beyond, texts are shuffled to it.
+FEW_IDS = 1 << 20
 #: Bits of a shingle's hash below its rarity class.
 BITS = 58
 #: A prefix token is kept to this many bytes while lists are matched; sets are verified in full.
@@ -83,35 +85,15 @@ def _tally(words: int):
                 hashes, _ = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 counts += np.bincount(_cell(hashes), minlength=CELLS)
         if counts.any():
-            packed = [zstandard.compress(x.astype("<u4").tobytes() if x.max() < 1 << 32 else x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+            yield tallies.packed(counts)
 
     return run
 
 
-def _unpack(payload: bytes) -> np.ndarray:
-    raw = zstandard.decompress(payload)
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * CELLS // SLICES else "<i8").astype(np.int64)
-
-
-def _add(key: Key, table: pa.Table) -> pa.Table:
-    total = np.zeros(CELLS // SLICES, np.int64)
-    for payload in table["counts"]:
-        total += _unpack(payload.as_py())
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=["slice", "counts"])
-
-
 def rarity(docs: DataFrame, words: int) -> np.ndarray:
     """A class for each cell of the frequency table: half powers of two of the count. Its size is fixed."""
-    schema = "slice int, counts binary"
-    spread = docs.select("text").mapInArrow(_tally(words), schema)
-    # Slices are summed in two steps, so that no task meets a table of every task.
-    mixed = spread.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int"))
-    partly = mixed.groupBy("slice", "part").applyInArrow(_add, schema)
-    counts = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for row in partly.groupBy("slice").applyInArrow(_add, schema).collect():
-        counts[row["slice"]] = _unpack(row["counts"])
-    return np.minimum(2 * np.log2(counts.reshape(-1) + 1), 63).astype(np.uint8)
+    counts = tallies.summed(docs.select("text").mapInArrow(_tally(words), tallies.SCHEMA), CELLS)
+    return np.minimum(2 * np.log2(counts + 1), 63).astype(np.uint8)
 
 
 def _sets(batch: pa.RecordBatch, words: int, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -240,7 +222,7 @@ def ngram_jaccard(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     if words < 1 or not 0 < percent <= 100:
         raise ValueError("words must be at least 1, percent from 1 to 100")
     spark = docs.sparkSession
-    buckets = pieces(spark)
+    buckets = bucket_count(spark)
     whole = texts(docs)
     classes = rarity(whole, words)
     base = written(whole.mapInArrow(_prefixes(words, percent, classes), "doc_id long, n long, s1 long, s2 long, pkey long, prefix binary"))
@@ -275,11 +257,16 @@ def _closeness(percent: int):
     return near
 
 
+def _chosen(whole: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents with a wanted id."""
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
+    return whole.join(wanted, whole.doc_id == wanted.rep, "left_semi")
+
+
 def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, classes: np.ndarray) -> DataFrame:
     """Links that connect all sets which similar pairs in the lists connect; see the module's text."""
-    wanted = lists.select("rep").distinct()
-    sets = written(whole.join(wanted, whole.doc_id == wanted.rep, "left_semi").mapInArrow(_whole_sets(words, classes), "rep long, shingles binary"))
-    links = tested = None
+    links = tested = sets = None
     left, share = lists.withColumn("component", F.col("rep")), 1
     while True:
         centers = left.groupBy("token", "own", F.pmod(F.xxhash64("rep"), F.lit(share)).alias("part")).agg(F.min(F.struct("rep", "n", "pos", "component")).alias("c")).select("token", "own", "c.*")
@@ -290,6 +277,11 @@ def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, c
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
+        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
+        more = written(_chosen(whole, written(wanted)).mapInArrow(_whole_sets(words, classes), "rep long, shingles binary"))
+        sets = more if sets is None else sets.unionByName(more)
         seen = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set")), "b")
         seen = seen.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set")), "a").select("a", "b", "left_set", "right_set")
         found = written(seen.mapInArrow(_verify(percent), "a long, b long").distinct())
