@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphledger.llm import mixing, toxicity, url_filter
 from graphledger.llm.common import table
+from graphledger.llm.decontamination import contaminated
+from graphledger.llm.exact_topk import exact_topk
 from graphledger.llm.ngram_jaccard import ngram_jaccard
 from graphledger.llm.substring_dedup import substring_dedup
 from graphledger.llm.suffix_dedup import suffix_dedup
@@ -33,12 +37,45 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, threshold=0.5)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), seed=17, with_copy=True)
+
+
+#: The rules of the query's contract.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), good).alias("good"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), outcomes, URL_RULES, threshold=0.5)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
-    "op4_suffix_dedup": op4_suffix_dedup,
+    "op2_exact_topk": op2_exact_topk,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_token_binary": op6_token_binary,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE = {
@@ -68,5 +105,92 @@ WITH words AS (
 SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
 FROM words LEFT JOIN each USING (doc_id)
+""",
+    "op2_exact_topk": """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op8_mixing": """
+WITH counts AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), rated AS (
+  SELECT source, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM counts) * (SELECT sum(n)::DOUBLE FROM counts) / n AS rate FROM counts
+), terms AS (
+  SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rated
+), facts AS (
+  SELECT *, sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS log_factorial FROM terms
+), cdf AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - log_factorial)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS below FROM facts
+), drawn AS (
+  SELECT d.doc_id, count(*) AS copies
+  FROM documents d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source
+  WHERE cdf.below < ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+  GROUP BY d.doc_id
+)
+SELECT d.*, unnest(range(1, copies + 1))::INTEGER AS copy FROM documents d JOIN drawn USING (doc_id)
+""",
+    "op10_url_filter": """
+WITH rests AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path
+  FROM rests
+), known AS (
+  SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good
+  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k, string_split(host, '.') AS l
+  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host
+), cut AS (
+  SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 3 ELSE least(len(l), 2) END AS keep FROM hosts
+), named AS (
+  SELECT host, n, k, array_to_string(l[len(l) - keep + 1:], '.') AS domain,
+    CASE WHEN len(l) = 1 THEN host ELSE array_to_string(l[len(l) - keep + 2:], '.') END AS suffix
+  FROM cut
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM named GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL
+), levels AS (
+  SELECT 'h' AS level, n, k FROM named UNION ALL SELECT 'd', n, k FROM domains UNION ALL SELECT 's', n, k FROM suffixes
+), sums AS (
+  SELECT level, count(*) AS g, sum(n) AS t, sum(k) AS s, sum(n * n) AS q, sum(k * k / n) AS r FROM levels WHERE n > 0 GROUP BY level
+), parts AS (
+  SELECT *, (s - r) / nullif(t - g, 0) AS within, (r - s * s / t) / nullif(g - 1, 0) AS between_, (t - q / t) / nullif(g - 1, 0) AS size FROM sums
+), shares AS (
+  SELECT *, (between_ - within) / (between_ + (size - 1) * within) AS share FROM parts
+), pulls AS (
+  SELECT l.level, CASE WHEN g > 1 AND t > g AND share > 0 THEN least(greatest((1 - share) / share, 2.0), 200.0) ELSE 200.0 END AS pull
+  FROM (VALUES ('h'), ('d'), ('s')) l(level) LEFT JOIN shares USING (level)
+), means AS (
+  SELECT suffix, (k + p.pull * ((SELECT sum(k) FROM suffixes) + 1.0) / ((SELECT sum(n) FROM suffixes) + 2.0)) / (n + p.pull) AS mean_s
+  FROM suffixes, pulls p WHERE p.level = 's'
+), middle AS (
+  SELECT domain, d.suffix, (k + p.pull * mean_s) / (n + p.pull) AS mean_d
+  FROM domains d JOIN means ON d.suffix = means.suffix, pulls p WHERE p.level = 'd'
+), ab AS (
+  SELECT host, k + p.pull * mean_d AS a, n - k + p.pull * (1 - mean_d) AS b
+  FROM named h JOIN middle m ON h.domain = m.domain AND h.suffix = m.suffix, pulls p WHERE p.level = 'h'
+), bounds AS (
+  SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT DISTINCT ON (host, path) host, path, rule_host || rule_path AS rule, verdict
+  FROM (SELECT DISTINCT host, path FROM parsed) p JOIN rules ON suffix('.' || host, '.' || rule_host) AND prefix(path, rule_path)
+  ORDER BY host, path, length(rule_host || rule_path) DESC, rule
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+FROM parsed p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path LEFT JOIN bounds b ON p.host = b.host
 """,
 }

@@ -77,7 +77,7 @@ def _marked(samples: Sequence[bytes], grams: set[bytes], size: int) -> bytes:
 
 def _set_apart(mine: Counter, n: int, other: Counter, m: int) -> set[bytes]:
     """Grams of clearly more of this class's texts: at least twelve times the share, and in too many texts for chance."""
-    least = max(3, min(15, n // 20), n // 100)
+    least = max(3, n // 25)
     return {g for g, c in mine.items() if c >= least and c * (m + 1) >= 12 * (other.get(g, 0) + 1) * n}
 
 
@@ -151,15 +151,16 @@ def _dictionaries(samples: Sequence[bytes], toxic: np.ndarray) -> tuple[bytes, b
 
 
 def fit(samples: Sequence[bytes], toxic: Sequence[bool], share: float) -> Model:
-    """Trains on whole texts. Dictionaries of one half are calibrated on the other; those of all texts then score."""
+    """Trains on whole texts: two thirds make the dictionaries, the rest calibrates what these show."""
     flags = np.array(toxic, bool)
-    half = np.arange(len(flags)) % 2 == 0
-    rest = np.flatnonzero(~half)
+    learn = np.arange(len(flags)) % 3 != 0
+    rest = np.flatnonzero(~learn)
+    toxic_dictionary, ordinary = _dictionaries([samples[i] for i in np.flatnonzero(learn)], flags[learn])
     weights = (0.0, 0.0, 0.0, 0.0, -10.0)
     if len(rest):
-        scorer = Scorer(*_dictionaries([samples[i] for i in np.flatnonzero(half)], flags[half]))
+        scorer = Scorer(toxic_dictionary, ordinary)
         weights = _calibrated(np.array([scorer.wins(samples[i]) for i in rest], float).reshape(-1, 4), flags[rest], share)
-    return Model(*_dictionaries(samples, flags), weights)
+    return Model(toxic_dictionary, ordinary, weights)
 
 
 def held_out() -> F.Column:
