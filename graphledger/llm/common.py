@@ -34,6 +34,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: Up to so many ids (8 MB) a set of ids goes to every executor; beyond, the texts are shuffled to it.
+FEW_IDS = 1 << 20
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The documents, with all their columns, whose doc_id is (left_semi) or is not (left_anti) among ids' doc_id."""
+    ids = written(ids.select("doc_id").distinct())
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", how).select(docs.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's spark.checkpoint.dir; only where that is unset, a local one of our own."""
     context = spark.sparkContext

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import texts
+from graphledger.llm.common import by_ids, texts
 
 #: Bytes of benchmark text in one part.
 PART_BYTES = 32 << 20
@@ -143,6 +143,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that cover no item; null doc_ids are judged by their text's copies alone and kept."""
-    hits = contaminated(docs, benchmark, min_match, threshold).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    """The documents, with all their columns, that cover no item. Rows with a null doc_id stay."""
+    return by_ids(docs, contaminated(docs, benchmark, min_match, threshold), "left_anti")

@@ -32,14 +32,12 @@ from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
 from graphledger.llm import tallies
-from graphledger.llm.common import bucket_count, texts, written
+from graphledger.llm.common import bucket_count, by_ids, texts, written
 from graphledger.llm.components import connected_components
 
 Key = tuple[pa.Scalar, ...]
 #: Cells of the frequency table.
 CELLS = 1 << 22
-#: Up to so many ids (8 MB) a set of wanted documents goes to every executor; beyond, texts are shuffled to it.
-FEW_IDS = 1 << 20
 #: Bits of a shingle's hash below its rarity class.
 BITS = 58
 #: A prefix token is kept to this many bytes while lists are matched; sets are verified in full.
@@ -78,12 +76,18 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 def _tally(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts, held, size = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             buf, offsets = A.text_bytes(batch.column("text"))
             for i, j in A.runs(offsets):
                 hashes, _ = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                counts += np.bincount(_cell(hashes), minlength=CELLS)
+                held.append(_cell(hashes).astype(np.int32))
+                size += len(hashes)
+                if size > CELLS // 2:
+                    counts += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=CELLS)
         if counts.any():
             yield tallies.packed(counts)
 
@@ -257,13 +261,6 @@ def _closeness(percent: int):
     return near
 
 
-def _chosen(whole: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents with a wanted id."""
-    if wanted.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
-    return whole.join(wanted, whole.doc_id == wanted.rep, "left_semi")
-
-
 def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, classes: np.ndarray) -> DataFrame:
     """Links that connect all sets which similar pairs in the lists connect; see the module's text."""
     links = tested = sets = None
@@ -280,7 +277,7 @@ def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, c
         wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
-        more = written(_chosen(whole, written(wanted)).mapInArrow(_whole_sets(words, classes), "rep long, shingles binary"))
+        more = written(by_ids(whole, wanted.withColumnRenamed("rep", "doc_id"), "left_semi").mapInArrow(_whole_sets(words, classes), "rep long, shingles binary"))
         sets = more if sets is None else sets.unionByName(more)
         seen = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set")), "b")
         seen = seen.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set")), "a").select("a", "b", "left_set", "right_set")
@@ -296,3 +293,9 @@ def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, c
         if left.isEmpty():
             return links
         share *= 8
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, without those that links lead to a smaller doc_id from. Null doc_ids stay."""
+    judged = ngram_jaccard(docs, words, percent)
+    return by_ids(docs, judged.where("doc_id <> component_id"), "left_anti")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphledger.llm import arrays as A
 from graphledger.llm.common import texts
@@ -205,6 +206,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, with all their columns, whose text does not score as toxic."""
     names = [c for c in docs.columns if c != "text"]
     carried = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.col("text").alias("text_as_it_is"), *names).alias("row"))
-    schema = carried.schema.add("score", "double")
+    schema = T.StructType([*carried.schema.fields, T.StructField("score", T.DoubleType())])
     kept = carried.mapInArrow(_score(model), schema).where("score < 0.5")
     return kept.select(*(F.col("row.text_as_it_is").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
