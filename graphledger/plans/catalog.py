@@ -2,5 +2,497 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphledger.functions import exprs
+from graphledger.operators import calls, diff, graph, imports, linker, metrics, reconcile, surfaces, traverse
+from graphledger.plans.projections import call_graph, event_graph, frame, import_graph, page_graph, with_oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return function
+
+    return register
+
+
+IMPORTS = with_oracle("import_entities", "import_facts") + """, edges AS (
+  SELECT f.*, s.module AS s_display, coalesce(o.module, o.name) AS o_display, o.name AS o_name, o.module AS o_module, o.kind AS o_kind,
+    f.canonical_status = 'canonical' AND s.canonical_status = 'canonical' AND o.canonical_status = 'canonical' AS sure
+  FROM import_facts f JOIN import_entities s ON f.subject_id = s.entity_id JOIN import_entities o ON f.object_id = o.entity_id)
+"""
+MATCH = "lower('{q}') IN (coalesce(lower(o_name), ''), coalesce(lower(o_module), ''), lower(import_root), lower(distribution_name))"
+CALLS = with_oracle("call_edges", "symbols")
+#: Names that stand for one and for several packages of the import graph.
+BRAND = "Brand#11"
+
+
+@query("q01_summary", with_oracle("import_entities", "import_facts") + """
+SELECT 'kind' AS section, kind AS name, count(*) AS n FROM import_entities GROUP BY kind
+UNION ALL SELECT 'predicate', predicate, count(*) FROM import_facts GROUP BY predicate""")
+def summary(spark, sf):
+    return graph.summary(import_graph(spark, sf))
+
+
+FIRST = "(SELECT min(CAST(substr(src, 2) AS BIGINT)) FROM call_edges)"
+
+
+def _first_user(spark, sf) -> str:
+    return frame(spark, sf, "call_edges").agg(F.min(F.expr("CAST(substr(src, 2) AS long)"))).first()[0]
+
+
+@query("q02_find_callers", CALLS + f"""
+SELECT concat(src, '>', dst) AS fact_id, concat(s.module, '.', s.qualname) AS caller, concat(o.module, '.', o.qualname) AS callee, CAST(substr(src, 2) AS BIGINT) * 1000000 + CAST(substr(dst, 2) AS BIGINT) AS ord
+FROM call_edges JOIN symbols s ON src = s.entity_id JOIN symbols o ON dst = o.entity_id WHERE dst = concat('u', {FIRST}) ORDER BY ord LIMIT 25""")
+def find_callers(spark, sf):
+    return calls.find_callers(call_graph(spark, sf), f"fn{_first_user(spark, sf)}")
+
+
+@query("q03_find_callees", CALLS + f"""
+SELECT concat(src, '>', dst) AS fact_id, concat(s.module, '.', s.qualname) AS caller, concat(o.module, '.', o.qualname) AS callee, CAST(substr(src, 2) AS BIGINT) * 1000000 + CAST(substr(dst, 2) AS BIGINT) AS ord
+FROM call_edges JOIN symbols s ON src = s.entity_id JOIN symbols o ON dst = o.entity_id WHERE src = concat('u', {FIRST}) ORDER BY ord LIMIT 25""")
+def find_callees(spark, sf):
+    return calls.find_callees(call_graph(spark, sf), f"fn{_first_user(spark, sf)}")
+
+
+def _walk(depth: int, back: bool = False) -> str:
+    a, b = ("dst", "src") if back else ("src", "dst")
+    return CALLS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", walk AS (
+  SELECT concat('u', {FIRST}) AS node, 0 AS depth
+  UNION SELECT {b}, depth + 1 FROM walk JOIN call_edges ON node = {a} WHERE depth < {depth}), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+
+
+def _root(spark, sf) -> DataFrame:
+    return calls.resolved(call_graph(spark, sf), f"fn{_first_user(spark, sf)}", None, None, False)
+
+
+@query("q04_blast_radius", _walk(1) + """
+SELECT src, dst, depth + 1 AS depth, CAST(substr(src, 2) AS BIGINT) * 1000000 + CAST(substr(dst, 2) AS BIGINT) AS ord FROM least JOIN call_edges ON node = src""")
+def blast_radius(spark, sf):
+    return traverse.blast_radius(traverse.call_edges(call_graph(spark, sf)), _root(spark, sf), depth=2)
+
+
+@query("q05_reverse_impact", _walk(3, back=True) + """
+SELECT node, depth, CASE depth WHEN 1 THEN 'direct' WHEN 2 THEN 'near' ELSE 'far' END AS tier FROM least WHERE depth > 0""")
+def reverse_impact(spark, sf):
+    return traverse.reverse_impact(traverse.call_edges(call_graph(spark, sf)), _root(spark, sf), depth=3)
+
+
+@query("q06_modules_importing", IMPORTS + f"""
+SELECT fact_id, s_display AS module, o_display AS package, category, ord FROM edges WHERE {MATCH.format(q=BRAND)} ORDER BY ord, fact_id LIMIT 25""")
+def modules_importing(spark, sf):
+    return imports.modules_importing(import_graph(spark, sf), BRAND)
+
+
+@query("q07_top_dependencies", IMPORTS + """
+SELECT o_name AS name, min_by(category, (ord, fact_id)) AS category, count(*) AS importer_count FROM edges
+WHERE o_kind = 'ExternalPackage' AND category NOT IN ('stdlib', 'node_builtin', 'unknown') GROUP BY o_name ORDER BY importer_count DESC, name LIMIT 25""")
+def top_dependencies(spark, sf):
+    return imports.top_dependencies(import_graph(spark, sf))
+
+
+@query("q08_dependency_info", IMPORTS + f"""
+SELECT o_name AS name, max_by(category, (ord, fact_id)) AS category, max_by(import_root, (ord, fact_id)) AS import_root FROM edges WHERE {MATCH.format(q=BRAND)} AND o_kind = 'ExternalPackage' GROUP BY o_name""")
+def dependency_info(spark, sf):
+    return imports.dependency_info(import_graph(spark, sf), BRAND)
+
+
+MODULE = """, target AS (SELECT min(o_module) AS t FROM edges WHERE sure AND o_kind = 'CodeModule')"""
+
+
+def _module(spark, sf, last: bool = False) -> str:
+    rows = import_graph(spark, sf).edges("IMPORTS", only_canonical=True).where("o_kind = 'CodeModule'")
+    return rows.agg((F.max if last else F.min)("o_module")).first()[0]
+
+
+@query("q09_who_imports", IMPORTS + MODULE + """
+SELECT s_display AS module, fact_id FROM edges WHERE sure AND o_module = (SELECT t FROM target) ORDER BY s_display, ord, fact_id LIMIT 25""")
+def who_imports(spark, sf):
+    return imports.who_imports(import_graph(spark, sf), _module(spark, sf))
+
+
+@query("q09_who_imports_groups", IMPORTS + MODULE + """
+, cut AS (SELECT s_display FROM edges WHERE sure AND o_module = (SELECT t FROM target) ORDER BY s_display, ord, fact_id LIMIT 25)
+SELECT split_part(s_display, '.', 1) AS prefix, count(*) AS n FROM cut GROUP BY 1""")
+def who_imports_groups(spark, sf):
+    return imports.who_imports_groups(import_graph(spark, sf), _module(spark, sf), depth=1)
+
+
+@query("q10_top_internal_dependencies", IMPORTS + """
+SELECT o_display AS module, object_id, o_kind AS kind, count(DISTINCT s_display) AS importer_count, count(*) AS fact_count, min(s_display) AS first_sample FROM edges
+WHERE sure AND category IN ('internal_module', 'relative_internal_module') AND o_kind = 'CodeModule' GROUP BY ALL ORDER BY importer_count DESC, module, object_id LIMIT 25""")
+def top_internal_dependencies(spark, sf):
+    return imports.top_internal_dependencies(import_graph(spark, sf))
+
+
+@query("q11_top_fan_in_symbols", CALLS + """
+SELECT concat(o.module, '.', o.qualname) AS symbol, dst AS object_id, 'CodeSymbol' AS kind, count(DISTINCT src) AS caller_count, count(*) AS fact_count, min(concat(s.module, '.', s.qualname)) AS first_sample
+FROM call_edges JOIN symbols s ON src = s.entity_id JOIN symbols o ON dst = o.entity_id GROUP BY ALL ORDER BY caller_count DESC, symbol, object_id LIMIT 25""")
+def top_fan_in_symbols(spark, sf):
+    return imports.top_fan_in_symbols(call_graph(spark, sf))
+
+
+@query("q12_modules_importing_both", IMPORTS + """, ends AS (SELECT min(o_module) AS l, max(o_module) AS r FROM edges WHERE sure AND o_kind = 'CodeModule')
+SELECT DISTINCT a.s_display AS module, a.subject_id FROM edges a JOIN edges b ON a.subject_id = b.subject_id, ends
+WHERE a.sure AND b.sure AND a.o_module = l AND b.o_module = r ORDER BY module, subject_id LIMIT 25""")
+def modules_importing_both(spark, sf):
+    return imports.modules_importing_both(import_graph(spark, sf), _module(spark, sf), _module(spark, sf, last=True))
+
+
+@query("q13_dependency_path", with_oracle("geo_edges") + """
+SELECT concat(a.src, ' > ', a.dst, ' > ', b.dst) AS path, 2 AS hops FROM geo_edges a JOIN geo_edges b ON a.dst = b.src WHERE a.src = 'c1' AND b.dst = (SELECT max(b.dst) FROM geo_edges a JOIN geo_edges b ON a.dst = b.src WHERE a.src = 'c1')""")
+def dependency_path(spark, sf):
+    edges = frame(spark, sf, "geo_edges")
+    far = edges.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).where("a.src = 'c1'").agg(F.max("b.dst")).first()[0]
+    return traverse.dependency_paths(edges, "c1", far)
+
+
+def _links(spark, sf) -> graph.Graph:
+    rows = frame(spark, sf, "geo_edges").where("predicate = 'DEFINED_IN'")
+    facts = rows.selectExpr("fact_id", "'RESOLVES_TO_REPO' AS predicate", "src AS subject_id", "dst AS object_id", "dst AS consumer_repo", "src AS package_name")
+    ends = rows.selectExpr("src AS entity_id", "'ExternalPackage' AS kind", "src AS name").unionByName(rows.selectExpr("dst AS entity_id", "'Repo' AS kind", "dst AS name").distinct())
+    return graph.Graph.of(spark, ends, facts)
+
+
+@query("q14_cross_repo_links", with_oracle("geo_edges") + """
+SELECT dst AS consumer_repo, src AS package_name, 'RESOLVES_TO_REPO' AS predicate, dst AS provider, fact_id, count(*) OVER () AS total FROM geo_edges WHERE predicate = 'DEFINED_IN' ORDER BY consumer_repo, package_name, fact_id LIMIT 25""")
+def cross_repo_links(spark, sf):
+    return surfaces.cross_repo_links(_links(spark, sf))
+
+
+@query("q15_repo_dependencies", with_oracle("geo_edges") + """
+SELECT dst AS consumer_repo, src AS package_name, dst AS provider FROM geo_edges WHERE predicate = 'DEFINED_IN' AND dst = 'n7' ORDER BY package_name LIMIT 25""")
+def repo_dependencies(spark, sf):
+    return surfaces.repo_dependencies(_links(spark, sf), "n7")
+
+
+PAGES = with_oracle("page_facts")
+SHAPE = r"CASE WHEN path = '' THEN '/' ELSE regexp_replace(regexp_replace(path, '\{id\}(/|$)', '{param}\1', 'g'), '(.)/+$', '\1') END"
+
+
+@query("q16_domain_references", PAGES + """
+SELECT DISTINCT host AS subject, host AS object, 'REFERENCES_DOMAIN' AS predicate, 'direct' AS via FROM page_facts WHERE contains(host, 'example.net') ORDER BY object, subject LIMIT 25""")
+def domain_references(spark, sf):
+    rows = frame(spark, sf, "page_facts").select("host").distinct()
+    facts = rows.selectExpr("concat('f', host) AS fact_id", "'REFERENCES_DOMAIN' AS predicate", "concat('s', host) AS subject_id", "concat('d', host) AS object_id")
+    ends = rows.selectExpr("concat('s', host) AS entity_id", "'Service' AS kind", "host AS name").unionByName(rows.selectExpr("concat('d', host) AS entity_id", "'Domain' AS kind", "host AS name"))
+    return surfaces.domain_references(graph.Graph.of(spark, ends, facts), "example.net")
+
+
+@query("q17_endpoints", PAGES + """
+SELECT concat('f', page_id) AS fact_id, path, predicate, host AS subject FROM page_facts WHERE contains(lower(path), '/en') ORDER BY path, predicate, concat_ws(' ', method, path), fact_id LIMIT 25""")
+def endpoints(spark, sf):
+    return surfaces.endpoints(page_graph(spark, sf), "/en")
+
+
+@query("q17_endpoints_under", PAGES + f"""
+, shaped AS (SELECT page_id, predicate, {SHAPE} AS shape FROM page_facts)
+SELECT concat('f', page_id) AS fact_id, shape, predicate FROM shaped WHERE shape = '/en' OR starts_with(shape, '/en/')""")
+def endpoints_under(spark, sf):
+    return surfaces.endpoints_under(page_graph(spark, sf), "/en")
+
+
+@query("q18_reconcile_endpoints", PAGES + f"""
+, shaped AS (SELECT predicate, {SHAPE} AS key FROM page_facts)
+SELECT key, CASE WHEN count(*) FILTER (predicate = 'EXPOSES_ENDPOINT') = 0 THEN 'right_only' WHEN count(*) FILTER (predicate = 'CALLS_ENDPOINT') = 0 THEN 'left_only' ELSE 'matched' END AS status,
+  count(*) FILTER (predicate = 'EXPOSES_ENDPOINT') AS left_n, count(*) FILTER (predicate = 'CALLS_ENDPOINT') AS right_n FROM shaped GROUP BY key""")
+def reconcile_endpoints(spark, sf):
+    rows = frame(spark, sf, "page_facts").withColumn("key", exprs.path_shape(F.col("path")))
+    return reconcile.reconcile(rows.where("predicate = 'EXPOSES_ENDPOINT'"), rows.where("predicate = 'CALLS_ENDPOINT'"))
+
+
+@query("q19_possible_matches")
+def possible_matches(spark, sf):
+    rows = frame(spark, sf, "page_facts").withColumn("key", exprs.path_shape(F.col("path"))).select("page_id", "key")
+    left, right = (rows.where(F.col("page_id") % 2 == k).select("key").distinct() for k in (0, 1))
+    return reconcile.scored(reconcile.candidates(left.join(right, "key", "left_anti"), right.join(left, "key", "left_anti")))
+
+
+@query("q20_event_channels", with_oracle("event_facts") + """
+SELECT concat('bus:', channel) AS channel, concat('svc', user_id) AS service, predicate, CASE WHEN predicate <> 'REFERENCES_EVENT_CHANNEL' AND status = 'canonical' THEN 'known_linked' ELSE 'candidate' END AS bucket
+FROM event_facts ORDER BY bucket DESC, channel, service, concat(channel, '-', user_id) LIMIT 100""")
+def event_channels(spark, sf):
+    return surfaces.event_channels(event_graph(spark, sf), "bus", limit=100)
+
+
+@query("q20_event_asymmetry", with_oracle("event_facts") + """
+SELECT concat('bus:', channel) AS channel, count(DISTINCT user_id) FILTER (predicate = 'PRODUCES_EVENT') AS producers, count(DISTINCT user_id) FILTER (predicate = 'CONSUMES_EVENT') AS consumers,
+  CASE WHEN count(*) FILTER (predicate = 'CONSUMES_EVENT') = 0 THEN 'no_consumer' WHEN count(*) FILTER (predicate = 'PRODUCES_EVENT') = 0 THEN 'no_producer' END AS gap
+FROM event_facts WHERE predicate <> 'REFERENCES_EVENT_CHANNEL' GROUP BY channel""")
+def event_asymmetry(spark, sf):
+    return surfaces.event_asymmetry(event_graph(spark, sf))
+
+
+@query("q21_deploy_mappings", """
+SELECT concat('site:', s_name) AS target, n_name AS source, 'DEPLOYS_VIA_CONFIG' AS predicate, CASE WHEN s_suppkey % 3 = 0 THEN 'candidate' ELSE 'known' END AS bucket
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(concat_ws(' ', n_name, concat('site:', s_name), 'DEPLOYS_VIA_CONFIG')), 'supplier') ORDER BY bucket DESC, target, source, s_suppkey LIMIT 100""")
+def deploy_mappings(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    facts = s.selectExpr("lpad(s_suppkey, 12, '0') AS fact_id", "'DEPLOYS_VIA_CONFIG' AS predicate", "concat('n', n_nationkey) AS subject_id", "concat('t', s_suppkey) AS object_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'candidate' ELSE 'canonical' END AS canonical_status")
+    ends = s.selectExpr("concat('t', s_suppkey) AS entity_id", "'DeployTarget' AS kind", "'site' AS type", "s_name AS target").unionByName(s.selectExpr("concat('n', n_nationkey) AS entity_id", "'Service' AS kind", "n_name AS name").distinct(), allowMissingColumns=True)
+    return surfaces.deploy_mappings(graph.Graph.of(spark, ends, facts), "supplier", limit=100)
+
+
+@query("q22_lookup_symbol", with_oracle("symbols") + """
+, hits AS (SELECT entity_id, concat(module, '.', qualname) AS display, kind, path, line FROM symbols WHERE contains(concat(module, '.', qualname), 'mod3.fn1'))
+, tiers AS (SELECT *, CASE WHEN display = 'mod3.fn1' THEN 'exact_qualified' ELSE 'fuzzy' END AS tier FROM hits)
+SELECT *, count(*) OVER () AS candidates FROM tiers WHERE tier = (SELECT min(tier) FROM tiers)""")
+def lookup_symbol(spark, sf):
+    return calls.lookup_symbol(call_graph(spark, sf), "mod3.fn1")
+
+
+@query("q23_symbols_in_file", with_oracle("symbols") + """
+SELECT concat(module, '.', qualname) AS display, kind, line FROM symbols WHERE path = 'src/f3.py' ORDER BY line, display LIMIT 100""")
+def symbols_in_file(spark, sf):
+    return calls.symbols_in_file(call_graph(spark, sf), "./src/f3.py")
+
+
+@query("q25_resolve_import_target", IMPORTS + f"""
+, found AS (SELECT DISTINCT object_id FROM edges WHERE sure AND {MATCH.format(q=BRAND)})
+SELECT CASE count(*) WHEN 0 THEN 'not_found' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(object_id) END AS entity_id FROM found""")
+def resolve_import_target(spark, sf):
+    return imports.resolve_import_target(import_graph(spark, sf), BRAND)
+
+
+EVIDENCE = with_oracle("evidence", "order_facts")
+
+
+def _evidence(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return frame(spark, sf, "order_facts"), frame(spark, sf, "evidence")
+
+
+@query("a04_strongest_derivation", EVIDENCE + """
+, ranked AS (SELECT *, CASE derivation_class WHEN 'runtime_observed' THEN 4 WHEN 'deterministic_static' THEN 3 ELSE 1 END AS rank FROM evidence)
+SELECT target_id, arg_max(derivation_class, rank * 1000000000000 - ord) AS derivation_class, count(*) AS n FROM ranked GROUP BY target_id""")
+def strongest(spark, sf):
+    facts, evidence = _evidence(spark, sf)
+    return calls.strongest_derivation(graph.Graph.of(spark, facts.selectExpr("fact_id AS entity_id"), facts, evidence))
+
+
+NOW = "1999-06-01 00:00:00"
+
+
+@query("m03_freshness", EVIDENCE + f"""
+SELECT round(avg(CASE WHEN ingested_at >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY THEN 1.0 ELSE 0.0 END), 9) AS value FROM evidence""")
+def freshness(spark, sf):
+    return metrics.freshness(_evidence(spark, sf)[1], NOW).select(F.round("value", 9).alias("value"))
+
+
+@query("m06_grounding", EVIDENCE + """
+SELECT round(avg(CASE WHEN fact_id IN (SELECT target_id FROM evidence WHERE path IS NOT NULL AND line_start >= 1 AND line_end >= line_start) THEN 1.0 ELSE 0.0 END), 9) AS value FROM order_facts""")
+def grounding(spark, sf):
+    return metrics.grounding(*_evidence(spark, sf)).select(F.round("value", 9).alias("value"))
+
+
+@query("m08_trust_mix", EVIDENCE + """
+, best AS (SELECT target_id, max(CASE derivation_class WHEN 'runtime_observed' THEN 0.9 WHEN 'deterministic_static' THEN 0.8 ELSE 0.3 END) AS w FROM evidence GROUP BY target_id)
+SELECT round(avg((CASE canonical_status WHEN 'canonical' THEN 1.0 WHEN 'candidate' THEN 0.5 ELSE 0.1 END)::DOUBLE * coalesce(w, 0)::DOUBLE), 9) AS value FROM order_facts LEFT JOIN best ON fact_id = target_id""")
+def trust_mix(spark, sf):
+    weights = {"runtime_observed": 0.9, "deterministic_static": 0.8, "llm_inferred": 0.3}
+    return metrics.trust_mix(*_evidence(spark, sf), weights).select(F.round("value", 9).alias("value"))
+
+
+@query("m09_useful_edge", CALLS + """
+SELECT round(avg(CASE WHEN entity_id IN (SELECT src FROM call_edges UNION SELECT dst FROM call_edges) THEN 1.0 ELSE 0.0 END), 9) AS value FROM symbols""")
+def useful_edge(spark, sf):
+    anchors = frame(spark, sf, "symbols").withColumnRenamed("entity_id", "node")
+    return metrics.useful_edge(anchors, frame(spark, sf, "call_edges")).select(F.round("value", 9).alias("value"))
+
+
+@query("m04_opportunity", """
+WITH o AS (SELECT event_id AS id, event_type, user_id, CAST(floor(value) AS BIGINT) AS line FROM events WHERE event_id % 2 = 0), e AS (SELECT event_type, user_id, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + 20 AS b FROM events WHERE event_id % 2 = 1),
+met AS (SELECT DISTINCT id FROM o JOIN e ON o.event_type = e.event_type AND o.user_id = e.user_id WHERE line BETWEEN a AND b)
+SELECT round(avg(CASE WHEN id IN (SELECT id FROM met) THEN 1.0 ELSE 0.0 END), 9) AS opportunity,
+  round(avg(CASE WHEN id NOT IN (SELECT id FROM met) AND NOT (event_type = 'error' AND user_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 9) AS silent_gap FROM o""")
+def opportunity(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id AS id", "event_type AS predicate", "cast(user_id AS string) AS path", "CAST(floor(value) AS long) AS line", "user_id")
+    o, e = events.where("id % 2 = 0"), events.where("id % 2 = 1").selectExpr("predicate", "path", "line AS line_start", "line + 20 AS line_end")
+    told = events.where("predicate = 'error' AND user_id % 2 = 0")
+    return metrics.opportunity(o, e, told).select(F.round("opportunity", 9).alias("opportunity"), F.round("silent_gap", 9).alias("silent_gap"))
+
+
+@query("m12_cell_score", """
+WITH cells AS (SELECT c_mktsegment AS cell, c_custkey AS id, (c_custkey % 10 + 1) / 11.0::DOUBLE AS freshness, (c_custkey % 7 + 1) / 8.0::DOUBLE AS opportunity, CASE WHEN c_custkey % 13 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS grounding,
+  0.9::DOUBLE AS meta, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 0.7 END::DOUBLE AS useful, (c_custkey % 3 + 1) / 4.0::DOUBLE AS trust, 0.1::DOUBLE AS silent_gap, 0.95::DOUBLE AS identity FROM customer),
+scored AS (SELECT *, CASE WHEN useful IS NULL THEN NULL WHEN grounding = 0 THEN 0 ELSE exp((ln(freshness) + ln(opportunity) + ln(grounding) + ln(meta) + ln(useful) + ln(trust)) / 6) * (1 - silent_gap) * identity END AS score FROM cells)
+SELECT cell, round(avg(score), 6) AS score, count(*) AS cells FROM scored GROUP BY cell""")
+def cell_score(spark, sf):
+    cells = spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "c_mktsegment AS cell", "(c_custkey % 10 + 1) / 11D AS freshness", "(c_custkey % 7 + 1) / 8D AS opportunity", "CASE WHEN c_custkey % 13 = 0 THEN 0D ELSE 0.5D END AS grounding", "0.9D AS meta",
+        "CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 0.7D END AS useful", "(c_custkey % 3 + 1) / 4D AS trust", "0.1D AS silent_gap", "0.95D AS identity",
+    )
+    return metrics.worst_first(metrics.cell_score(cells), "cell")
+
+
+DIFF = with_oracle("base_edges", "head_edges")
+LOST = ", lost AS (SELECT * FROM base_edges EXCEPT SELECT * FROM head_edges), won AS (SELECT * FROM head_edges EXCEPT SELECT * FROM base_edges)"
+
+
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return frame(spark, sf, "base_edges"), frame(spark, sf, "head_edges")
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+@query("d01_row_diff", DIFF + LOST + " SELECT *, 'removed' AS change FROM lost UNION ALL SELECT *, 'added' FROM won")
+def row_diff(spark, sf):
+    return diff.row_diff(*_sides(spark, sf), "src", "dst")
+
+
+@query("d01_diff_counts", DIFF + LOST + " SELECT (SELECT count(*) FROM lost) AS removed, (SELECT count(*) FROM won) AS added, (SELECT count(*) FROM base_edges SEMI JOIN head_edges USING (src, dst)) AS common")
+def diff_counts(spark, sf):
+    return diff.diff_counts(*_sides(spark, sf), "src", "dst")
+
+
+HEAD = ", nodes AS (SELECT src AS node FROM head_edges UNION SELECT dst FROM head_edges)"
+
+
+@query("d03_surviving_referrers", DIFF + HEAD + """
+SELECT dst AS removed, count(DISTINCT src) AS referrers FROM base_edges WHERE dst NOT IN (SELECT node FROM nodes) AND src IN (SELECT node FROM nodes) GROUP BY dst""")
+def surviving_referrers(spark, sf):
+    base, head = _sides(spark, sf)
+    return diff.surviving_referrers(base, _nodes(head))
+
+
+@query("d04_responsibility_moved", DIFF + LOST + """
+SELECT dst, l.n AS lost, w.n AS won FROM (SELECT dst, count(DISTINCT src) AS n FROM lost GROUP BY dst) l JOIN (SELECT dst, count(DISTINCT src) AS n FROM won GROUP BY dst) w USING (dst)""")
+def responsibility_moved(spark, sf):
+    return diff.responsibility_moved(*_sides(spark, sf))
+
+
+@query("d07_guard_call_removed", DIFF + LOST + HEAD + " SELECT src, dst FROM lost WHERE src IN (SELECT node FROM nodes)")
+def guard_call_removed(spark, sf):
+    base, head = _sides(spark, sf)
+    return diff.guard_call_removed(base, head, _nodes(head))
+
+
+@query("d08_top_lost", DIFF + LOST + """
+, refs AS (SELECT dst, count(DISTINCT src) AS refs FROM base_edges GROUP BY dst)
+, ranked AS (SELECT src, dst, refs, row_number() OVER (PARTITION BY src ORDER BY refs DESC, dst)::INTEGER AS place, count(*) OVER (PARTITION BY src) AS n FROM lost JOIN refs USING (dst))
+SELECT src, dst, refs, place, greatest(n - 3, 0) AS omitted, n > 5 AS flagged FROM ranked WHERE place <= 3""")
+def top_lost(spark, sf):
+    base, head = _sides(spark, sf)
+    return diff.top_lost(base.join(head, ["src", "dst"], "left_anti"), base)
+
+
+@query("d13_demote_channels", with_oracle("event_facts") + """
+SELECT channel, CASE WHEN bool_or(predicate <> 'REFERENCES_EVENT_CHANNEL') THEN 'canonical' ELSE 'candidate' END AS status, count(*) AS mentions FROM event_facts GROUP BY channel""")
+def demote_channels(spark, sf):
+    facts = frame(spark, sf, "event_facts")
+    return diff.demote_channels(facts.select("channel", F.lit(False).alias("has_literal")).distinct(), facts)
+
+
+@query("j04_link_packages", """
+WITH c AS (SELECT DISTINCT c_nationkey AS repo, lower(c_mktsegment) AS key FROM customer UNION SELECT DISTINCT c_nationkey, concat('pkg-', c_custkey % 40) FROM customer),
+p AS (SELECT DISTINCT s_nationkey AS provider, concat('pkg-', s_suppkey % 40) AS key FROM supplier),
+u AS (SELECT key, repo, count(DISTINCT provider) AS n, min(provider) AS provider FROM c JOIN p USING (key) WHERE repo <> provider GROUP BY key, repo)
+SELECT repo, key AS package, provider FROM u WHERE key NOT IN (SELECT key FROM u WHERE n > 1)""")
+def link_packages(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    consumers = c.selectExpr("c_nationkey AS repo", "lower(c_mktsegment) AS package").union(c.selectExpr("c_nationkey", "concat('pkg-', c_custkey % 40)")).distinct()
+    providers = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS repo", "array(concat('PKG_', s_suppkey % 40), concat('pkg..', s_suppkey % 40)) AS names")
+    return linker.link_packages(consumers, providers)
+
+
+@query("j08_suffix_links", """
+WITH t AS (SELECT p_partkey AS target, concat('/srv/', p_brand, '/', p_size % 10, '/', p_name) AS path FROM part), m AS (SELECT DISTINCT p_type AS service, concat(p_size % 10, '/', p_name) AS path FROM part UNION SELECT DISTINCT p_type, concat(p_brand, '/', p_size % 10, '/', p_name) FROM part),
+hits AS (SELECT target, service, len(string_split(m.path, '/')) AS segments FROM t JOIN m ON suffix(t.path, '/' || m.path)), best AS (SELECT * FROM hits QUALIFY segments = max(segments) OVER (PARTITION BY target))
+SELECT DISTINCT target, service, segments::INTEGER AS segments, CASE WHEN count(DISTINCT service) OVER (PARTITION BY target) = 1 THEN 'canonical' ELSE 'candidate' END AS status FROM best""")
+def suffix_links(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    modules = p.selectExpr("p_type AS service", "concat(p_size % 10, '/', p_name) AS path").union(p.selectExpr("p_type", "concat(p_brand, '/', p_size % 10, '/', p_name)"))
+    return linker.suffix_links(p.selectExpr("p_partkey AS target", "concat('/srv/', p_brand, '/', p_size % 10, '/', p_name) AS path"), modules.distinct())
+
+
+@query("j11_endpoint_consumers", PAGES + f"""
+, e AS (SELECT *, {SHAPE} AS shape FROM page_facts)
+SELECT DISTINCT p.host AS provider, c.host AS consumer, shape, c.method FROM e p JOIN e c USING (shape) WHERE p.predicate = 'EXPOSES_ENDPOINT' AND c.predicate = 'CALLS_ENDPOINT' AND c.method IS NOT NULL AND p.host <> c.host AND (p.method = 'ANY' OR p.method = c.method)""")
+def endpoint_consumers(spark, sf):
+    return surfaces.endpoint_consumers(page_graph(spark, sf))
+
+
+@query("j14_symbols_of_ranges", with_oracle("symbols") + """
+, r AS (SELECT path, line + 3 AS a, line + 5 AS b FROM symbols UNION ALL SELECT path, line + 5, line + 14 FROM symbols)
+, hits AS (SELECT r.path, a, b, entity_id, line <= a AND end_line >= b AS inside FROM r JOIN symbols s ON r.path = s.path AND line <= b AND a <= end_line)
+SELECT path, a AS start, b AS end, entity_id, CASE WHEN inside THEN 'enclosing' ELSE 'overlapping' END AS match FROM hits QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY path, a, b)""")
+def symbols_of_ranges(spark, sf):
+    s = frame(spark, sf, "symbols")
+    ranges = s.selectExpr("path", "line + 3 AS start", "line + 5 AS end").union(s.selectExpr("path", "line + 5", "line + 14"))
+    return calls.symbols_of_ranges(call_graph(spark, sf), ranges)
+
+
+@query("j15_inside_any", """
+WITH p AS (SELECT event_type, event_id AS id, CAST(floor(value) AS BIGINT) AS line FROM events WHERE event_id % 2 = 0), r AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + user_id % 3 AS b FROM events WHERE event_id % 2 = 1)
+SELECT event_type, id, line FROM p WHERE EXISTS (SELECT 1 FROM r WHERE r.event_type = p.event_type AND line BETWEEN a AND b)""")
+def inside_any(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    points = e.where("event_id % 2 = 0").selectExpr("event_type", "event_id AS id", "CAST(floor(value) AS long) AS line")
+    ranges = e.where("event_id % 2 = 1").selectExpr("event_type", "CAST(floor(value) AS long) AS start", "CAST(floor(value) AS long) + user_id % 3 AS end")
+    return linker.inside_any(points, ranges, "event_type")
+
+
+@query("j17_nearest_before", """
+WITH p AS (SELECT event_type, event_id AS id, CAST(floor(value) AS BIGINT) AS line FROM events WHERE event_id % 2 = 0), m AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS line, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_id % 2 = 1)
+SELECT p.event_type, id, p.line, (SELECT max_by(value, (m.line, value)) FROM m WHERE m.event_type = p.event_type AND m.line <= p.line) AS value FROM p""")
+def nearest_before(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    points = e.where("event_id % 2 = 0").selectExpr("event_type", "event_id AS id", "CAST(floor(value) AS long) AS line")
+    marks = e.where("event_id % 2 = 1").selectExpr("event_type", "CAST(floor(value) AS long) AS line", "CAST(user_id AS string) AS value")
+    return linker.nearest_before(points, marks, "event_type")
+
+
+@query("j18_select_workloads", """
+SELECT concat('s', s.s_suppkey) AS service, concat('c', c_custkey) AS workload, s_nationkey AS namespace FROM supplier s JOIN customer c ON s_nationkey = c_nationkey WHERE s_suppkey % 3 = c_custkey % 3 AND (s_suppkey % 2 = 0 OR s_suppkey % 5 = c_custkey % 5)""")
+def select_workloads(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('s', s_suppkey) AS service", "s_nationkey AS namespace", "CASE WHEN s_suppkey % 2 = 0 THEN map('app', cast(s_suppkey % 3 AS string)) ELSE map('app', cast(s_suppkey % 3 AS string), 'tier', cast(s_suppkey % 5 AS string)) END AS selector")
+    w = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("concat('c', c_custkey) AS workload", "c_nationkey AS namespace", "map('app', cast(c_custkey % 3 AS string), 'tier', cast(c_custkey % 5 AS string), 'x', 'y') AS labels")
+    return linker.select_workloads(s, w)
+
+
+@query("l05_capped", """
+WITH r AS (SELECT o_custkey AS key, o_totalprice AS rank, o_orderkey AS id FROM orders)
+, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank DESC, id)::INTEGER AS place, count(*) OVER (PARTITION BY key) AS of FROM r)
+SELECT * FROM p WHERE place <= 3 ORDER BY rank DESC, key, id LIMIT 12""")
+def capped(spark, sf):
+    return surfaces.capped(spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS key", "o_totalprice AS rank", "o_orderkey AS id"), "key", 3, 12)
+
+
+@query("l12_diverse_first", """
+WITH r AS (SELECT o_orderpriority AS key, o_totalprice AS score, o_orderkey AS id FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, id)::INTEGER AS round FROM r)
+SELECT * FROM p ORDER BY round, score DESC, id LIMIT 40""")
+def diverse_first(spark, sf):
+    return surfaces.diverse_first(spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderpriority AS key", "o_totalprice AS score", "o_orderkey AS id"), "key", "score", 40)
+
+
+@query("f01_package_names", "SELECT p_partkey, regexp_replace(lower(trim(concat(' ', p_name, '__', p_brand, '..x '))), '[-_.]+', '-', 'g') AS name FROM part")
+def package_names(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", exprs.package_name(F.concat(F.lit(" "), "p_name", F.lit("__"), "p_brand", F.lit("..x "))).alias("name"))
+
+
+@query("f02_stable_hash", "SELECT c_custkey, substr(sha256(concat(c_name, '|', 'None', '|', c_mktsegment)), 1, 24) AS id FROM customer")
+def stable_hashes(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", exprs.stable_hash(F.col("c_name"), F.lit(None), F.col("c_mktsegment")).alias("id"))
+
+
+@query("f03_urn", "SELECT c_custkey, concat('graph://module/', url_encode(trim(c_mktsegment)), '/', url_encode(trim(c_name))) AS urn FROM customer")
+def urns(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", exprs.urn("graph", "module", F.lit("x"), F.col("c_mktsegment"), F.col("c_name")).alias("urn"))
+
+
+@query("t04_members", with_oracle("geo_edges").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, walk AS (SELECT DISTINCT src AS own, src AS here FROM geo_edges UNION SELECT own, dst FROM walk JOIN geo_edges ON here = src)
+SELECT DISTINCT own AS class_id, concat('f', dst) AS member FROM walk JOIN geo_edges ON here = src""")
+def members(spark, sf):
+    edges = frame(spark, sf, "geo_edges")
+    return traverse.transitive_members(edges.selectExpr("src AS class_id", "dst AS base_id"), edges.selectExpr("src AS class_id", "concat('f', dst) AS member"))
