@@ -63,10 +63,95 @@ class PieceCounter:
         return list(chain.from_iterable(self._count(texts[i : i + 256]) for i in range(0, len(texts), 256)))
 
 
+class Merges:
+    """Byte-pair merging of many words at once, as the library does it: lowest rank first, then leftmost."""
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        symbols = _byte_symbols()
+        self.inner = np.array([vocab[c] for c in symbols], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in symbols], np.int64)
+        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"]]
+        key = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.made, self.none = key[self.order], made, len(key)
+        # Most pairs have no merge; one look at a table of bits tells.
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self._slot(key)] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 32) | right
+        out = np.full(key.shape, self.none, np.int64)
+        some = np.flatnonzero(self.bits[self._slot(key)])
+        at = np.minimum(np.searchsorted(self.key, key[some]), self.none - 1)
+        hit = self.key[at] == key[some]
+        out[some[hit]] = self.order[at[hit]]
+        return out
+
+    def ids(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers; no word is empty."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words])
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            raw = np.frombuffer(b"".join(words[r] for r in rows.tolist()), np.uint8).reshape(-1, n)
+            ids = self.inner[raw]
+            ids[:, -1] = self.last[raw[:, -1]]
+            self._merge(ids, rows, out)
+        return out
+
+    def _merge(self, ids: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        """All rows lose one symbol a round, those without a merge leave."""
+        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        while True:
+            n = ids.shape[1]
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(ids), np.int64)
+            best = ranks[np.arange(len(ids)), at] if n > 1 else np.full(len(ids), self.none)
+            done = best == self.none
+            flat = ids[done].astype("<u4").tobytes()
+            for k, r in enumerate(rows[done].tolist()):
+                out[r] = flat[4 * n * k : 4 * n * (k + 1)]
+            if done.all():
+                return
+            ids, ranks, rows, at, best = ids[~done], ranks[~done], rows[~done], at[~done], best[~done]
+            each = np.arange(len(ids))
+            ids[each, at] = self.made[best]
+            places = np.arange(n - 1)
+            ids = ids[each[:, None], places + (places > at[:, None])]
+            if n == 2:
+                ranks = np.empty((len(ids), 0), np.int64)
+                continue
+            places = np.arange(n - 2)
+            ranks = ranks[each[:, None], places + (places >= at[:, None])]
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at < n - 2)
+            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+
+
+def _byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of a tokenizers-library tokenizer whose words end at white space."""
+    """Ids of a tokenizers-library tokenizer whose words end at white space.
+
+    Pieces that are Latin text only go through Merges, a copy of the library's
+    rules that is much faster for many short words; all others, and all pieces
+    of a tokenizer that this copy does not fit, go through the library. Each
+    new encoder compares the two on samples before it trusts the copy.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,21 +159,68 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        probes = ["a b", " a", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a"]
-        self.wordwise = all(self._encode([p])[0] == self._plain(p) for p in probes)
+        self.words: dict[str, bytes] = {}
+        self.merges, self.split = None, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        try:
+            self._copy(spec)
+        except (KeyError, TypeError):
+            self.merges = None
+        probes = ["a b", " a", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
+        for copied in (True, False):
+            if copied and self.merges is None:
+                continue
+            self.memo, self.words = {}, {}
+            if not copied:
+                self.merges = None
+            self.wordwise = all(self._encode([p])[0] == self._plain(p) for p in probes)
+            if self.wordwise:
+                break
+        self.memo, self.words = {}, {}
+
+    def _copy(self, spec: dict) -> None:
+        """Takes the rules over if they are those that Merges knows: NFC, blanks, lower case; one pattern; byte-level words."""
+        import regex
+
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        model = spec["model"]
+        known = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and split["behavior"] == "Removed" and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+        if known and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["continuing_subword_prefix"] and model["dropout"] is None and not model["ignore_merges"]:
+            self.split = regex.compile(split["pattern"]["Regex"])
+            self.latin = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]*+")
+            self.special = [t["content"] for t in spec["added_tokens"]]
+            self.merges = Merges(model)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts the ids of new pieces into the memo."""
+        slow = pieces
+        if self.merges is not None:
+            fast, slow = [], []
+            for p in pieces:
+                (fast if len(p) <= LONG and self.latin.fullmatch(p) and not any(t in p for t in self.special) else slow).append(p)
+            words = [[low] if (low := p.lower()).isalpha() else self.split.findall(low) for p in fast]
+            if len(self.words) > MEMO:
+                self.words = {}
+            new = list(set(chain.from_iterable(words)) - self.words.keys())
+            self.words.update(zip(new, self.merges.ids([w.encode() for w in new])))
+            get = self.words.__getitem__
+            self.memo.update((p, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for p, w in zip(fast, words))
+        for i in range(0, len(slow), 512):
+            part = slow[i : i + 512]
+            for piece, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[piece] = np.array(e.ids, "<u4").tobytes()
+
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo = {}
         split = [t.split(" ") for t in texts]
         new = list(set(chain.from_iterable(split)) - self.memo.keys())
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            for piece, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[piece] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new)
         get = self.memo.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         for piece in new:
@@ -99,4 +231,4 @@ class WordEncoder:
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         if not self.wordwise:
             return [np.frombuffer(self._plain(t), "<u4") for t in texts]
-        return [np.frombuffer(x, "<u4") for i in range(0, len(texts), 256) for x in self._encode(texts[i : i + 256])]
+        return [np.frombuffer(x, "<u4") for i in range(0, len(texts), 1024) for x in self._encode(texts[i : i + 1024])]
