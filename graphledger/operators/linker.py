@@ -62,7 +62,7 @@ def select_workloads(selectors: DataFrame, workloads: DataFrame) -> DataFrame:
     namespace, labels (map). Joined on one pair of each selector, not on the
     namespace alone.
     """
-    s = selectors.where(F.size("selector") > 0).withColumn("pair", F.array_sort(F.map_entries("selector"))[0]).select("service", "namespace", "selector", F.col("pair.key").alias("k"), F.col("pair.value").alias("v"))
+    s = selectors.where(F.size("selector") > 0).withColumn("pair", F.get(F.array_sort(F.map_entries("selector")), F.lit(0))).select("service", "namespace", "selector", F.col("pair.key").alias("k"), F.col("pair.value").alias("v"))
     w = workloads.select("workload", "namespace", "labels", F.explode("labels").alias("k", "v"))
     rows = s.join(w, ["namespace", "k", "v"])
     return rows.where(F.forall(F.map_entries("selector"), lambda e: F.try_element_at("labels", e["key"]) == e["value"])).select("service", "workload", "namespace").distinct()

@@ -34,7 +34,7 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    table = lambda name: conform(spark.read.parquet(f"{path}/{name}"), SCHEMAS[name])
+    table = lambda name: conform(spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}"), SCHEMAS[name])
     return Graph(table("entities"), table("facts"), table("evidence"), table("coverage"))
 
 
