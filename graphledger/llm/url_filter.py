@@ -60,11 +60,11 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 def _pull(groups: DataFrame, name: str) -> DataFrame:
     """One row: how many pages the level above counts for, from the variance between groups and within them."""
     sums = groups.where("n > 0").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"), F.sum("k").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("r"))
-    within = (F.col("s") - F.col("r")) / (F.col("t") - F.col("g"))
-    between = (F.col("r") - F.col("s") * F.col("s") / F.col("t")) / (F.col("g") - 1)
-    size = (F.col("t") - F.col("q") / F.col("t")) / (F.col("g") - 1)
-    share = (between - within) / (between + (size - 1) * within)
-    pull = F.when((F.col("g") > 1) & (F.col("t") > F.col("g")) & (share > 0), F.least(F.greatest((1 - share) / share, F.lit(LEAST_PULL)), F.lit(MOST_PULL))).otherwise(F.lit(MOST_PULL))
+    within = F.try_divide(F.col("s") - F.col("r"), F.col("t") - F.col("g"))
+    between = F.try_divide(F.col("r") - F.try_divide(F.col("s") * F.col("s"), F.col("t")), F.col("g") - 1)
+    size = F.try_divide(F.col("t") - F.try_divide(F.col("q"), F.col("t")), F.col("g") - 1)
+    share = F.try_divide(between - within, between + (size - 1) * within)
+    pull = F.when((F.col("g") > 1) & (F.col("t") > F.col("g")) & (share > 0), F.least(F.greatest(F.try_divide(1 - share, share), F.lit(LEAST_PULL)), F.lit(MOST_PULL))).otherwise(F.lit(MOST_PULL))
     return sums.select(pull.alias(name))
 
 
