@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphledger.functions import exprs
-from graphledger.operators import calls, diff, graph, imports, linker, metrics, reconcile, surfaces, traverse
+from graphledger.operators import calls, diff, extract, graph, imports, linker, metrics, reconcile, surfaces, traverse
 from graphledger.plans.projections import call_graph, event_graph, frame, import_graph, page_graph, with_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,3 +496,99 @@ SELECT DISTINCT own AS class_id, concat('f', dst) AS member FROM walk JOIN geo_e
 def members(spark, sf):
     edges = frame(spark, sf, "geo_edges")
     return traverse.transitive_members(edges.selectExpr("src AS class_id", "dst AS base_id"), edges.selectExpr("src AS class_id", "concat('f', dst) AS member"))
+
+
+@query("x01_domains", """
+WITH urls AS (SELECT page_id, unnest(regexp_extract_all(url, '[A-Za-z][A-Za-z0-9+.-]*://[^\\s"''<>]+')) AS u FROM pages),
+hosts AS (SELECT page_id, lower(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/@]*@)?', ''), '[:/?#].*$', '')) AS domain FROM urls)
+SELECT DISTINCT page_id, domain FROM hosts WHERE regexp_full_match(domain, '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\\.)+[a-z]{2,63}')""")
+def domains(spark, sf):
+    return extract.domains_in(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "url")
+
+
+@query("d05_call_edge_delta", DIFF + LOST + """
+, changed AS (SELECT *, 'removed' AS change FROM lost UNION ALL SELECT *, 'added' FROM won)
+SELECT src, dst, concat('src/', dst, '.py') AS path, change FROM changed WHERE dst IN ('p1', 'p2', 'p3')""")
+def call_edge_delta(spark, sf):
+    base, head = _sides(spark, sf)
+    place = lambda x: x.withColumn("path", F.concat(F.lit("./src/"), "dst", F.lit(".py")))
+    rows = diff.call_edge_delta(place(base.join(head, ["src", "dst"], "left_anti")), place(head.join(base, ["src", "dst"], "left_anti")), ["src/p1.py", "./src/p2.py", "src\\p3.py"])
+    return rows.withColumn("path", exprs.strict_path(F.col("path")))
+
+
+@query("d06_removed_test_references", DIFF + LOST + HEAD + """
+SELECT src, dst, concat('tests/', src, '.py') AS path FROM lost WHERE src < 'c5' AND dst IN (SELECT node FROM nodes)""")
+def removed_test_references(spark, sf):
+    base, head = _sides(spark, sf)
+    path = F.when(F.col("src") < "c5", F.concat(F.lit("tests/"), "src", F.lit(".py"))).otherwise(F.concat(F.lit("src/"), "src", F.lit(".py")))
+    return diff.removed_test_references(base.join(head, ["src", "dst"], "left_anti").withColumn("path", path), _nodes(head))
+
+
+@query("q24_evidence_for_call", """
+SELECT concat('o', o_orderkey) AS fact_id, concat('e', l_orderkey, '-', l_linenumber) AS evidence_id, 'deterministic_static' AS derivation_class, CAST(NULL AS VARCHAR) AS path, l_linenumber::INTEGER AS line_start
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))
+ORDER BY o_orderkey, l_linenumber, evidence_id LIMIT 25""")
+def evidence_for_call(spark, sf):
+    orders, lines = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    first = orders.agg(F.min(F.struct("o_custkey", "o_orderpriority")).alias("f")).first()["f"]
+    facts = orders.selectExpr("concat('o', o_orderkey) AS fact_id", "'CALLS' AS predicate", "concat('c', o_custkey) AS subject_id", "o_orderpriority AS object_id", "o_orderkey AS ord")
+    ends = orders.selectExpr("concat('c', o_custkey) AS entity_id", "'CodeSymbol' AS kind", "'m' AS module", "concat('c', o_custkey) AS qualname").union(orders.selectExpr("o_orderpriority", "'CodeSymbol'", "'m'", "concat('t', o_orderpriority)")).distinct()
+    evidence = lines.selectExpr("concat('e', l_orderkey, '-', l_linenumber) AS evidence_id", "concat('o', l_orderkey) AS target_id", "'deterministic_static' AS derivation_class", "l_linenumber AS line_start", "l_linenumber AS ord")
+    return calls.evidence_for_call(graph.Graph.of(spark, ends, facts, evidence), f"c{first['o_custkey']}", f"t{first['o_orderpriority']}")
+
+
+@query("m11_identity_health", """
+SELECT round(avg(CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE 1.0 END), 9) AS value FROM customer""")
+def identity_health(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    name = exprs.urn("graph", "module", exprs.stable_hash(F.col("c_custkey")), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")))
+    return metrics.identity_health(c.select(name.alias("urn"))).select(F.round("value", 9).alias("value"))
+
+
+@query("m07_meta_coverage", """
+WITH known AS (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error')
+SELECT round(avg(CASE WHEN p IN (SELECT event_type FROM known) THEN 1.0 ELSE 0.0 END), 9) AS value FROM (VALUES ('click'), ('view'), ('error'), ('refund')) t(p)""")
+def meta_coverage(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("event_type", "predicate")
+    tools = spark.createDataFrame([(x,) for x in ("click", "view", "error", "refund")], "predicate string")
+    covered = e.select("predicate", F.when(F.col("predicate") == "error", "uninstrumented").otherwise("instrumented").alias("state"))
+    return metrics.meta_coverage(tools, e.where("predicate IN ('click', 'purchase')"), covered).select(F.round("value", 9).alias("value"))
+
+
+@query("m10_cross_repo_linkage", """
+SELECT round(avg(CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_size > 45) THEN 1.0 ELSE 0.0 END), 9) AS value FROM (SELECT DISTINCT p_brand FROM part)""")
+def cross_repo_linkage(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumnRenamed("p_brand", "package")
+    return metrics.cross_repo_linkage(p, p.where("p_size > 45")).select(F.round("value", 9).alias("value"))
+
+
+@query("j05_prefer", """
+WITH c AS (SELECT o_custkey AS package, o_orderstatus AS provider, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS rank FROM orders)
+SELECT DISTINCT package, provider, rank FROM c QUALIFY rank = min(rank) OVER (PARTITION BY package)""")
+def prefer(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS package", "o_orderstatus AS provider", "CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS rank")
+    return linker.prefer(o.distinct(), ["package"], "rank")
+
+
+@query("j07_classify_packages", """
+WITH c AS (SELECT DISTINCT c_nationkey AS repo, concat('pkg-', c_custkey % 40) AS key FROM customer), p AS (SELECT DISTINCT s_nationkey AS provider, concat('pkg-', s_suppkey % 40) AS key FROM supplier),
+n AS (SELECT key, count(DISTINCT repo) AS consumers, count(DISTINCT provider) FILTER (provider <> repo) AS others, count(provider) AS hits FROM c LEFT JOIN p USING (key) GROUP BY key)
+SELECT key, consumers, CASE WHEN others = 1 THEN 'internal' WHEN others > 1 THEN 'ambiguous' WHEN hits > 0 THEN 'self' ELSE 'external' END AS bucket FROM n""")
+def classify_packages(spark, sf):
+    consumers = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_nationkey AS repo", "concat('Pkg_', c_custkey % 40) AS package")
+    providers = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS repo", "array(concat('pkg.', s_suppkey % 40)) AS names")
+    return linker.classify_packages(consumers, providers)
+
+
+@query("j09_sole_service", "SELECT c_nationkey AS repo, min(c_mktsegment) AS service FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) = 1")
+def sole_service(spark, sf):
+    return linker.sole_service(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_nationkey AS repo", "c_mktsegment AS service"))
+
+
+@query("j19_handler_policies", """
+WITH h AS (SELECT DISTINCT p_brand AS module, p_type AS qualname FROM part), p AS (SELECT DISTINCT p_brand AS module, CASE WHEN p_size > 25 THEN concat(p_type, '.m') ELSE p_type END AS qualname, p_size AS policy FROM part)
+SELECT DISTINCT h.qualname AS handler, policy, CASE WHEN p.qualname = h.qualname THEN 'exact' ELSE 'method' END AS via FROM h JOIN p ON h.module = p.module AND (p.qualname = h.qualname OR p.qualname = concat(h.qualname, '.m'))""")
+def handler_policies(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    handlers = p.selectExpr("p_brand AS module", "p_type AS qualname", "p_type AS handler").distinct()
+    return linker.handler_policies(handlers, p.selectExpr("p_brand AS module", "CASE WHEN p_size > 25 THEN concat(p_type, '.m') ELSE p_type END AS qualname", "p_size AS policy").distinct())
