@@ -18,7 +18,7 @@ WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 #: Stands for a null id inside the arrays: larger than every real id.
 NO_ID = np.iinfo(np.int64).max
 #: Texts are worked on in runs of about this many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _BYTE_SEEDS = (0x51A7, 0x9C3B)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)

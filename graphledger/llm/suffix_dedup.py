@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
 from graphledger.llm.blocks import blocked, opened
@@ -95,7 +94,7 @@ def _probe(buckets: int, length: int):
     def run(key: Key, table: pa.Table) -> pa.Table:
         _, buf, offsets = opened(table)
         found = []
-        for i, j in A.runs(offsets, A.RUN_BYTES // 2):
+        for i, j in A.runs(offsets):
             r = Runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
             order = np.lexsort((r.owner, r.anchor))
             anchor, owner = r.anchor[order], r.owner[order]
@@ -157,7 +156,7 @@ class Strings:
         order = np.argsort(known)
         known, hot = known[order], (packed[order] & A.U64(1)) > 0
         parts = []
-        for i, j in A.runs(self.offsets, A.RUN_BYTES // 2) if len(known) else ():
+        for i, j in A.runs(self.offsets) if len(known) else ():
             base = self.offsets[i]
             buf, offsets = self.buf[base : self.offsets[j]], self.offsets[i : j + 1] - base
             r = Runs(buf, offsets, length)
@@ -195,18 +194,31 @@ def _send(buckets: int, length: int):
         bucket = (s.target % A.U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         packer = zstandard.ZstdCompressor(level=1)
-        block, rows = key[0].as_py(), []
+        block = key[0].as_py()
+        strings = {}
         for b, i, j in A.rows_by(bucket[order]):
             own = order[i:j]
             head = np.stack((own, s.count[own], s.least[own], (s.target[own] // A.U64(buckets)).astype(np.int64))).astype("<i8").tobytes()
             size = s.count[own] + length - 1
             at = np.repeat(s.text_at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            rows.append((b, block, len(own), packer.compress(head + s.buf[at].tobytes())))
+            strings[b] = (len(own), packer.compress(head + s.buf[at].tobytes()))
+        # The block's anchors go along and come back with the answer, so that they need not be asked for again.
+        known = dict(zip(replies["bucket"].to_pylist(), replies["keys"].to_pylist()))
+        rows = [(b, block, strings.get(b, (0, b""))[0], _both(known.get(b, b""), strings.get(b, (0, b""))[1])) for b in sorted({*known, *strings})]
         return _rows(rows)
 
     return run
 
 
+def _both(anchors: bytes, rest: bytes) -> bytes:
+    return len(anchors).to_bytes(8, "little") + anchors + rest
+
+
+def _parts(payload: bytes) -> tuple[bytes, bytes]:
+    end = 8 + int.from_bytes(payload[:8], "little")
+    return payload[8:end], payload[end:]
+
+
 def words_at(text: np.ndarray, size: int) -> np.ndarray:
     """The eight bytes from each of the first `size` places, as numbers that order as the bytes do."""
     out = np.zeros(size, np.uint64)
@@ -284,12 +296,17 @@ def _settle(length: int):
     """A suffix array over one bucket's distinct strings; tells each block which windows have a smaller holder."""
 
     def run(key: Key, table: pa.Table) -> pa.Table:
-        block, heads, texts = [], [], []
+        anchors, block, heads, texts = {}, [], [], []
         for b, n, payload in zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["keys"].to_pylist()):
-            raw = zstandard.decompress(payload)
-            block.append(np.full(n, b))
-            heads.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
-            texts.append(np.frombuffer(raw, np.uint8, offset=32 * n))
+            anchors[b], packed = _parts(payload)
+            if n:
+                raw = zstandard.decompress(packed)
+                block.append(np.full(n, b))
+                heads.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
+                texts.append(np.frombuffer(raw, np.uint8, offset=32 * n))
+        bucket = key[0].as_py()
+        if not block:
+            return _rows([(bucket, b, 0, _both(known, b"")) for b, known in anchors.items()])
         block, raw = np.concatenate(block), np.concatenate(texts)
         number, count, holder, target = np.concatenate(heads, axis=1)
         size = count + length - 1
@@ -302,14 +319,14 @@ def _settle(length: int):
             own = order[i:j]
             text = raw[A_range(start[own], size[own])]
             told.extend(_smaller_holders(text, block[own], number[own], count[own], holder[own], length))
-        bucket = key[0].as_py()
-        return _rows([(bucket, b, 1, n.to_bytes(8, "little") + zstandard.compress(x, 1)) for b, n, x in _by_block(told)])
+        answers = {b: (n, zstandard.compress(x, 1)) for b, n, x in _by_block(told)}
+        return _rows([(bucket, b, answers.get(b, (0, b""))[0], _both(known, answers.get(b, (0, b""))[1])) for b, known in anchors.items()])
 
     return run
 
 
 def _by_block(told: list[tuple[int, np.ndarray]]):
-    blocks = np.array([b for b, _ in told])
+    blocks = np.array([b for b, _ in told], np.int64)
     for b in np.unique(blocks):
         joined = np.concatenate([x for c, x in told if c == b], axis=1)
         yield int(b), joined.shape[1], joined.astype("<i8").tobytes()
@@ -358,15 +375,16 @@ def A_range(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _remove(buckets: int, length: int, with_kept: bool):
     def run(key: Key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        kind = replies["kind"].to_numpy()
-        s = Strings(table, replies.filter(pa.array(kind == 0)), buckets, length)
+        parts = [_parts(x) for x in replies["keys"].to_pylist()]
+        anchors = pa.table({"bucket": replies["bucket"], "keys": pa.array([x for x, _ in parts], pa.binary())})
+        s = Strings(table, anchors, buckets, length)
         least = np.repeat(s.least, s.count)
         begin = np.cumsum(s.count) - s.count
-        for payload in replies.filter(pa.array(kind == 1))["keys"].to_pylist():
-            n = int.from_bytes(payload[:8], "little")
-            what, place, long, best = np.frombuffer(zstandard.decompress(payload[8:]), "<i8").reshape(4, n)
-            at = A_range(begin[what] + place, long)
-            least[at] = np.minimum(least[at], np.repeat(best, long))
+        for n, (_, payload) in zip(replies["kind"].to_pylist(), parts):
+            if n:
+                what, place, long, best = np.frombuffer(zstandard.decompress(payload), "<i8").reshape(4, n)
+                at = A_range(begin[what] + place, long)
+                least[at] = np.minimum(least[at], np.repeat(best, long))
         theirs = least[A_range(begin[s.number], s.windows)]
         gone = A_range(s.start, s.windows)[theirs < np.repeat(s.ids[s.owner], s.windows)]
         mask = A.covered(gone, length, len(s.buf))
@@ -406,6 +424,5 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_kept: bool = False, hot
     anchors = dealt.groupBy("block").applyInArrow(_probe(buckets, length), KEYS).groupBy("bucket").applyInArrow(_match(hot), KEYS)
     strings = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_send(buckets, length), KEYS)
     settled = strings.groupBy("bucket").applyInArrow(_settle(length), KEYS)
-    told = anchors.unionByName(settled.filter(F.col("kind") == 1))
     schema = RESULT + (", kept binary" if with_kept else "")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_remove(buckets, length, with_kept), schema)
+    return dealt.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(buckets, length, with_kept), schema)
