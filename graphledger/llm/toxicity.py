@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import texts
+from graphledger.llm.common import texts, written
 
 #: Training rows of each class at most, the first by a hash of their text, and the longest text among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
@@ -174,14 +174,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     Only texts up to SAMPLE_BYTES are learnt from; all texts are scored whole.
     """
-    flags = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = texts(docs).where(~held_out()).join(flags, "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    spark = docs.sparkSession
+    flags = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    # Texts stay where they are; only their hashes and sizes meet the labels.
+    hashed = texts(docs).where(~held_out()).select("doc_id", F.xxhash64("text").alias("order"), F.octet_length("text").alias("size"))
+    known = written(hashed.join(flags, "doc_id").select("doc_id", "order", "size", (F.col("toxic") > 0).alias("toxic")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(True, 0) / max(1, sum(counts.values()))
-    short = known.where((F.octet_length("text") <= SAMPLE_BYTES) & (F.octet_length("text") > 0)).withColumn("order", F.xxhash64("text"))
-    picked = [r for kind in (True, False) for r in short.where(F.col("toxic") == kind).orderBy("order", "text").limit(rows).collect()]
-    picked.sort(key=lambda r: (r["order"], r["text"], r["toxic"]))
-    return fit([r["text"].encode() for r in picked], [r["toxic"] for r in picked], share)
+    short = known.where(f"size BETWEEN 1 AND {SAMPLE_BYTES}").select("doc_id", "order", "toxic").distinct()
+    picked = [tuple(r) for kind in (True, False) for r in short.where(F.col("toxic") == kind).orderBy("order", "doc_id").limit(rows).collect()]
+    chosen = F.broadcast(spark.createDataFrame(picked, "c_id long, c_order long, toxic boolean"))  # 2 * rows at most
+    found = texts(docs).join(chosen, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_order"))).select("text", "toxic", "c_order").collect()
+    found.sort(key=lambda r: (r["c_order"], r["text"], r["toxic"]))
+    return fit([r["text"].encode() for r in found], [r["toxic"] for r in found], share)
 
 
 def _score(model: Model):
