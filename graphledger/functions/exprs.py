@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values that results depend on.
 #: Trust of a derivation class in aggregations; others count 0.
-AGGREGATION_PRIORITY = {"human_declared": 5, "runtime_observed": 4, "deterministic_static": 3, "manual_override": 2, "llm_inferred": 1}
+AGGREGATION_PRIORITY = {"authoritative_declared": 5, "runtime_observed": 4, "deterministic_static": 3, "manual_override": 2, "inferred_llm": 1}
 #: Segments that mark a directory of tests.
 TEST_DIRECTORIES = ("test", "tests", "spec", "specs", "__tests__")
 
@@ -54,9 +54,10 @@ def endpoint_path(path: Column) -> Column:
 
 def path_shape(path: Column) -> Column:
     """Parameter segments of any notation become {param}; empty segments go."""
-    named = r"^:[\p{L}_][\p{L}\p{N}_]*(\(.*\))?\??$"
-    typed = r"^<([\p{L}_][\p{L}\p{N}_]*:)?[\p{L}_][\p{L}\p{N}_]*>$"
-    braced = r"^\{\*?[\p{L}_][\p{L}\p{N}_]*(:[^}]*)?\}$"
+    name = r"[\p{L}_][\p{L}\p{N}_-]*"
+    named = rf"^:{name}(\(.*\))?\??$"
+    typed = rf"^<\s*(.*:\s*)?{name}\s*>$"
+    braced = rf"^\{{\s*(\*\s*)?{name}\s*(:.*)?\}}$"
     segments = F.filter(F.split(endpoint_path(path), "/"), lambda s: s != "")
     shaped = F.transform(segments, lambda s: F.when(s.rlike(named) | s.rlike(typed) | s.rlike(braced), F.lit("{param}")).otherwise(s))
     return F.when(path.rlike("^https?://"), path).otherwise(F.concat(F.lit("/"), F.array_join(shaped, "/")))
@@ -82,11 +83,11 @@ def strict_path(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    segments = F.split(F.lower(strict_path(path)), "/")
+    segments = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     name = F.element_at(segments, -1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     marked = F.arrays_overlap(F.slice(segments, 1, F.size(segments) - 1), F.array(*map(F.lit, TEST_DIRECTORIES)))
-    return marked | stem.rlike("^(test|spec)[_.-]|[_.-](test|tests|spec)$") | name.rlike(r"\.(test|spec)\.")
+    return marked | stem.rlike("^(test|spec)_|_(test|spec)$") | name.rlike(r"\.(test|spec)\.")
 
 
 def repo_matches(left: Column, right: Column) -> Column:

@@ -25,7 +25,7 @@ from graphledger.functions.exprs import domain_of
 # Fixed values that results depend on.
 LARGEST = 2_000_000
 HTTP_METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
-IGNORED_FOLDERS = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".next")
+IGNORED_FOLDERS = (".git", ".idea", ".ipynb_checkpoints", ".mypy_cache", ".next", ".pytest_cache", ".ruff_cache", ".turbo", ".vercel", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules")
 
 FINDING = "repo string, path string, tag string, predicate string, kind string, subject string, object string, detail string, line int"
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript", ".cs": "dotnet", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby"}

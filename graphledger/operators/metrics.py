@@ -9,6 +9,7 @@ from graphledger.functions.exprs import is_hash_urn
 
 # Fixed values that results depend on.
 STATUS_WEIGHT = {"canonical": 1.0, "candidate": 0.5, "demoted": 0.1}
+TRUST_WEIGHT = {"authoritative_declared": 1.0, "authoritative_static": 1.0, "deterministic_static": 0.95, "manual_override": 0.9, "runtime_observed": 0.85, "static_inferred": 0.7, "candidate": 0.45, "inferred_llm": 0.35}
 FRESH_DAYS = 365
 CORE = ("freshness", "opportunity", "grounding", "meta", "useful", "trust")
 
@@ -37,7 +38,7 @@ def grounding(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.agg(F.avg(F.coalesce("ok", F.lit(0.0))).alias("value"))
 
 
-def trust_mix(facts: DataFrame, evidence: DataFrame, class_weight: dict[str, float]) -> DataFrame:
+def trust_mix(facts: DataFrame, evidence: DataFrame, class_weight: dict[str, float] = TRUST_WEIGHT) -> DataFrame:
     """Mean over facts of status weight times the best evidence's class weight; no evidence counts 0."""
     best = evidence.groupBy(F.col("target_id").alias("fact_id")).agg(F.max(weight(F.col("derivation_class"), class_weight)).alias("best"))
     rows = facts.join(best, "fact_id", "left")

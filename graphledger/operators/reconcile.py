@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # Fixed values that results depend on.
 LEAST_LENGTH_RATIO = 0.35
 LEAST_SIMILARITY = 0.78
-MOST_CANDIDATES = 250
 
 
 def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -25,12 +24,16 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _segments(key: str) -> F.Column:
-    return F.filter(F.split(F.lower(key), "/"), lambda s: (s != "") & ~s.rlike(r"^v\d+$") & (s != "{param}"))
+    """Parts of a key between slashes, hyphens and underscores, without versions like v1."""
+    return F.filter(F.split(key, "[/_-]"), lambda s: (s != "") & ~s.rlike(r"^v\d+$"))
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of unmatched keys worth comparing: they share a segment or their first four characters, and lengths are alike."""
-    block = lambda x, k: x.select(F.col("key").alias(k)).distinct().withColumn("block", F.explode(F.array_distinct(F.concat(_segments(k), F.array(F.concat(F.lit("^"), F.substring(F.lower(k), 1, 4)))))))
+    """Pairs of unmatched keys worth comparing: they share a segment or their first four characters, and lengths are alike.
+
+    All such pairs are compared; there is no cap on how many a key has.
+    """
+    block = lambda x, k: x.select(F.col("key").alias(k)).distinct().withColumn("block", F.explode(F.array_distinct(F.concat(_segments(k), F.array(F.concat(F.lit("^"), F.substring(k, 1, 4)))))))
     pairs = block(left, "left_key").join(block(right, "right_key"), "block").select("left_key", "right_key").distinct()
     a, b = F.length("left_key"), F.length("right_key")
     return pairs.where(F.least(a, b) / F.greatest(a, b) >= LEAST_LENGTH_RATIO)

@@ -10,14 +10,14 @@ from graphledger.operators.graph import Graph
 #: (predicate, subject kind, object kind) that a dependency path may use.
 PATH_EDGES = [
     ("CALLS", "CodeSymbol", "CodeSymbol"),
+    ("CALLS", "CodeSymbol", "ExternalPackage"),
     ("CALLS", "CodeSymbol", "ExternalSymbol"),
-    ("CALLS", "CodeModule", "CodeSymbol"),
+    ("CALLS", "CodeSymbol", "CodeModule"),
     ("DEFINED_IN", "CodeSymbol", "CodeModule"),
-    ("IMPORTS", "CodeModule", "CodeModule"),
     ("IMPORTS", "CodeModule", "ExternalPackage"),
+    ("IMPORTS", "CodeModule", "CodeModule"),
     ("RESOLVES_TO_REPO", "ExternalPackage", "Repo"),
     ("RESOLVES_TO_SERVICE", "ExternalPackage", "Service"),
-    ("IMPLEMENTS", "CodeSymbol", "CodeSymbol"),
 ]
 
 
@@ -65,10 +65,14 @@ def constructor_bridges(graph: Graph) -> DataFrame:
 
 
 def reverse_impact(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Nodes that lead to a root, with the least hops and their tier: node, depth, tier. Roots themselves are left out."""
+    """Nodes that lead to a root, with the least hops: node, depth. Roots themselves are left out."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    rows = reach(back, roots, depth).where("depth > 0")
-    return rows.withColumn("tier", F.when(F.col("depth") == 1, "direct").when(F.col("depth") == 2, "near").otherwise("far"))
+    return reach(back, roots, depth).where("depth > 0")
+
+
+def impact_tiers(impact: DataFrame) -> DataFrame:
+    """How many nodes each number of hops reaches: depth, symbol_count."""
+    return impact.groupBy("depth").agg(F.count(F.lit(1)).alias("symbol_count"))
 
 
 def allowed_edges(graph: Graph) -> DataFrame:

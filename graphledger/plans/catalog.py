@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions import exprs
-from graphledger.operators import calls, diff, extract, graph, imports, linker, metrics, reconcile, surfaces, traverse
+from graphledger.operators import calls, diff, extract, graph, imports, linker, metrics, reconcile, review, surfaces, traverse
 from graphledger.plans.projections import call_graph, event_graph, frame, import_graph, page_graph, with_oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,11 +82,16 @@ def blast_radius(spark, sf):
 
 
 @query("q05_reverse_impact", _walk(3, back=True) + """
-SELECT node, depth, CASE depth WHEN 1 THEN 'direct' WHEN 2 THEN 'near' ELSE 'far' END AS tier FROM least WHERE depth > 0""")
+SELECT node, depth FROM least WHERE depth > 0""")
 def reverse_impact(spark, sf):
     return traverse.reverse_impact(traverse.call_edges(call_graph(spark, sf)), _root(spark, sf), depth=3)
 
 
+@query("q05_impact_tiers", _walk(3, back=True) + " SELECT depth, count(*) AS symbol_count FROM least WHERE depth > 0 GROUP BY depth")
+def impact_tiers(spark, sf):
+    return traverse.impact_tiers(reverse_impact(spark, sf))
+
+
 @query("q06_modules_importing", IMPORTS + f"""
 SELECT fact_id, s_display AS module, o_display AS package, category, ord FROM edges WHERE {MATCH.format(q=BRAND)} ORDER BY ord, fact_id LIMIT 25""")
 def modules_importing(spark, sf):
@@ -294,11 +299,10 @@ def grounding(spark, sf):
 
 
 @query("m08_trust_mix", EVIDENCE + """
-, best AS (SELECT target_id, max(CASE derivation_class WHEN 'runtime_observed' THEN 0.9 WHEN 'deterministic_static' THEN 0.8 ELSE 0.3 END) AS w FROM evidence GROUP BY target_id)
+, best AS (SELECT target_id, max(CASE derivation_class WHEN 'runtime_observed' THEN 0.85 WHEN 'deterministic_static' THEN 0.95 ELSE 0.35 END) AS w FROM evidence GROUP BY target_id)
 SELECT round(avg((CASE canonical_status WHEN 'canonical' THEN 1.0 WHEN 'candidate' THEN 0.5 ELSE 0.1 END)::DOUBLE * coalesce(w, 0)::DOUBLE), 9) AS value FROM order_facts LEFT JOIN best ON fact_id = target_id""")
 def trust_mix(spark, sf):
-    weights = {"runtime_observed": 0.9, "deterministic_static": 0.8, "llm_inferred": 0.3}
-    return metrics.trust_mix(*_evidence(spark, sf), weights).select(F.round("value", 9).alias("value"))
+    return metrics.trust_mix(*_evidence(spark, sf)).select(F.round("value", 9).alias("value"))
 
 
 @query("m09_useful_edge", CALLS + """
@@ -592,3 +596,65 @@ def handler_policies(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     handlers = p.selectExpr("p_brand AS module", "p_type AS qualname", "p_type AS handler").distinct()
     return linker.handler_policies(handlers, p.selectExpr("p_brand AS module", "CASE WHEN p_size > 25 THEN concat(p_type, '.m') ELSE p_type END AS qualname", "p_size AS policy").distinct())
+
+
+@query("l08_by_relevance", """
+WITH r AS (SELECT p_partkey AS ord, p_name AS name, CASE WHEN p_size % 3 <> 0 THEN concat('src/', p_brand, '.py') END AS path, CASE p_size % 4 WHEN 0 THEN 'known_linked' WHEN 1 THEN 'candidate' WHEN 2 THEN 'unlinked' ELSE 'missing' END AS status,
+  CASE p_size % 5 WHEN 0 THEN 'manual_override' WHEN 1 THEN 'runtime_observed' ELSE 'candidate' END AS derivation_class, p_size % 7 AS depth FROM part),
+s AS (SELECT *, CASE WHEN lower(name) = 'brand#11.py' THEN 3 WHEN coalesce(suffix(lower(path), 'brand#11.py'), false) THEN 2 WHEN contains(lower(name), 'brand#11.py') OR contains('brand#11.py', lower(name)) THEN 1 ELSE 0 END AS m,
+  CASE status WHEN 'known_linked' THEN 3 WHEN 'candidate' THEN 2 WHEN 'unlinked' THEN 1 ELSE 0 END AS l, CASE derivation_class WHEN 'manual_override' THEN 7 WHEN 'runtime_observed' THEN 4 ELSE 2 END AS d FROM r)
+SELECT ord, name, m, l, d, -depth AS n, row_number() OVER (ORDER BY m DESC, l DESC, d DESC, depth, path IS NOT NULL DESC, ord)::INTEGER AS place FROM s""")
+def by_relevance(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "p_partkey AS ord", "p_name AS name", "CASE WHEN p_size % 3 <> 0 THEN concat('src/', p_brand, '.py') END AS path", "CASE p_size % 4 WHEN 0 THEN 'known_linked' WHEN 1 THEN 'candidate' WHEN 2 THEN 'unlinked' ELSE 'missing' END AS status",
+        "CASE p_size % 5 WHEN 0 THEN 'manual_override' WHEN 1 THEN 'runtime_observed' ELSE 'candidate' END AS derivation_class", "p_size % 7 AS depth",
+    )
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "ord"))
+    return review.by_relevance(rows, "Brand#11.py").select("ord", "name", "score.m", "score.l", "score.d", "score.n", place.alias("place"))
+
+
+@query("l09_edge_roles", """
+WITH e AS (SELECT o_orderkey AS ord, o_custkey AS other_id, CASE WHEN o_custkey % 5 = 0 THEN 'ExternalPackage' ELSE 'CodeSymbol' END AS other_kind, CASE WHEN o_orderstatus = 'F' THEN concat('tests/c', o_custkey, '.py') ELSE concat('src/c', o_custkey, '.py') END AS other_path FROM orders),
+f AS (SELECT c_custkey AS other_id, c_mktsegment = 'BUILDING' AS stores, c_mktsegment = 'MACHINERY' AS acts FROM customer)
+SELECT ord, e.other_id, CASE WHEN starts_with(other_path, 'tests/') THEN 'test_assertion' WHEN other_kind = 'ExternalPackage' THEN 'generic_utility' WHEN stores THEN 'persistence' WHEN acts THEN 'external_side_effect' ELSE 'intra_repo_consumer' END AS edge_role FROM e LEFT JOIN f USING (other_id)""")
+def edge_roles(spark, sf):
+    edges = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS ord", "o_custkey AS other_id", "CASE WHEN o_custkey % 5 = 0 THEN 'ExternalPackage' ELSE 'CodeSymbol' END AS other_kind", "CASE WHEN o_orderstatus = 'F' THEN concat('tests/c', o_custkey, '.py') ELSE concat('src/c', o_custkey, '.py') END AS other_path")
+    facts = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS subject_id", "CASE c_mktsegment WHEN 'BUILDING' THEN 'HANDLES_MODEL' WHEN 'MACHINERY' THEN 'CALLS_ENDPOINT' ELSE 'IMPORTS' END AS predicate")
+    return review.edge_roles(edges, facts).select("ord", "other_id", "edge_role")
+
+
+@query("l11_reorder_in_place", """
+WITH r AS (SELECT o_orderkey AS ord, o_orderpriority AS grp, o_totalprice AS score FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, ord) AS k FROM r), b AS (SELECT grp, ord AS slot, row_number() OVER (PARTITION BY grp ORDER BY ord) AS k FROM r)
+SELECT ord, grp, slot FROM a JOIN b USING (grp, k)""")
+def reorder_in_place(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS ord", "o_orderpriority AS grp", "o_totalprice AS score")
+    return review.reorder_in_place(rows, ["grp"]).select("ord", "grp", "slot")
+
+
+@query("l14_within_budget", """
+WITH r AS (SELECT p_partkey AS id, p_retailprice AS rank, sum(length(p_name)) OVER (ORDER BY p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM part) SELECT * FROM r WHERE used <= 15000""")
+def within_budget(spark, sf):
+    return review.within_budget(spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_retailprice AS rank", "p_name AS text"), 15000)
+
+
+@query("l15_seats", """
+WITH r AS (SELECT p_type AS family, p_size AS score, p_partkey % 8 AS tier, p_partkey AS ord FROM part) , b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY family ORDER BY score DESC, ord) = 1) SELECT * FROM b ORDER BY score DESC, tier DESC, ord LIMIT 5""")
+def seats(spark, sf):
+    return review.seats(spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_type AS family", "p_size AS score", "p_partkey % 8 AS tier", "p_partkey AS ord"), 5)
+
+
+@query("j26_paired_deltas", """
+WITH t AS (SELECT o_custkey AS run_group, o_orderpriority AS task, CASE WHEN o_orderstatus = 'O' THEN 'on' ELSE 'off' END AS arm, o_totalprice AS value FROM orders),
+g AS (SELECT run_group, task, count(*) FILTER (arm = 'on') AS a, count(*) FILTER (arm = 'off') AS b, max(value) FILTER (arm = 'on') AS x, max(value) FILTER (arm = 'off') AS y FROM t GROUP BY ALL)
+SELECT run_group, task, CASE WHEN a > 1 OR b > 1 THEN 'duplicate' WHEN a = 0 OR b = 0 THEN 'unpaired' END AS problem, CASE WHEN a = 1 AND b = 1 THEN y - x END AS delta FROM g""")
+def paired_deltas(spark, sf):
+    return review.paired_deltas(spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS run_group", "o_orderpriority AS task", "CASE WHEN o_orderstatus = 'O' THEN 'on' ELSE 'off' END AS arm", "o_totalprice AS value"))
+
+
+@query("j27_baseline_drift", """
+WITH a AS (SELECT 'c' AS section, n_name AS key, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name), e AS (SELECT 'c' AS section, n_name AS key, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1 OR c_acctbal > 0 GROUP BY n_name)
+SELECT section, key, a.n AS actual, e.n AS expected FROM a FULL JOIN e USING (section, key) WHERE a.n IS DISTINCT FROM e.n""")
+def baseline_drift(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    count = lambda x: x.groupBy(F.lit("c").alias("section"), F.col("n_name").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return review.baseline_drift(count(rows), count(rows.where("n_regionkey <> 1 OR c_acctbal > 0")))

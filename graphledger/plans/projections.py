@@ -49,7 +49,7 @@ FROM {events}""",
     # Order lines are evidence of their order.
     "evidence": """
 SELECT concat('e', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20))) AS evidence_id, concat('o', CAST(l_orderkey AS VARCHAR(20))) AS target_id,
-  CASE l_returnflag WHEN 'A' THEN 'runtime_observed' WHEN 'N' THEN 'deterministic_static' ELSE 'llm_inferred' END AS derivation_class,
+  CASE l_returnflag WHEN 'A' THEN 'runtime_observed' WHEN 'N' THEN 'deterministic_static' ELSE 'inferred_llm' END AS derivation_class,
   CASE WHEN l_quantity > 10 THEN 'src/a.py' END AS path, CAST(l_linenumber AS INT) AS line_start, CAST(l_linenumber + l_quantity % 3 - 1 AS INT) AS line_end, l_shipdate AS ingested_at, l_orderkey * 10 + l_linenumber AS ord
 FROM {lineitem}""",
     "order_facts": """

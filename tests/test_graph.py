@@ -191,9 +191,9 @@ def test_reconcile_and_close_matches(spark):
 
 def test_metrics_closed_forms(spark):
     facts = spark.createDataFrame([("a", "canonical"), ("b", None)], "fact_id string, canonical_status string")
-    evidence = spark.createDataFrame([("a", "human_declared", "x.py", 1, 2), ("b", "llm_inferred", None, 1, 2)], "target_id string, derivation_class string, path string, line_start int, line_end int")
+    evidence = spark.createDataFrame([("a", "authoritative_declared", "x.py", 1, 2), ("b", "inferred_llm", None, 1, 2)], "target_id string, derivation_class string, path string, line_start int, line_end int")
     assert metrics.grounding(facts, evidence).first()[0] == 0.5
-    assert metrics.trust_mix(facts, evidence, {"human_declared": 1.0, "llm_inferred": 0.5}).first()[0] == 0.75
+    assert metrics.trust_mix(facts, evidence).first()[0] == (1.0 + 0.35) / 2
     assert metrics.grounding(facts.limit(0), evidence).first()[0] is None
 
 
