@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import domain_of
+from graphledger.operators import extract_config as config
 
 # Fixed values that results depend on.
 LARGEST = 2_000_000
@@ -251,6 +252,16 @@ def adapters_of(path: str) -> list[Adapter]:
         out.append(cname)
     if suffix in (".json", ".yaml", ".yml") and name != "package.json":
         out.append(openapi)
+    if suffix in (".yaml", ".yml"):
+        out += [config.kubernetes, config.serverless]
+    if suffix == ".json":
+        out.append(config.zappa)
+    if suffix == ".conf":
+        out.append(config.apache)
+    if suffix == ".tf":
+        out.append(config.terraform)
+    if suffix in (".yaml", ".yml", ".json", ".ini", ".toml", ".env", ".cfg", ".tf"):
+        out.append(config.channels)
     if suffix == ".proto":
         out.append(proto)
     if suffix == ".py":

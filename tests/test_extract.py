@@ -68,6 +68,47 @@ def test_openapi_and_manifests():
     assert {o for _, _, o in facts("package.json", '{"dependencies": {"@a/b": "1"}}')} == {"@a/b"}
 
 
+K8S = """
+apiVersion: apps/v1
+kind: Deployment
+metadata: {name: orders-api}
+spec: {template: {metadata: {labels: {app: orders-api, tier: web}}}}
+---
+apiVersion: v1
+kind: Service
+metadata: {name: orders-service}
+spec: {selector: {app: orders-api}}
+---
+apiVersion: networking.k8s.io/v1
+kind: Ingress
+metadata: {name: in}
+spec: {rules: [{host: orders.example.com, http: {paths: [{backend: {service: {name: orders-service}}}, {backend: {service: {name: other}}}]}}]}
+"""
+
+
+def test_kubernetes_golden():
+    target = "kubernetes_deployment:default/orders-api"
+    assert facts("k8s/a.yaml", K8S) == {("DEPLOYS_VIA_CONFIG", "", target), ("REFERENCES_DOMAIN", "", "orders.example.com"), ("ROUTES_DOMAIN_TO_DEPLOY", "orders.example.com", target)}
+    assert facts("a.yaml", "a: 1\n") == set() and gaps("a.yaml", "kind: x\napiVersion: [") == {"kubernetes_failed:ValueError"}
+
+
+def test_deployment_files():
+    arn = "arn:aws:sqs:eu-west-1:123456789012:orders-created"
+    sls = "functions:\n  ws: {events: [{websocket: {route: $connect}}]}\n  api: {events: [{http: {path: /orders, method: post}}]}\n"
+    assert facts("serverless.yml", sls) == {("EXPOSES_ENDPOINT", "ws", "WEBSOCKET $connect"), ("CONSUMES_EVENT", "ws", "websocket:$connect"), ("EXPOSES_ENDPOINT", "api", "POST /orders")}
+    got = facts("zappa_settings.json", json.dumps({"prod": {"app_function": "m.app", "events": [{"function": "h.c", "event_source": {"arn": arn}}]}}))
+    assert got == {("DEPLOYS_VIA_CONFIG", "", "zappa_lambda:prod:m.app"), ("CONSUMES_EVENT", "h.c", "sqs:orders-created"), ("REFERENCES_EVENT_CHANNEL", "", "sqs:orders-created")}
+    vhost = "<VirtualHost *:80>\n ServerName api.example.com # x\n WSGIScriptAlias / /srv/app/wsgi.py\n</VirtualHost>\n<VirtualHost *>\n ServerName no.example.com\n</VirtualHost>"
+    assert facts("site.conf", vhost) == {("REFERENCES_DOMAIN", "", "api.example.com"), ("ROUTES_DOMAIN_TO_DEPLOY", "api.example.com", "wsgi:/srv/app/wsgi.py")}
+    assert facts("main.tf", 'resource "r" "x" {\n name = "a.example.com"\n # name = "b.example.com"\n}') == {("REFERENCES_DOMAIN", "", "a.example.com")}
+
+
+def test_channels():
+    text = "a: arn:aws:sqs:us-east-1:123456789012:q.fifo\nb: https://sqs.us-east-1.amazonaws.com/123456789012/pay\nc: arn:aws:sns:us-east-1:123456789012:t\nd: arn:aws:sqs:us-east-1:123456789012:bad.name\n"
+    assert {o for _, _, o in facts("app.yml", text)} == {"sqs:q.fifo", "sqs:pay", "sns:t"}
+    assert {o for _, _, o in facts("prod.ini", "[m]\nemail_queue = email-created\nx = y\n")} == {"sqs:email-created"}
+
+
 def test_gaps_are_reported():
     assert gaps("a.ts", "x") == {"typescript_parser_unavailable"} and gaps("a.go", "x") == {"unsupported_language"}
     assert gaps("a.py", "x" * (extract.LARGEST + 1)) == {"file_too_large"}
