@@ -7,7 +7,7 @@ every rolling window of the same width finds a part of every repeat. Probes
 are pre-aggregated in each block of documents, so a passage that a third of
 the corpus shares costs one entry for each block of documents, not one for
 each document. Runs of hits are then extended to whole passages, which are
-settled by 128-bit hashes of all their words.
+settled by 96-bit hashes of all their words.
 
 Rows: a null text is empty; an empty text has no words. A null doc_id is
 larger than every id, so such a row loses what others hold and takes nothing
