@@ -1,10 +1,11 @@
 """Near-duplicate documents: an exact Jaccard join of word-shingle sets, by grouped prefixes.
 
-Shingles are put in one global order, rare ones first; two sets that are
-similar enough share a shingle in their short prefixes of that order. The
-order comes from a frequency table of fixed size, so it is the same for all
-documents and needs no counts of all shingles; it decides speed alone, never
-the result.
+Shingles are put in one global order, those that few documents hold first;
+two sets that are similar enough share a shingle in their short prefixes of
+that order. Frequencies are counted exactly enough for it: every block of
+documents sends each of its shingles once, and learns the size class of those
+that another document has too. All others, the great majority, come first and
+need no further work. The order decides speed alone, never the result.
 
 * Documents with equal sets stand for each other from the start.
 * Sets with the same prefix and size form a group; the prefixes of groups, not
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
-from graphledger.llm import tallies
+from graphledger.llm.blocks import blocked, opened
 from graphledger.llm.common import bucket_count, by_ids, texts, written
 from graphledger.llm.components import connected_components
 
 Key = tuple[pa.Scalar, ...]
-#: Cells of the frequency table.
-CELLS = 1 << 22
+#: Bits of a shingle's key within its bucket, and below them of its class.
+KEY_BITS, CLASS_BITS = 36, 4
+#: Tokens of this class (about 2 ** class documents) are dealt out over extra buckets.
+HEAVY = 10
 #: Bits of a shingle's hash below its rarity class.
 BITS = 58
 #: A prefix token is kept to this many bytes while lists are matched; sets are verified in full.
@@ -70,87 +73,121 @@ def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np
     return out, begin
 
 
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes >> A.U64(64 - BITS)) & A.U64(CELLS - 1)).astype(np.int64)
+def _joined(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket and KEY_BITS further bits of each hash, as one number."""
+    return (((hashes >> A.U64(40)) % A.U64(buckets)) << A.U64(KEY_BITS)) | (hashes & A.U64((1 << KEY_BITS) - 1))
 
 
-def _tally(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(CELLS, np.int64), [], 0
-        for batch in batches:
-            buf, offsets = A.text_bytes(batch.column("text"))
-            for i, j in A.runs(offsets):
-                hashes, _ = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                held.append(_cell(hashes).astype(np.int32))
-                size += len(hashes)
-                if size > CELLS // 2:
-                    counts += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=CELLS)
-        if counts.any():
-            yield tallies.packed(counts)
-
-    return run
-
-
-def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """A class for each cell of the frequency table: half powers of two of the count. Its size is fixed."""
-    counts = tallies.summed(docs.select("text").mapInArrow(_tally(words), tallies.SCHEMA), CELLS)
-    return np.minimum(2 * np.log2(counts + 1), 63).astype(np.uint8)
+def _tally(buckets: int, words: int):
+    """The shingles of a block, each once, with a class for how many documents here hold it."""
 
+    def run(key: Key, table: pa.Table) -> pa.Table:
+        _, buf, offsets = opened(table)
+        found = []
+        for i, j in A.runs(offsets):
+            hashes, begin = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+            joined, owner = _joined(hashes, buckets), A.owners(begin, np.arange(len(hashes)))
+            order = np.argsort(joined, kind="stable")
+            joined, owner = joined[order], owner[order]
+            new = np.ones(len(joined), bool)
+            new[1:] = (joined[1:] != joined[:-1]) | (owner[1:] != owner[:-1])
+            joined = joined[new]
+            first = A.group_starts(joined)
+            found.append((joined[first], np.diff(np.append(first, len(joined)))))
+        joined = np.concatenate([x for x, _ in found] or [np.empty(0, np.uint64)])
+        count = np.concatenate([x for _, x in found] or [np.empty(0, np.int64)])
+        if not len(joined):
+            return _rows(KEYS_SCHEMA, [])
+        order = np.argsort(joined, kind="stable")
+        first = A.group_starts(joined[order])
+        joined, count = joined[order][first], np.add.reduceat(count[order], first)
+        packed = ((joined & A.U64((1 << KEY_BITS) - 1)) << A.U64(CLASS_BITS)) | np.minimum(np.log2(count), 15).astype(np.uint64)
+        block = key[0].as_py()
+        return _rows(KEYS_SCHEMA, [(b, block, A.narrow(packed[s:e], 5)) for b, s, e in A.rows_by((joined >> A.U64(KEY_BITS)).astype(np.int64))])
 
-def _sets(batch: pa.RecordBatch, words: int, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each text's row and its set: distinct shingles in global order."""
-    buf, offsets = A.text_bytes(batch.column("text"))
-    for i, j in A.runs(offsets):
-        hashes, begin = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-        ordered = (classes[_cell(hashes)].astype(np.uint64) << A.U64(BITS)) | (hashes >> A.U64(64 - BITS))
-        for k in range(j - i):
-            yield i + k, np.unique(ordered[begin[k] : begin[k + 1]])
+    return run
 
 
-def _prefixes(words: int, percent: int, classes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, sign, prefix = [], [], []
-            for _, s in _sets(batch, words, classes):
+def _spread(key: Key, table: pa.Table) -> pa.Table:
+    """Shingles of one bucket that two documents hold, told to all their blocks with the class of their number."""
+    table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
+    payloads = table["keys"].to_pylist()
+    blocks = np.repeat(table["block"].to_numpy(), [len(x) // 5 for x in payloads])
+    packed = A.widen(b"".join(payloads), 5)
+    low, size = packed >> A.U64(CLASS_BITS), 1 << (packed & A.U64(15)).astype(np.int64)
+    order = np.argsort(low, kind="stable")
+    first = A.group_starts(low[order])
+    total = np.add.reduceat(size[order], first) if len(first) else size[:0]
+    spread = np.empty(len(low), np.int64)
+    spread[order] = np.repeat(total, np.diff(np.append(first, len(low))))
+    keep = spread > 1
+    out = (low[keep] << A.U64(CLASS_BITS)) | np.minimum(np.log2(spread[keep]), 15).astype(np.uint64)
+    bucket = key[0].as_py()
+    return _rows(KEYS_SCHEMA, [(bucket, b, A.narrow(out[s:e], 5)) for b, s, e in A.rows_by(blocks[keep])])
+
+
+KEYS = "bucket int, block int, keys binary"
+KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _prefixes(buckets: int, words: int, percent: int):
+    """Each document's set by size and digest, and the part of its prefix that other documents may share."""
+
+    def run(key: Key, table: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, buf, offsets = opened(table)
+        bucket = np.repeat(replies["bucket"].to_numpy().astype(np.uint64), [len(x) // 5 for x in replies["keys"].to_pylist()])
+        packed = A.widen(b"".join(replies["keys"].to_pylist()), 5)
+        known = (bucket << A.U64(KEY_BITS)) | (packed >> A.U64(CLASS_BITS))
+        order = np.argsort(known)
+        known, classes = known[order], packed[order] & A.U64(15)
+        rows = []
+        for i, j in A.runs(offsets):
+            hashes, begin = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+            ordered = hashes >> A.U64(64 - BITS)
+            if len(known):
+                joined = _joined(hashes, buckets)
+                place = np.minimum(np.searchsorted(known, joined), len(known) - 1)
+                ordered |= np.where(known[place] == joined, classes[place] << A.U64(BITS), A.U64(0))
+            for k in range(j - i):
+                s = np.unique(ordered[begin[k] : begin[k + 1]])
                 n = len(s)
+                plain = A.mix(s & A.U64((1 << BITS) - 1))
+                plain.sort()
                 up, _ = A.powers(0, n + 1)
-                weight = A.mix(s.copy())
-                sign.append((int((weight * up[:n]).sum()), int(weight.sum())))
-                size.append(n)
-                need = -(-percent * n // 100)
-                prefix.append(A.narrow(s[: n - need + 1], 8) if n else b"")
-            tail = [hash_bytes(p) for p in prefix]
-            one, two = np.array(sign, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(tail, pa.int64()), pa.array(prefix, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "pkey", "prefix"],
-            )
+                digest = np.array([(plain * up[:n]).sum(), plain.sum()], np.uint64).view(np.int64)
+                head = s[: n - -(-percent * n // 100) + 1] if n else s
+                own = int(np.searchsorted(head, A.U64(1) << A.U64(BITS)))  # classes from 1 on
+                rows.append((ids[i + k], n, int(digest[0]), int(digest[1]), hash_words(head), own, head[own:].astype("<u8").tobytes()))
+        columns = list(zip(*rows)) or [()] * 7
+        arrays = [A.ids_back(np.array(columns[0], np.int64)), *(pa.array(list(c), t) for c, t in zip(columns[1:], (*[pa.int64()] * 4, pa.int32(), pa.binary())))]
+        return pa.table(arrays, names=["doc_id", "n", "s1", "s2", "pkey", "own", "prefix"])
 
     return run
 
 
-def hash_bytes(payload: bytes) -> int:
-    values = np.frombuffer(payload, "<u8")
+def hash_words(values: np.ndarray) -> int:
     up, _ = A.powers(1, len(values) + 1)
     return int(A.mix(np.array([(A.mix(values.copy()) * up[: len(values)]).sum()], np.uint64)).view(np.int64)[0])
 
 
-def _post(buckets: int, heavy: int):
+def _post(buckets: int):
     """Prefix tokens by bucket; tokens that are frequent for sure are dealt out over extra buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gid, n, many = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("gid", "n", "many"))
+            gid, n, own_ = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("gid", "n", "own"))
             prefix = batch.column("prefix").to_pylist()
             size = np.array([len(p) // 8 for p in prefix], np.int64)
             token = np.frombuffer(b"".join(prefix), "<u8")
             row = np.repeat(np.arange(len(gid)), size)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size - own_, size)
             bucket = ((token >> A.U64(8 * TOKEN_BYTES - 12)) & A.U64((1 << 22) - 1)).astype(np.int64) % buckets
-            often = (token >> A.U64(BITS)) >= heavy
+            often = (token >> A.U64(BITS)) >= HEAVY
             bucket[often] = buckets + (gid[row[often]] % buckets)
             order = np.argsort(bucket, kind="stable")
             out = []
@@ -192,10 +229,14 @@ def _meet(buckets: int):
     return run
 
 
-def _whole_sets(words: int, classes: np.ndarray):
+def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.astype("<u8").tobytes() for _, s in _sets(batch, words, classes)]
+            buf, offsets = A.text_bytes(batch.column("text"))
+            found = []
+            for i, j in A.runs(offsets):
+                hashes, begin = shingle_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                found.extend(np.unique(hashes[begin[k] : begin[k + 1]]).astype("<u8").tobytes() for k in range(j - i))
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
     return run
@@ -228,25 +269,25 @@ def ngram_jaccard(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     spark = docs.sparkSession
     buckets = bucket_count(spark)
     whole = texts(docs)
-    classes = rarity(whole, words)
-    base = written(whole.mapInArrow(_prefixes(words, percent, classes), "doc_id long, n long, s1 long, s2 long, pkey long, prefix binary"))
+    dealt = blocked(docs)
+    shared = dealt.groupBy("block").applyInArrow(_tally(buckets, words), KEYS).groupBy("bucket").applyInArrow(_spread, KEYS)
+    base = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_prefixes(buckets, words, percent), "doc_id long, n long, s1 long, s2 long, pkey long, own int, prefix binary")
+    base = written(base)
     real = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = written(real.groupBy("s1", "s2", "n", "pkey").agg(F.min("doc_id").alias("rep")))
     groups = reps.groupBy("pkey", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("many"))
     members = written(reps.join(groups, ["pkey", "n"]).select("rep", "gid", "n", "many", "s1", "s2"))
     leaders = members.where("rep = gid").select("gid", "s1", "s2", "many")
-    marked = real.join(leaders, (real.doc_id == leaders.gid) & (real.s1 == leaders.s1) & (real.s2 == leaders.s2)).select("gid", "n", "many", "prefix")
-    # Counted in cells of the table, so this only asks whether a token is frequent beyond doubt.
-    heavy = int(max(28, np.percentile(classes[classes > 0], 99) + 4)) if classes.any() else 63
-    posted = marked.mapInArrow(_post(buckets, heavy), "bucket int, groups int, tokens int, payload binary").groupBy("bucket").applyInArrow(_meet(buckets), POSTING)
+    marked = real.join(leaders, (real.doc_id == leaders.gid) & (real.s1 == leaders.s1) & (real.s2 == leaders.s2)).select("gid", "n", "own", "prefix")
+    posted = marked.mapInArrow(_post(buckets), "bucket int, groups int, tokens int, payload binary").groupBy("bucket").applyInArrow(_meet(buckets), POSTING)
     crowd = members.where("many > 1").select(F.col("gid").alias("token"), "rep", "n", F.lit(0).alias("pos"), F.lit(True).alias("own"))
     lists = posted.join(members.select("rep", "gid"), "gid").select("token", "rep", "n", "pos", F.lit(False).alias("own")).unionByName(crowd)
     lists = written(lists)
-    links = _links(whole, lists, _closeness(percent), words, percent, classes)
+    links = _links(whole, lists, _closeness(percent), words, percent)
     components = connected_components(links)
     named = reps.join(components, reps.rep == components.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     # Rows with the same doc_id are one document, whatever their sets.
-    out = base.drop("prefix", "pkey").join(named, ["s1", "s2", "n"], "left")
+    out = base.drop("prefix", "pkey", "own").join(named, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -261,7 +302,7 @@ def _closeness(percent: int):
     return near
 
 
-def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, classes: np.ndarray) -> DataFrame:
+def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int) -> DataFrame:
     """Links that connect all sets which similar pairs in the lists connect; see the module's text."""
     links = tested = sets = None
     left, share = lists.withColumn("component", F.col("rep")), 1
@@ -277,7 +318,7 @@ def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int, c
         wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
-        more = written(by_ids(whole, wanted.withColumnRenamed("rep", "doc_id"), "left_semi").mapInArrow(_whole_sets(words, classes), "rep long, shingles binary"))
+        more = written(by_ids(whole, wanted.withColumnRenamed("rep", "doc_id"), "left_semi").mapInArrow(_whole_sets(words), "rep long, shingles binary"))
         sets = more if sets is None else sets.unionByName(more)
         seen = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set")), "b")
         seen = seen.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set")), "a").select("a", "b", "left_set", "right_set")
