@@ -41,6 +41,8 @@ Key = tuple[pa.Scalar, ...]
 KEY_BITS, CLASS_BITS = 36, 4
 #: Tokens of this class (about 2 ** class documents) are dealt out over extra buckets.
 HEAVY = 10
+#: 256 bits of a set: which counts of its shingles by hash are odd. Two sets differ in as many shingles at least as in bits.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Bits of a shingle's hash below its rarity class.
 BITS = 58
 #: A prefix token is kept to this many bytes while lists are matched; sets are verified in full.
@@ -160,12 +162,13 @@ def _prefixes(buckets: int, words: int, percent: int):
                 plain.sort()
                 up, _ = A.powers(0, n + 1)
                 digest = np.array([(plain * up[:n]).sum(), plain.sum()], np.uint64).view(np.int64)
+                odd = np.packbits(np.bincount((s & A.U64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
                 head = s[: n - -(-percent * n // 100) + 1] if n else s
                 own = int(np.searchsorted(head, A.U64(1) << A.U64(BITS)))  # classes from 1 on
-                rows.append((ids[i + k], n, int(digest[0]), int(digest[1]), hash_words(head), own, head[own:].astype("<u8").tobytes()))
-        columns = list(zip(*rows)) or [()] * 7
-        arrays = [A.ids_back(np.array(columns[0], np.int64)), *(pa.array(list(c), t) for c, t in zip(columns[1:], (*[pa.int64()] * 4, pa.int32(), pa.binary())))]
-        return pa.table(arrays, names=["doc_id", "n", "s1", "s2", "pkey", "own", "prefix"])
+                rows.append((ids[i + k], n, int(digest[0]), int(digest[1]), hash_words(head), own, head[own:].astype("<u8").tobytes(), *odd.tolist()))
+        columns = list(zip(*rows)) or [()] * 11
+        arrays = [A.ids_back(np.array(columns[0], np.int64)), *(pa.array(list(c), t) for c, t in zip(columns[1:], (*[pa.int64()] * 4, pa.int32(), pa.binary(), *[pa.int64()] * 4)))]
+        return pa.table(arrays, names=["doc_id", "n", "s1", "s2", "pkey", "own", "prefix", *ODD])
 
     return run
 
@@ -271,23 +274,23 @@ def ngram_jaccard(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     whole = texts(docs)
     dealt = blocked(docs)
     shared = dealt.groupBy("block").applyInArrow(_tally(buckets, words), KEYS).groupBy("bucket").applyInArrow(_spread, KEYS)
-    base = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_prefixes(buckets, words, percent), "doc_id long, n long, s1 long, s2 long, pkey long, own int, prefix binary")
+    base = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_prefixes(buckets, words, percent), "doc_id long, n long, s1 long, s2 long, pkey long, own int, prefix binary, odd0 long, odd1 long, odd2 long, odd3 long")
     base = written(base)
     real = base.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(real.groupBy("s1", "s2", "n", "pkey").agg(F.min("doc_id").alias("rep")))
+    reps = written(real.groupBy("s1", "s2", "n", "pkey", *ODD).agg(F.min("doc_id").alias("rep")))
     groups = reps.groupBy("pkey", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("many"))
-    members = written(reps.join(groups, ["pkey", "n"]).select("rep", "gid", "n", "many", "s1", "s2"))
+    members = written(reps.join(groups, ["pkey", "n"]).select("rep", "gid", "n", "many", "s1", "s2", *ODD))
     leaders = members.where("rep = gid").select("gid", "s1", "s2", "many")
     marked = real.join(leaders, (real.doc_id == leaders.gid) & (real.s1 == leaders.s1) & (real.s2 == leaders.s2)).select("gid", "n", "own", "prefix")
     posted = marked.mapInArrow(_post(buckets), "bucket int, groups int, tokens int, payload binary").groupBy("bucket").applyInArrow(_meet(buckets), POSTING)
-    crowd = members.where("many > 1").select(F.col("gid").alias("token"), "rep", "n", F.lit(0).alias("pos"), F.lit(True).alias("own"))
-    lists = posted.join(members.select("rep", "gid"), "gid").select("token", "rep", "n", "pos", F.lit(False).alias("own")).unionByName(crowd)
+    crowd = members.where("many > 1").select(F.col("gid").alias("token"), "rep", "n", F.lit(0).alias("pos"), F.lit(True).alias("own"), *ODD)
+    lists = posted.join(members.select("rep", "gid", *ODD), "gid").select("token", "rep", "n", "pos", F.lit(False).alias("own"), *ODD).unionByName(crowd)
     lists = written(lists)
     links = _links(whole, lists, _closeness(percent), words, percent)
     components = connected_components(links)
     named = reps.join(components, reps.rep == components.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     # Rows with the same doc_id are one document, whatever their sets.
-    out = base.drop("prefix", "pkey", "own").join(named, ["s1", "s2", "n"], "left")
+    out = base.drop("prefix", "pkey", "own", *ODD).join(named, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -307,10 +310,12 @@ def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int) -
     links = tested = sets = None
     left, share = lists.withColumn("component", F.col("rep")), 1
     while True:
-        centers = left.groupBy("token", "own", F.pmod(F.xxhash64("rep"), F.lit(share)).alias("part")).agg(F.min(F.struct("rep", "n", "pos", "component")).alias("c")).select("token", "own", "c.*")
-        c = centers.select("token", "own", *(F.col(x).alias(f"c_{x}") for x in ("rep", "n", "pos", "component")))
+        centers = left.groupBy("token", "own", F.pmod(F.xxhash64("rep"), F.lit(share)).alias("part")).agg(F.min(F.struct("rep", "n", "pos", "component", *ODD)).alias("c")).select("token", "own", "c.*")
+        c = centers.select("token", "own", *(F.col(x).alias(f"c_{x}") for x in ("rep", "n", "pos", "component", *ODD)))
         pairs = left.join(c, ["token", "own"]).where("rep <> c_rep AND component <> c_component")
         pairs = pairs.where(f"own OR ({near('n', 'pos', 'c_n', 'c_pos')})").where(f"100 * least(n, c_n) >= {percent} * greatest(n, c_n)")
+        apart = " + ".join(f"bit_count({x} ^ c_{x})" for x in ODD)
+        pairs = pairs.where(f"100 * (n + c_n - ({apart})) >= {percent} * (n + c_n + ({apart}))")
         pairs = pairs.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
