@@ -196,14 +196,37 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text between blanks; to the normaliser a line feed is one, and case does not matter in Latin text."""
+        if self.merges is not None and self.latin.fullmatch(text) and not ("<" in text and any(t in text for t in self.special)):
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def _words(self, piece: str) -> Sequence[str] | None:
+        """What the pattern finds in a piece in lower case; null where the library must look itself."""
+        if len(piece) > LONG:
+            return None
+        if piece.isascii():
+            low = piece.lower()
+            if low.isalpha():
+                return (low,)
+            if low[-1:] in (".", ",") and low[:-1].isalpha():
+                return low[:-1], low[-1]
+        if not self.latin.fullmatch(piece) or "<" in piece and any(t in piece for t in self.special):
+            return None
+        return self.split.findall(piece.lower())
+
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the memo."""
         slow = pieces
         if self.merges is not None:
-            fast, slow = [], []
+            fast, words, slow = [], [], []
             for p in pieces:
-                (fast if len(p) <= LONG and self.latin.fullmatch(p) and not any(t in p for t in self.special) else slow).append(p)
-            words = [[low] if (low := p.lower()).isalpha() else self.split.findall(low) for p in fast]
+                low = self._words(p)
+                if low is None:
+                    slow.append(p)
+                else:
+                    fast.append(p), words.append(low)
             if len(self.words) > MEMO:
                 self.words = {}
             new = list(set(chain.from_iterable(words)) - self.words.keys())
@@ -216,9 +239,9 @@ class WordEncoder:
                 self.memo[piece] = np.array(e.ids, "<u4").tobytes()
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > 2 * MEMO:
             self.memo = {}
-        split = [t.split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts]
         new = list(set(chain.from_iterable(split)) - self.memo.keys())
         self._learn(new)
         get = self.memo.__getitem__
