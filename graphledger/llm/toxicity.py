@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from graphledger.llm import arrays as A
 from graphledger.llm.common import texts, written
 
-#: Training rows of each class at most, the first by a hash of their text, and the longest text among them in bytes.
+#: Distinct training texts of each class at most, the first by their hash, and the longest among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
 WINDOW = 160
 GRAM = 5
@@ -124,7 +124,7 @@ def _probability(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _calibrated(wins: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, ...]:
-    """Logistic regression, each class weighted to its share among all training rows."""
+    """Logistic regression, each class weighted to its share among all distinct training texts."""
     x, y = _features(wins), toxic.astype(float)
     each = np.where(toxic, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
     w = np.zeros(x.shape[1])
@@ -170,7 +170,7 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most `rows` labelled rows of each class that are not held out, the first by a hash of the text.
+    """Fits on at most `rows` distinct labelled texts of each class that are not held out, the first by a hash of the text.
 
     Only texts up to SAMPLE_BYTES are learnt from; all texts are scored whole.
     """
@@ -178,13 +178,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     flags = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     # Texts stay where they are; only their hashes and sizes meet the labels.
     hashed = texts(docs).where(~held_out()).select("doc_id", F.xxhash64("text").alias("order"), F.octet_length("text").alias("size"))
-    known = written(hashed.join(flags, "doc_id").select("doc_id", "order", "size", (F.col("toxic") > 0).alias("toxic")))
+    known = hashed.join(flags, "doc_id").select("doc_id", "order", "size", (F.col("toxic") > 0).alias("toxic"))
+    # Copies of a text share its hash and would fill the sample; each text counts once in each class.
+    known = written(known.groupBy("order", "toxic").agg(F.min_by("size", "doc_id").alias("size"), F.min("doc_id").alias("doc_id")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(True, 0) / max(1, sum(counts.values()))
-    short = known.where(f"size BETWEEN 1 AND {SAMPLE_BYTES}").select("doc_id", "order", "toxic").distinct()
-    picked = [tuple(r) for kind in (True, False) for r in short.where(F.col("toxic") == kind).orderBy("order", "doc_id").limit(rows).collect()]
+    short = known.where(f"size BETWEEN 1 AND {SAMPLE_BYTES}").select("doc_id", "order", "toxic")
+    picked = [tuple(r) for kind in (True, False) for r in short.where(F.col("toxic") == kind).orderBy("order").limit(rows).collect()]
     chosen = F.broadcast(spark.createDataFrame(picked, "c_id long, c_order long, toxic boolean"))  # 2 * rows at most
-    found = texts(docs).join(chosen, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_order"))).select("text", "toxic", "c_order").collect()
+    found = texts(docs).join(chosen, (F.col("doc_id") == F.col("c_id")) & (F.xxhash64("text") == F.col("c_order"))).select("text", "toxic", "c_order").distinct().collect()
     found.sort(key=lambda r: (r["c_order"], r["text"], r["toxic"]))
     return fit([r["text"].encode() for r in found], [r["toxic"] for r in found], share)
 

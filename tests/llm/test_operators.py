@@ -284,6 +284,30 @@ def test_toxicity_learns_and_leaves_clean_texts(spark, nothing):
     assert toxicity.toxicity(nothing, empty).count() == 0
 
 
+def prose_of(rng, size=80):
+    return ["".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randint(1, 3))) for _ in range(size)]
+
+
+@pytest.mark.parametrize("kind", [1, 0])
+def test_toxicity_learns_beside_a_text_with_thousands_of_copies(spark, kind):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = prose_of(rng)
+        if i % 4 == 0:
+            for _ in range(3):
+                text.insert(rng.randrange(80), rng.choice(["vilewretch", "grossfool"]))
+        rows.append((i, " ".join(text), 1, 0.5))
+    # The text that comes first by its hash, so that its copies stand before all others.
+    lead = spark.createDataFrame([(" ".join(prose_of(rng)),) for _ in range(4000)], "text string").orderBy(F.xxhash64("text")).first()["text"]
+    copies = range(1000, 1000 + 4000)
+    docs = spark.createDataFrame([*rows, *((i, lead, 1, 0.5) for i in copies)], SCHEMA)
+    labels = spark.createDataFrame([*((i, int(i % 4 == 0)) for i in range(400)), *((i, kind) for i in copies)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
+
+
 def poisson(u, rate):
     k, p = 0, math.exp(-rate)
     total = p
