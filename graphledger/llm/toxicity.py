@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from graphledger.llm.common import texts, written
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
 WINDOW = 160
 GRAM = 5
-#: Bytes of a passage that sets a class apart, at most.
+#: Bytes of a piece of a passage that sets a class apart, at most.
 LONGEST = 24
 HEAD_BYTES, TAIL_BYTES = 8 << 10, 24 << 10
 
@@ -59,27 +61,73 @@ def _gram_counts(samples: Sequence[bytes]) -> Counter:
     return out
 
 
+def _pieces(passage: bytes) -> list[bytes]:
+    """The whole passage in pieces of LONGEST bytes at most, cut before a blank where one stands."""
+    out = []
+    while len(passage) > LONGEST:
+        most = min(LONGEST, len(passage) - GRAM)
+        at = passage.rfind(b" ", GRAM, most + 1)
+        at = at if at > 0 else most
+        out.append(passage[:at])
+        passage = passage[at:]
+    return [*out, passage]
+
+
 def _marked(samples: Sequence[bytes], grams: set[bytes], size: int) -> bytes:
-    """The commonest passages that such grams cover, the commonest last."""
-    found: Counter = Counter()
-    for data in samples:
+    """Passages that such grams cover, the most telling last.
+
+    A passage's rank is how many texts hold it; a text that holds k better
+    ones counts 1 / (k + 1), so that what many alike texts share leaves room
+    for what few others have.
+    """
+    held: dict[bytes, list[int]] = {}
+    for k, data in enumerate(samples):
         hit = np.fromiter((data[i : i + GRAM] in grams for i in range(max(0, len(data) - GRAM + 1))), bool)
         inside = A.covered(np.flatnonzero(hit), GRAM, len(data))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
-        # Longer ones come from copies of one text, and show nothing of the class.
-        found.update({data[s:e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()) if e - s <= LONGEST})
-    picked, total = [], 0
-    for passage, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if total + len(passage) <= size and not any(passage in p for p in picked[:500]):
-            picked.append(passage)
-            total += len(passage)
+        for piece in {p for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()) for p in _pieces(data[s:e])}:
+            held.setdefault(piece, []).append(k)
+    better = np.zeros(len(samples), np.int64)
+    queue = [(-float(len(texts)), p) for p, texts in held.items()]
+    heapify(queue)
+    picked, total, so_far = [], 0, bytearray()
+    while queue:
+        _, piece = heappop(queue)
+        if total + len(piece) > size or piece in so_far:
+            continue
+        now = (-float((1 / (1 + better[held[piece]])).sum()), piece)
+        if queue and now > queue[0]:  # ranks only fall, so the best of the others may be better now
+            heappush(queue, now)
+            continue
+        picked.append(piece)
+        total += len(piece)
+        so_far += piece + b"\0"
+        better[held[piece]] += 1
     return b"".join(reversed(picked))
 
 
+def _chance(c: int, k: int, share: float) -> float:
+    """How likely c or more of k texts are of a class that has this share of all texts."""
+    return sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * log(share) + (k - i) * log1p(-share)) for i in range(c, k + 1))
+
+
 def _set_apart(mine: Counter, n: int, other: Counter, m: int) -> set[bytes]:
-    """Grams of clearly more of this class's texts: at least twelve times the share, and in too many texts for chance."""
-    least = max(3, n // 25)
-    return {g for g, c in mine.items() if c >= least and c * (m + 1) >= 12 * (other.get(g, 0) + 1) * n}
+    """Grams of at least twelve times the share here, and in so many of this class's texts that chance gives one such gram in all."""
+    share = n / (n + m)
+    sizes = np.bincount(np.fromiter((c + other.get(g, 0) for g, c in mine.items()), np.int64))
+    # Grams of too few texts to tell whatever they are need no test (Tarone); the others share one false gram.
+    at_least = np.cumsum(sizes[::-1])[::-1].tolist()
+    tests = max((t for k, t in enumerate(at_least) if t * share**k <= 1), default=1)
+    chance: dict[tuple[int, int], float] = {}
+    out = set()
+    for g, c in mine.items():
+        o = other.get(g, 0)
+        if share ** (c + o) * tests <= 1 and c * (m + 1) >= 12 * (o + 1) * n:
+            if (c, o) not in chance:
+                chance[c, o] = _chance(c, c + o, share)
+            if chance[c, o] * tests <= 1:
+                out.add(g)
+    return out
 
 
 def _tail(samples: Sequence[bytes]) -> bytes:

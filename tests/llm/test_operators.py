@@ -308,6 +308,24 @@ def test_toxicity_learns_beside_a_text_with_thousands_of_copies(spark, kind):
     assert sum(got[i] == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
 
 
+@pytest.mark.parametrize("cues", [["".join(random.Random(i).choices("bcdfgijklmpquvwxyz", k=9)) for i in range(40)], ["zuqqi vub wixxo dyp kogga fuv jilbu mivvy puq"]])
+def test_toxicity_learns_rare_and_long_cues(cues):
+    """Forty words, each in a fortieth of the toxic texts; and a phrase of 45 bytes. All texts are of one size."""
+    rng = random.Random(4)
+    samples, toxic = [], []
+    for i in range(3000):
+        text = prose_of(rng, 150)
+        if i % 2:
+            cue = rng.choice(cues)
+            for _ in range(3):
+                text.insert(rng.randrange(40), cue)
+        samples.append(" ".join(text).encode()[:400]), toxic.append(bool(i % 2))
+    model = toxicity.fit(samples[:2700], toxic[:2700], 0.5)
+    scorer = toxicity.Scorer(model.toxic, model.ordinary)
+    scores = toxicity._probability(toxicity._features(np.array([scorer.wins(t) for t in samples[2700:]])), np.array(model.weights))
+    assert np.mean((scores >= 0.5) == np.array(toxic[2700:])) >= 0.95
+
+
 def poisson(u, rate):
     k, p = 0, math.exp(-rate)
     total = p
