@@ -167,7 +167,7 @@ class WordEncoder:
             self._copy(spec)
         except (KeyError, TypeError):
             self.merges = None
-        probes = ["a b", " a", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
+        probes = ["a b", " a", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "<|ENDOFTEXT|> a", "b<|EndOfText|>A <|StartOfText|>", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
         for copied in (True, False):
             if copied and self.merges is None:
                 continue
@@ -198,8 +198,11 @@ class WordEncoder:
 
     def _pieces(self, text: str) -> list[str]:
         """The text between blanks; to the normaliser a line feed is one, and case does not matter in Latin text."""
-        if self.merges is not None and self.latin.fullmatch(text) and not ("<" in text and any(t in text for t in self.special)):
-            text = text.lower()
+        if self.merges is not None and self.latin.fullmatch(text):
+            low = text.lower()
+            # Lower case must not make a special token, which the library looks for in the text as it is.
+            if not ("<" in low and any(t in low for t in self.special)):
+                text = low
         return text.replace("\n", " ").split(" ")
 
     def _words(self, piece: str) -> Sequence[str] | None:

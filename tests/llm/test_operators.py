@@ -198,6 +198,13 @@ def test_encoders_equal_their_libraries():
     assert [x.tolist() for x in words.ids(texts)] == [words.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_in_other_cases_are_text():
+    words = WordEncoder(WORDS)
+    texts = ["<|ENDOFTEXT|> a", "x <|EndOfText|>y Z", "<|endoftext|> <|ENDOFTEXT|> B", "<|StartOfText|>", "<|ENDOF\nTEXT|>"]
+    assert words.wordwise and words.merges is not None
+    assert [x.tolist() for x in words.ids(texts)] == [words.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize(("n", "symbols"), [(1, 1), (5, 3), (127, 9), (128, 9), (129, 9), (70000, 4000)])
 def test_huffman_round_trip(n, symbols):
     ids = (np.random.default_rng(n).zipf(1.3, n) % symbols).astype(np.int64)
