@@ -122,11 +122,11 @@ def import_consumer_leads(graph: Graph, module: str, names: list[str], limit: in
     return rows.orderBy("ord", "fact_id").limit(limit).select("fact_id", F.col("s_display").alias("module"))
 
 
-def transitive_members(bases: DataFrame, members: DataFrame, depth: int = 8) -> DataFrame:
-    """Members of classes and of all their bases: class_id, member. bases: class_id, base_id; members: class_id, member."""
+def transitive_members(bases: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of classes and of all their bases, however far: class_id, member. bases: class_id, base_id; members: class_id, member."""
     pairs = _cut(members.select(F.col("class_id").alias("own"), F.col("class_id").alias("at")).union(bases.select("class_id", "class_id")).distinct())
     front = pairs
-    for _ in range(depth):
+    while True:  # each pair is in front once, so cycles end too
         ahead = front.join(bases, front["at"] == bases.class_id).select("own", F.col("base_id").alias("at")).distinct()
         front = _cut(ahead.join(pairs, ["own", "at"], "left_anti"))
         if front.isEmpty():

@@ -210,3 +210,10 @@ def test_every_query_has_columns_like_its_oracle(spark):
     from graphledger.plans import catalog
 
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
+
+
+def test_members_of_deep_hierarchies(spark):
+    bases = spark.createDataFrame([*((f"c{i}", f"c{i + 1}") for i in range(11)), ("c11", "c10")], "class_id string, base_id string")
+    members = spark.createDataFrame([("c11", "far"), ("c0", "near")], "class_id string, member string")
+    got = {tuple(r) for r in traverse.transitive_members(bases, members).collect()}
+    assert got == {("c0", "near"), *((f"c{i}", "far") for i in range(12))}
