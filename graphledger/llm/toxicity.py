@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-Both end in the same content, so ordinary prose compresses alike with either,
-and begin with passages that set their own class apart. Each window of a text
+Two dictionaries end in the same content, which zstandard's trainer finds in
+ordinary text, so ordinary prose compresses alike with either. They begin with
+passages that set their own class apart, picked here: dictionaries trained on
+each class hardly tell them apart (figures in the README). Each window of a text
 is compressed with both; where the toxic dictionary wins, the text looks like
 toxic text. A document's wins are calibrated to a probability on training rows.
 
