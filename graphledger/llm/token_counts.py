@@ -46,8 +46,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, cache_path
     """One row for each document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     cache_path: a folder in a store that all executors reach; it is read if it
-    is there, and what was missing is appended to it. Without it the cache
-    lives as long as the session's shared folder.
+    is there, and what was missing is appended to it. Without it each call
+    begins with an empty cache in a new folder, as the registered query does,
+    and every distinct text is encoded once.
     """
     spark = docs.sparkSession
     version = version_of(model_path)
