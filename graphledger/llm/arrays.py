@@ -7,6 +7,7 @@ Python worker spends its time in numpy and never loops over words.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,11 @@ NO_ID = np.iinfo(np.int64).max
 #: Texts are worked on in runs of about this many bytes.
 RUN_BYTES = 1 << 20
 
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
+#: The first 0 to 8 bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _BYTE_SEEDS = (0x51A7, 0x9C3B)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -40,6 +46,8 @@ def _byte_table(which: int) -> np.ndarray:
     return rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
+#: Longer tables of powers are made anew each time, so that one very long text does not stay in a worker's memory.
+MOST_POWERS = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -48,13 +56,16 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
+        keep = size <= MOST_POWERS
         base = _BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, dtype=np.uint64)
             a[0] = 1
             out.append(np.cumprod(a, dtype=np.uint64))
-        have = _powers[which] = (out[0], out[1])
+        have = (out[0], out[1])
+        if keep:
+            _powers[which] = have
     return have[0][:n], have[1][:n]
 
 
@@ -110,11 +121,29 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray):
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span, by differences of one running sum."""
-    up, down = powers(which, len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_byte_table(which)[buf] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each span: eight bytes at a time, each mixed in before the next, long spans by BLAKE2.
+
+    Nothing here is linear in the bytes, so texts that are related (as the two
+    Thue-Morse words, which collide under every polynomial modulo 2**64) are
+    no likelier to meet than any others.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) ^ U64(_BASES[which]))
+    many = size > LONG_SPAN
+    for k in np.flatnonzero(many).tolist():
+        digest = hashlib.blake2b(buf[starts[k] : ends[k]], digest_size=8, salt=bytes([which])).digest()
+        out[k] = int.from_bytes(digest, "little")
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    live = np.flatnonzero(~many)
+    at, left, state = starts[live], size[live], out[live]
+    while len(live):
+        state = mix((state ^ (eight[at] & _MASKS[np.minimum(left, 8)])) * U64(_BASES[1 - which]))
+        done = left <= 8
+        out[live[done]] = state[done]
+        more = ~done
+        live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+    return out
 
 
 def rolling(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
