@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import block_count, texts, width
+from graphledger.llm.common import BLOCKS_PER_PARTITION, block_count, lean, texts, width
 
 SCHEMA = "block int, docs int, payload binary"
 
@@ -32,18 +32,20 @@ def _pack(blocks: int):
                 rows.append((b, j - i, packer.compress(head + body)))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["block", "docs", "payload"])
+        lean()
 
     return run
 
 
 def blocked(docs: DataFrame) -> DataFrame:
     """Documents dealt into blocks by id and length. The same exchange serves every pass over them in one plan."""
-    spark = docs.sparkSession
-    return texts(docs).mapInArrow(_pack(block_count(spark)), SCHEMA).repartition(width(spark), "block")
+    blocks = block_count(docs)
+    return texts(docs).mapInArrow(_pack(blocks), SCHEMA).repartition(max(width(docs.sparkSession), blocks // BLOCKS_PER_PARTITION), "block")
 
 
 def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids, the bytes and the offsets of a block's texts, in an order that every pass sees."""
+    lean()  # of the block before
     rows = sorted(zip(table["docs"].to_pylist(), table["payload"].to_pylist()))  # a shuffle may hand them over in any order
     ids, sizes, bodies = [], [], []
     for n, payload in rows:

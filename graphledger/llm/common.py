@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks of documents for each shuffle partition. Blocks times buckets is the number of payloads.
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _libc = None
+
+#: Blocks of documents for each shuffle partition, at least.
 BLOCKS_PER_PARTITION = 2
+#: Input, as it lies in its files, that a block takes at most on average, and that a bucket of keys may come from.
+BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 48 << 20
 
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(spark: SparkSession) -> int:
-    return width(spark) * BLOCKS_PER_PARTITION
+def input_bytes(frame: DataFrame) -> int:
+    """What the frame is read from, by the planner's figures; sources that tell no size count nothing."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
 
+def block_count(docs: DataFrame) -> int:
+    """Enough blocks that each fits a task's memory, whatever the number of partitions."""
+    return max(width(docs.sparkSession) * BLOCKS_PER_PARTITION, -(-input_bytes(docs) // BLOCK_BYTES))
 
-def bucket_count(spark: SparkSession) -> int:
-    """How many buckets keys are dealt into; it follows the cluster's partition count."""
-    return width(spark)
+
+def bucket_count(docs: DataFrame) -> int:
+    """How many buckets keys are dealt into: the partition count, or more where the input asks for them."""
+    return max(width(docs.sparkSession), -(-input_bytes(docs) // BUCKET_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +58,23 @@ FEW_IDS = 1 << 20
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The documents, with all their columns, whose doc_id is (left_semi) or is not (left_anti) among ids' doc_id."""
-    ids = written(ids.select("doc_id").distinct())
+    ids = written(ids.select(F.col("doc_id").alias("_chosen")).distinct())
+    key = ids["_chosen"]
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", how).select(docs.columns)
+    return docs.join(ids, docs["doc_id"] == key, how)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; only where that is unset, a local one of our own."""
+    """A new folder under the cluster's spark.checkpoint.dir; where that is unset, a session of one machine gets a local one."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir", None)
     if top is None:
         top = context._jsc.sc().getCheckpointDir()
         top = top.get() if top.isDefined() else None
     if top is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="graphledger-")
         context.setCheckpointDir(top)
     return f"{top.rstrip('/')}/graphledger-{uuid.uuid4().hex}"
@@ -64,4 +85,21 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = shared_folder(spark)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lean() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)

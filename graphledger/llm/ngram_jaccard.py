@@ -8,13 +8,17 @@ that another document has too. All others, the great majority, come first and
 need no further work. The order decides speed alone, never the result.
 
 * Documents with equal sets stand for each other from the start.
-* Sets with the same prefix and size form a group; the prefixes of groups, not
-  of documents, are matched, and groups whose prefixes meet are expanded.
-* Candidates are verified on whole sets. Of each list of sets that meet in a
-  shingle one is tested against all others; then those not yet connected go on
-  with more of them tested at once, until nothing is left to test. So large
-  groups of near copies cost a few tests for each member instead of all pairs,
-  and every pair of sets is either tested or already connected.
+* Sets with the same prefix and size form a group (about GROUP sets; more make
+  several groups). The prefixes of groups, not of documents, are matched, and
+  lists of the same groups that several shingles make count once.
+* Pairs of groups whose prefixes meet are filtered by sizes and by the places
+  of the shared shingle; those left are expanded to their members, filtered by
+  parity bits and verified on whole sets.
+* Of each list of groups one is tested against all others; lists that this
+  does not connect go on with many centres at once, small lists with all their
+  pairs, until nothing is left. So large groups of near copies cost a few tests
+  for each member instead of all pairs, and every pair of sets is either
+  tested, excluded by a bound, or already connected.
 
 Rows: without text or words a document has an empty set and links with
 nothing; with fewer than `words` words its whole sequence is its one shingle.
@@ -33,16 +37,20 @@ from pyspark.sql import functions as F
 
 from graphledger.llm import arrays as A
 from graphledger.llm.blocks import blocked, opened
-from graphledger.llm.common import bucket_count, by_ids, texts, written
-from graphledger.llm.components import connected_components
+from graphledger.llm.common import bucket_count, by_ids, discard, texts, written
+from graphledger.llm.components import merged
 
 Key = tuple[pa.Scalar, ...]
 #: Bits of a shingle's key within its bucket, and below them of its class.
 KEY_BITS, CLASS_BITS = 36, 4
 #: Tokens of this class (about 2 ** class documents) are dealt out over extra buckets.
 HEAVY = 10
-#: 256 bits of a set: which counts of its shingles by hash are odd. Two sets differ in as many shingles at least as in bits.
-ODD = ("odd0", "odd1", "odd2", "odd3")
+#: 512 bits of a set: which counts of its shingles by hash are odd. Two sets differ in as many shingles at least as in bits.
+ODD = tuple(f"odd{k}" for k in range(8))
+#: Sets of a group, about.
+GROUP = 4
+#: Centres of a list in its first round, and how many times as many in each further one.
+MORE_CENTRES = 32
 #: Bits of a shingle's hash below its rarity class.
 BITS = 58
 #: A prefix token is kept to this many bytes while lists are matched; sets are verified in full.
@@ -162,12 +170,12 @@ def _prefixes(buckets: int, words: int, percent: int):
                 plain.sort()
                 up, _ = A.powers(0, n + 1)
                 digest = np.array([(plain * up[:n]).sum(), plain.sum()], np.uint64).view(np.int64)
-                odd = np.packbits(np.bincount((s & A.U64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+                odd = np.packbits(np.bincount((s & A.U64(64 * len(ODD) - 1)).astype(np.int64), minlength=64 * len(ODD)).astype(np.uint8) & 1).view(np.int64)
                 head = s[: n - -(-percent * n // 100) + 1] if n else s
                 own = int(np.searchsorted(head, A.U64(1) << A.U64(BITS)))  # classes from 1 on
                 rows.append((ids[i + k], n, int(digest[0]), int(digest[1]), hash_words(head), own, head[own:].astype("<u8").tobytes(), *odd.tolist()))
-        columns = list(zip(*rows)) or [()] * 11
-        arrays = [A.ids_back(np.array(columns[0], np.int64)), *(pa.array(list(c), t) for c, t in zip(columns[1:], (*[pa.int64()] * 4, pa.int32(), pa.binary(), *[pa.int64()] * 4)))]
+        columns = list(zip(*rows)) or [()] * (7 + len(ODD))
+        arrays = [A.ids_back(np.array(columns[0], np.int64)), *(pa.array(list(c), t) for c, t in zip(columns[1:], (*[pa.int64()] * 4, pa.int32(), pa.binary(), *[pa.int64()] * len(ODD))))]
         return pa.table(arrays, names=["doc_id", "n", "s1", "s2", "pkey", "own", "prefix", *ODD])
 
     return run
@@ -269,28 +277,31 @@ def ngram_jaccard(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """
     if words < 1 or not 0 < percent <= 100:
         raise ValueError("words must be at least 1, percent from 1 to 100")
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(docs)
     whole = texts(docs)
     dealt = blocked(docs)
     shared = dealt.groupBy("block").applyInArrow(_tally(buckets, words), KEYS).groupBy("bucket").applyInArrow(_spread, KEYS)
-    base = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_prefixes(buckets, words, percent), "doc_id long, n long, s1 long, s2 long, pkey long, own int, prefix binary, odd0 long, odd1 long, odd2 long, odd3 long")
+    odd = "".join(f", {x} long" for x in ODD)
+    base = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_prefixes(buckets, words, percent), f"doc_id long, n long, s1 long, s2 long, pkey long, own int, prefix binary{odd}")
     base = written(base)
     real = base.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(real.groupBy("s1", "s2", "n", "pkey", *ODD).agg(F.min("doc_id").alias("rep")))
-    groups = reps.groupBy("pkey", "n").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("many"))
-    members = written(reps.join(groups, ["pkey", "n"]).select("rep", "gid", "n", "many", "s1", "s2", *ODD))
-    leaders = members.where("rep = gid").select("gid", "s1", "s2", "many")
+    reps = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("pkey", *ODD))))
+    alike = reps.groupBy("pkey", "n").agg(F.count(F.lit(1)).alias("alike"))
+    dealt_out = reps.join(alike, ["pkey", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("alike") / GROUP)))
+    groups = dealt_out.groupBy("pkey", "n", "part").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("many"))
+    members = written(dealt_out.join(groups, ["pkey", "n", "part"]).select("rep", "gid", "n", "many", "s1", "s2", *ODD))
+    leaders = members.where("rep = gid").select("gid", "s1", "s2")
     marked = real.join(leaders, (real.doc_id == leaders.gid) & (real.s1 == leaders.s1) & (real.s2 == leaders.s2)).select("gid", "n", "own", "prefix")
-    posted = marked.mapInArrow(_post(buckets), "bucket int, groups int, tokens int, payload binary").groupBy("bucket").applyInArrow(_meet(buckets), POSTING)
-    crowd = members.where("many > 1").select(F.col("gid").alias("token"), "rep", "n", F.lit(0).alias("pos"), F.lit(True).alias("own"), *ODD)
-    lists = posted.join(members.select("rep", "gid", *ODD), "gid").select("token", "rep", "n", "pos", F.lit(False).alias("own"), *ODD).unionByName(crowd)
-    lists = written(lists)
-    links = _links(whole, lists, _closeness(percent), words, percent)
-    components = connected_components(links)
-    named = reps.join(components, reps.rep == components.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
+    posted = written(marked.mapInArrow(_post(buckets), "bucket int, groups int, tokens int, payload binary").groupBy("bucket").applyInArrow(_meet(buckets), POSTING))
+    # Shingles of one passage make the same list; one of them stands for all.
+    same = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"x{k}") for k in (0, 1)), F.min("gid").alias("low"), F.max("gid").alias("high"))
+    kept = same.where("size > 1").groupBy("size", "x0", "x1", "low", "high").agg(F.min("token").alias("token")).select("token")
+    lists = written(posted.join(kept, "token").join(members.where("rep = gid").select("gid", "many", *ODD), "gid").select("token", "gid", "n", "pos", "many", *ODD))
+    labels = _connected(whole, lists, members, words, percent)
+    named = reps.join(labels, reps.rep == labels.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     # Rows with the same doc_id are one document, whatever their sets.
     out = base.drop("prefix", "pkey", "own", *ODD).join(named, ["s1", "s2", "n"], "left")
+    discard(posted, lists, members)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -305,40 +316,73 @@ def _closeness(percent: int):
     return near
 
 
-def _links(whole: DataFrame, lists: DataFrame, near, words: int, percent: int) -> DataFrame:
-    """Links that connect all sets which similar pairs in the lists connect; see the module's text."""
-    links = tested = sets = None
-    left, share = lists.withColumn("component", F.col("rep")), 1
+def _apart(left: str, right: str) -> str:
+    """In how many parity bits two sets differ, as SQL."""
+    return " + ".join(f"bit_count({left}{x} ^ {right}{x})" for x in ODD)
+
+
+def _similar_enough(n: str, m: str, apart: str, percent: int) -> str:
+    """Whether sets of these sizes that differ in `apart` shingles at least may link."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND 100 * ({n} + {m} - ({apart})) >= {percent} * ({n} + {m} + ({apart}))"
+
+
+def _group_pairs(left: DataFrame, share: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of groups to expand, and the centres. left: lists with the span of components of each group, and the list's size."""
+    near = _closeness(percent)
+    part = F.when(F.col("size") <= 4 * share, F.col("gid")).otherwise(F.pmod(F.xxhash64("gid"), F.lit(share))) if share > 1 else F.lit(0)
+    kept = ("gid", "n", "pos", "many", "low", "high", *ODD)
+    centres = left.groupBy("token", part.alias("part")).agg(F.min(F.struct(*kept)).alias("c")).select("token", "c.*")
+    c = centres.select("token", *(F.col(x).alias(f"c_{x}") for x in kept))
+    pairs = left.join(c, "token").where("gid <> c_gid AND NOT (low = high AND c_low = c_high AND low = c_low)").where(near("n", "pos", "c_n", "c_pos"))
+    # The bits of a group of one are its member's.
+    pairs = pairs.where(f"many > 1 OR c_many > 1 OR {_similar_enough('n', 'c_n', _apart('', 'c_'), percent)}")
+    return pairs.select(F.least("gid", "c_gid").alias("a"), F.greatest("gid", "c_gid").alias("b")).distinct(), centres.select("token", "gid")
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of paired groups that sizes and bits leave; GROUP squared for each pair of groups, about."""
+    x, y = (members.select(F.col("gid").alias(g), *(F.col(k).alias(f"{g}_{k}") for k in ("rep", "n", *ODD))) for g in ("a", "b"))
+    met = pairs.join(x, "a").join(y, "b").where("a <> b OR a_rep < b_rep").where(_similar_enough("a_n", "b_n", _apart("a_", "b_"), percent))
+    return met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+
+
+def _verified(whole: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that link by their whole sets; only texts that a pair names are read into sets."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(by_ids(whole, wanted, "left_semi").mapInArrow(_whole_sets(words), "rep long, shingles binary"))
+    seen = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set")), "b")
+    seen = seen.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set")), "a").select("a", "b", "left_set", "right_set")
+    links = written(seen.mapInArrow(_verify(percent), "a long, b long").distinct())
+    discard(sets)
+    return links
+
+
+def _connected(whole: DataFrame, lists: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of all sets that links connect; see the module's text."""
+    left = lists.withColumns({"low": F.col("gid"), "high": F.when(F.col("many") > 1, F.bitwise_not("gid")).otherwise(F.col("gid")), "size": F.lit(0)})
+    tested, labels, share = None, None, 1
     while True:
-        centers = left.groupBy("token", "own", F.pmod(F.xxhash64("rep"), F.lit(share)).alias("part")).agg(F.min(F.struct("rep", "n", "pos", "component", *ODD)).alias("c")).select("token", "own", "c.*")
-        c = centers.select("token", "own", *(F.col(x).alias(f"c_{x}") for x in ("rep", "n", "pos", "component", *ODD)))
-        pairs = left.join(c, ["token", "own"]).where("rep <> c_rep AND component <> c_component")
-        pairs = pairs.where(f"own OR ({near('n', 'pos', 'c_n', 'c_pos')})").where(f"100 * least(n, c_n) >= {percent} * greatest(n, c_n)")
-        apart = " + ".join(f"bit_count({x} ^ c_{x})" for x in ODD)
-        pairs = pairs.where(f"100 * (n + c_n - ({apart})) >= {percent} * (n + c_n + ({apart}))")
-        pairs = pairs.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
-        more = written(by_ids(whole, wanted.withColumnRenamed("rep", "doc_id"), "left_semi").mapInArrow(_whole_sets(words), "rep long, shingles binary"))
-        sets = more if sets is None else sets.unionByName(more)
-        seen = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right_set")), "b")
-        seen = seen.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left_set")), "a").select("a", "b", "left_set", "right_set")
-        found = written(seen.mapInArrow(_verify(percent), "a long, b long").distinct())
-        links = found if links is None else links.unionByName(found)
+        pairs, centres = _group_pairs(left, share, percent)
+        if tested is None:
+            inside = members.where("many > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")).distinct()
+            pairs = written(pairs.unionByName(inside))
+        else:
+            pairs = written(written(pairs).join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        # What is left: lists without the sets that were tested against all, while they are not one component.
-        rest = left.drop("component").join(c.select("token", "own", F.col("c_rep").alias("rep")), ["token", "own", "rep"], "left_anti")
-        known = connected_components(links)
-        rest = rest.join(known, rest.rep == known.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        open_ = rest.groupBy("token", "own").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "own")
-        left = written(rest.join(open_, ["token", "own"], "left_semi"))
+        if labels is None or not pairs.isEmpty():
+            links = _verified(whole, written(_expanded(pairs, members, percent)), words, percent)
+            if labels is None or not links.isEmpty():
+                labels = merged(labels, links)
+        # What is left: lists without the groups that were tested against all, while they are not one component.
+        rest = left.drop("low", "high", "size").join(centres, ["token", "gid"], "left_anti")
+        held = members.join(rest.select("gid").distinct(), "gid", "left_semi").join(labels, members.rep == labels.node, "left").groupBy("gid").agg(F.min(F.coalesce("component", "rep")).alias("low"), F.max(F.coalesce("component", "rep")).alias("high"))
+        rest = written(rest.join(held, "gid"))
+        open_ = rest.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most AND size > 1").select("token", "size")
+        before, left = left, written(rest.join(open_, "token"))
+        discard(rest, before if share > 1 else None)
         if left.isEmpty():
-            return links
-        share *= 8
+            return labels
+        share *= MORE_CENTRES
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

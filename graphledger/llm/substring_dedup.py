@@ -298,8 +298,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(docs)
     block_words = (window + 1) // 2
     dealt = blocked(docs)
     replies = dealt.groupBy("block").applyInArrow(_probe(buckets, block_words), PROBE).groupBy("bucket").applyInArrow(_match, PROBE)

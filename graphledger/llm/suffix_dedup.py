@@ -418,8 +418,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_kept: bool = False, hot
     """
     if length < 16:
         raise ValueError("length must be at least 16 bytes")
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(docs)
     dealt = blocked(docs)
     anchors = dealt.groupBy("block").applyInArrow(_probe(buckets, length), KEYS).groupBy("bucket").applyInArrow(_match(hot), KEYS)
     strings = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_send(buckets, length), KEYS)
