@@ -25,10 +25,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphledger.llm import arrays as A
-from graphledger.llm.common import texts, written
+from graphledger.llm.common import lean, texts, written
 
 #: Distinct training texts of each class at most, the first by their hash, and the longest among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
@@ -240,28 +239,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit([r["text"].encode() for r in found], [r["toxic"] for r in found], share)
 
 
+def _scores(scorer: Scorer, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    wins = [scorer.wins(t.as_buffer().to_pybytes()) if t.is_valid else scorer.wins(b"") for t in column.cast(pa.large_binary())]
+    return _probability(_features(np.array(wins, float).reshape(-1, 4)), weights)
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, weights = Scorer(model.toxic, model.ordinary), np.array(model.weights)
         for batch in batches:
-            wins = np.array([scorer.wins(t.as_buffer().to_pybytes()) for t in batch.column("text").cast(pa.large_binary())], float).reshape(-1, 4)
-            scores = _probability(_features(wins), weights)
-            kept = [batch.column(c) for c in batch.schema.names]
-            yield pa.record_batch([*kept, pa.array(scores)], names=[*batch.schema.names, "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(_scores(scorer, weights, batch.column("text")))], names=["doc_id", "score"])
+
+    return run
+
+
+def _keep(model: Model, text: int):
+    """Rows whose column number `text` does not score as toxic; all columns go by place, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, weights = Scorer(model.toxic, model.ordinary), np.array(model.weights)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(scorer, weights, batch.column(text)) < 0.5))
+        lean()
 
     return run
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each document: doc_id, held_out, score from 0 to 1, predicted (1 from 0.5 on)."""
-    rows = texts(docs).mapInArrow(_score(model), "doc_id long, text string, score double")
+    rows = texts(docs).mapInArrow(_score(model), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, whose text does not score as toxic."""
-    names = [c for c in docs.columns if c != "text"]
-    carried = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.col("text").alias("text_as_it_is"), *names).alias("row"))
-    schema = T.StructType([*carried.schema.fields, T.StructField("score", T.DoubleType())])
-    kept = carried.mapInArrow(_score(model), schema).where("score < 0.5")
-    return kept.select(*(F.col("row.text_as_it_is").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The documents, with all their columns, whose text does not score as toxic; a null text counts as empty."""
+    return docs.mapInArrow(_keep(model, docs.columns.index("text")), docs.schema)
