@@ -13,12 +13,15 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a memo may hold before it starts afresh.
-MEMO = 400_000
+#: Pieces that a memo may hold before it starts afresh (under 100 MB), and characters of text that are looked up at once.
+MEMO, RUN_CHARS = 300_000, 1 << 18
 #: Longer pieces are encoded each time they occur.
 LONG = 64
 
 
+_STOP, _COMMA = re.compile(r"(?<=[a-z])\.(?= )"), re.compile(r"(?<=[a-z]),(?= )")
+
+
 class PieceCounter:
     """Counts of a sentencepiece model's tokens."""
 
@@ -63,91 +66,15 @@ class PieceCounter:
         return list(chain.from_iterable(self._count(texts[i : i + 256]) for i in range(0, len(texts), 256)))
 
 
-class Merges:
-    """Byte-pair merging of many words at once, as the library does it: lowest rank first, then leftmost."""
-
-    def __init__(self, model: dict):
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        symbols = _byte_symbols()
-        self.inner = np.array([vocab[c] for c in symbols], np.int64)
-        self.last = np.array([vocab[c + suffix] for c in symbols], np.int64)
-        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"]]
-        key = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.order = np.argsort(key, kind="stable")
-        self.key, self.made, self.none = key[self.order], made, len(key)
-        # Most pairs have no merge; one look at a table of bits tells.
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self._slot(key)] = True
-
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << 32) | right
-        out = np.full(key.shape, self.none, np.int64)
-        some = np.flatnonzero(self.bits[self._slot(key)])
-        at = np.minimum(np.searchsorted(self.key, key[some]), self.none - 1)
-        hit = self.key[at] == key[some]
-        out[some[hit]] = self.order[at[hit]]
-        return out
-
-    def ids(self, words: Sequence[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit numbers; no word is empty."""
-        out: list[bytes] = [b""] * len(words)
-        size = np.array([len(w) for w in words])
-        for n in np.unique(size).tolist():
-            rows = np.flatnonzero(size == n)
-            raw = np.frombuffer(b"".join(words[r] for r in rows.tolist()), np.uint8).reshape(-1, n)
-            ids = self.inner[raw]
-            ids[:, -1] = self.last[raw[:, -1]]
-            self._merge(ids, rows, out)
-        return out
-
-    def _merge(self, ids: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
-        """All rows lose one symbol a round, those without a merge leave."""
-        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
-        while True:
-            n = ids.shape[1]
-            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(ids), np.int64)
-            best = ranks[np.arange(len(ids)), at] if n > 1 else np.full(len(ids), self.none)
-            done = best == self.none
-            flat = ids[done].astype("<u4").tobytes()
-            for k, r in enumerate(rows[done].tolist()):
-                out[r] = flat[4 * n * k : 4 * n * (k + 1)]
-            if done.all():
-                return
-            ids, ranks, rows, at, best = ids[~done], ranks[~done], rows[~done], at[~done], best[~done]
-            each = np.arange(len(ids))
-            ids[each, at] = self.made[best]
-            places = np.arange(n - 1)
-            ids = ids[each[:, None], places + (places > at[:, None])]
-            if n == 2:
-                ranks = np.empty((len(ids), 0), np.int64)
-                continue
-            places = np.arange(n - 2)
-            ranks = ranks[each[:, None], places + (places >= at[:, None])]
-            left = np.flatnonzero(at > 0)
-            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
-            right = np.flatnonzero(at < n - 2)
-            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
-
-
-def _byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 itself, the rest from U+0100 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-
-
 class WordEncoder:
-    """Ids of a tokenizers-library tokenizer whose words end at white space.
-
-    Pieces that are Latin text only go through Merges, a copy of the library's
-    rules that is much faster for many short words; all others, and all pieces
-    of a tokenizer that this copy does not fit, go through the library. Each
-    new encoder compares the two on samples before it trusts the copy.
+    """Ids of a tokenizers-library tokenizer whose words end at white space; the library encodes every piece.
+
+    New pieces go to the library many at a time. Where its pattern parts
+    letters from full stops, a full stop stands between pieces of letters;
+    other pieces have a special token between them, at which the library cuts
+    before all else. So each piece is encoded by itself. Each new encoder
+    compares this with whole texts on samples; where they differ, the library
+    gets every text as it is.
     """
 
     def __init__(self, path: str):
@@ -155,97 +82,72 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.merges, self.split = None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        try:
-            self._copy(spec)
-        except (KeyError, TypeError):
-            self.merges = None
-        probes = ["a b", " a", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "<|ENDOFTEXT|> a", "b<|EndOfText|>A <|StartOfText|>", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
-        for copied in (True, False):
-            if copied and self.merges is None:
-                continue
-            self.memo, self.words = {}, {}
-            if not copied:
-                self.merges = None
-            self.wordwise = all(self._encode([p])[0] == self._plain(p) for p in probes)
-            if self.wordwise:
-                break
-        self.memo, self.words = {}, {}
-
-    def _copy(self, spec: dict) -> None:
-        """Takes the rules over if they are those that Merges knows: NFC, blanks, lower case; one pattern; byte-level words."""
-        import regex
-
-        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
-        model = spec["model"]
-        known = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and split["behavior"] == "Removed" and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
-        if known and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["continuing_subword_prefix"] and model["dropout"] is None and not model["ignore_merges"]:
-            self.split = regex.compile(split["pattern"]["Regex"])
-            self.latin = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]*+")
-            self.special = [t["content"] for t in spec["added_tokens"]]
-            self.merges = Merges(model)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        between = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.between, self.between_id = (between[-1]["content"], between[-1]["id"]) if between else ("", -1)
+        steps = spec["normalizer"] or {}
+        kinds = [n["type"] for n in steps.get("normalizers", [steps])  if n]
+        # In Latin text lower case is the same before and after composition, so pieces in either case may share an entry.
+        self.latin = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]*+") if kinds == ["NFC", "Replace", "Lowercase"] else None
+        self.stop_id = -1
+        stop = self.model.encode(".", add_special_tokens=False).ids
+        pairs = ["ab.cd", "é.x", "a.b.c", "the.er.ing.th.ne"]
+        if len(stop) == 1 and all(self._plain(p) == np.uint32(stop[0]).tobytes().join(map(self._plain, p.split("."))) for p in pairs):
+            self.stop_id = stop[0]
+        probes = ["a b", " a", "a ", "Ab, c. d., e.. f.", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "<|ENDOFTEXT|> a", "b<|EndOfText|>A <|StartOfText|>", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
+        self.wordwise = bool(between) and all(x == self._plain(p) for x, p in zip(self._encode(probes), probes))
+        self.memo = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         """The text between blanks; to the normaliser a line feed is one, and case does not matter in Latin text."""
-        if self.merges is not None and self.latin.fullmatch(text):
+        if self.latin is not None and self.latin.fullmatch(text):
             low = text.lower()
             # Lower case must not make a special token, which the library looks for in the text as it is.
             if not ("<" in low and any(t in low for t in self.special)):
-                text = low
-        return text.replace("\n", " ").split(" ")
-
-    def _words(self, piece: str) -> Sequence[str] | None:
-        """What the pattern finds in a piece in lower case; null where the library must look itself."""
-        if len(piece) > LONG:
-            return None
-        if piece.isascii():
-            low = piece.lower()
-            if low.isalpha():
-                return (low,)
-            if low[-1:] in (".", ",") and low[:-1].isalpha():
-                return low[:-1], low[-1]
-        if not self.latin.fullmatch(piece) or "<" in piece and any(t in piece for t in self.special):
-            return None
-        return self.split.findall(piece.lower())
+                low = low.replace("\n", " ")
+                if self.stop_id >= 0:  # a mark after a letter and before a blank is a word of its own
+                    low = _COMMA.sub(" ,", _STOP.sub(" .", low))
+                return low.split(" ")
+        return text.split(" ")
 
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the memo."""
-        slow = pieces
-        if self.merges is not None:
-            fast, words, slow = [], [], []
-            for p in pieces:
-                low = self._words(p)
-                if low is None:
-                    slow.append(p)
-                else:
-                    fast.append(p), words.append(low)
-            if len(self.words) > MEMO:
-                self.words = {}
-            new = list(set(chain.from_iterable(words)) - self.words.keys())
-            self.words.update(zip(new, self.merges.ids([w.encode() for w in new])))
-            get = self.words.__getitem__
-            self.memo.update((p, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for p, w in zip(fast, words))
-        for i in range(0, len(slow), 512):
-            part = slow[i : i + 512]
-            for piece, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[piece] = np.array(e.ids, "<u4").tobytes()
+        alone = [p for p in pieces if not p or "<" in p and any(t in p for t in self.special)]
+        if alone:
+            self.memo.update((p, self._plain(p)) for p in alone)
+            pieces = list(set(pieces).difference(alone))
+        letters = [p for p in pieces if p.isalpha()] if self.stop_id >= 0 else []
+        if letters:
+            pieces = list(set(pieces).difference(letters))
+        self._many(letters, ".", self.stop_id, 128)
+        self._many(pieces, self.between, self.between_id, 64)
+
+    def _many(self, pieces: list[str], between: str, between_id: int, size: int) -> None:
+        parts = [pieces[i : i + size] for i in range(0, len(pieces), size)]
+        for part, e in zip(parts, self.model.encode_batch_fast([between.join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == between_id)).tolist()
+            if len(cuts) == len(part) - 1:
+                self.memo.update((p, raw[i:j]) for p, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
+            else:
+                self.memo.update((p, self._plain(p)) for p in part)
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.memo) > 2 * MEMO:
-            self.memo = {}
         split = [self._pieces(t) for t in texts]
         new = list(set(chain.from_iterable(split)) - self.memo.keys())
+        if len(self.memo) + len(new) > MEMO:
+            self.memo = {}
+            new = list(set(chain.from_iterable(split)))
         self._learn(new)
         get = self.memo.__getitem__
         out = [b"".join(map(get, s)) for s in split]
@@ -255,6 +157,38 @@ class WordEncoder:
         return out
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text, worked on in runs of bounded size, so that the memo never outgrows its bound by more than a run."""
         if not self.wordwise:
             return [np.frombuffer(self._plain(t), "<u4") for t in texts]
-        return [np.frombuffer(x, "<u4") for i in range(0, len(texts), 1024) for x in self._encode(texts[i : i + 1024])]
+        out: list[list[bytes]] = []
+        run: list[str] = []
+        owner: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            for k, x in zip(owner, self._encode(run)):
+                out[k].append(x)
+            run.clear(), owner.clear()
+
+        for k, text in enumerate(texts):
+            out.append([])
+            for part in _parts(text):
+                run.append(part), owner.append(k)
+                held += len(part)
+                if held >= RUN_CHARS:
+                    flush()
+                    held = 0
+        flush()
+        return [np.frombuffer(x[0] if len(x) == 1 else b"".join(x), "<u4") for x in out]
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut at blanks into parts of RUN_CHARS or little more; nearly always the text itself."""
+    out, at = [], 0
+    while len(text) - at > 2 * RUN_CHARS:
+        end = text.find(" ", at + RUN_CHARS)
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = end + 1
+    return [*out, text[at:] if at else text]

@@ -10,8 +10,8 @@ The file format is a folder with two Parquet tables:
   Any block decodes alone, and any checkpoint starts a decoder inside it.
 
 Rows: a null text is empty and has the end id alone. Null doc_ids come last;
-repeated doc_ids stand side by side, shorter rows first. Other columns are
-ignored.
+repeated doc_ids stand side by side, in the order of a hash of their ids. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from graphledger.llm import arrays as A
 from graphledger.llm import huffman as H
 from graphledger.llm import tallies
-from graphledger.llm.common import shared_folder, texts, width, written
+from graphledger.llm.common import discard, lean, shared_folder, texts, width, written
 from graphledger.llm.encoders import WordEncoder
 
 #: A block is closed once it holds this many ids.
@@ -49,11 +48,12 @@ def _tokenize(path: str, end_id: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
-        packer = zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)) for x in _encoders[path].ids(batch.column("text").to_pylist())]
-            packed = [packer.compress(x.astype(kind).tobytes()) for x in ids]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            ids = [x.astype(kind).tobytes() + end for x in _encoders[path].ids(batch.column("text").to_pylist())]
+            sizes = pa.array([len(x) // len(end) for x in ids], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        lean()
 
     return run
 
@@ -64,8 +64,8 @@ def _count(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            joined = b"".join(zstandard.decompress(x) for x in batch.column("ids").to_pylist())
-            counts += np.bincount(np.frombuffer(joined, kind), minlength=size)
+            joined, _ = A.text_bytes(batch.column("ids"))
+            counts += np.bincount(joined.view(kind), minlength=size)
         if counts.any():
             yield tallies.packed(counts)
 
@@ -94,7 +94,7 @@ def _encode(lengths: np.ndarray, vocabulary: int):
         total = 0
         for batch in batches:
             for doc_id, packed in zip(A.ids_of(batch.column("doc_id")).tolist(), batch.column("ids").to_pylist()):
-                ids = np.frombuffer(zstandard.decompress(packed), kind)
+                ids = np.frombuffer(packed, kind)
                 held_ids.append(doc_id), held.append(ids)
                 total += len(ids)
                 if total >= BLOCK_IDS:
@@ -102,6 +102,7 @@ def _encode(lengths: np.ndarray, vocabulary: int):
                     number, start, total, held_ids, held = number + 1, start + total, 0, [], []
         if held:
             yield block()
+        lean()
 
     return run
 
@@ -109,15 +110,17 @@ def _encode(lengths: np.ndarray, vocabulary: int):
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, vocabulary: int) -> None:
     """Encodes every whole text, appends end_id to each document, and writes the folder `path`."""
     spark = docs.sparkSession
-    tokens = written(texts(docs).mapInArrow(_tokenize(tokenizer_path, end_id, vocabulary), IDS))
+    tokens = written(texts(docs).mapInArrow(_tokenize(tokenizer_path, end_id, vocabulary), IDS).withColumn("place", F.xxhash64("ids")))
     counts = tallies.summed(tokens.select("ids").mapInArrow(_count(vocabulary), tallies.SCHEMA), _tally_size(vocabulary))
     lengths = H.code_lengths(counts, max(16, vocabulary.bit_length() + 1))
     # As many rows as the vocabulary at most.
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
-    order = [F.asc_nulls_last("doc_id"), F.asc("n_tokens"), F.asc("ids")]
-    dealt = tokens.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    # Ranges are drawn from small keys alone; the ids themselves only break ties inside a range.
+    order = [F.asc_nulls_last("doc_id"), F.asc("place")]
+    dealt = tokens.repartitionByRange(width(spark), *order).sortWithinPartitions(*order, F.asc("ids"))
     dealt.select("doc_id", "ids").mapInArrow(_encode(lengths, vocabulary), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def _decode(lengths: np.ndarray, with_ids: bool):

@@ -11,10 +11,11 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from graphledger.llm import arrays, common, huffman, mixing, ngram_jaccard, substring_dedup, suffix_dedup, toxicity, url_filter
+from graphledger.llm import arrays, common, encoders, huffman, mixing, ngram_jaccard, substring_dedup, suffix_dedup, toxicity, url_filter
 from graphledger.llm.components import connected_components
 from graphledger.llm.decontamination import contaminated, decontaminated, tile
 from graphledger.llm.encoders import PieceCounter, WordEncoder
@@ -192,12 +193,27 @@ def odd_texts():
 
 def test_encoders_equal_their_libraries():
     pieces, words = PieceCounter(PIECES), WordEncoder(WORDS)
-    assert pieces.wordwise and words.wordwise and words.merges is not None
+    assert pieces.wordwise and words.wordwise and words.stop_id >= 0
     texts = odd_texts()
     assert pieces.counts(texts) == [len(pieces.model.encode(t)) for t in texts]
     assert [x.tolist() for x in words.ids(texts)] == [words.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_equals_the_library_on_all_documents():
+    """Every text of the table, with the memo cleared many times on the way and parts of texts cut at blanks."""
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    whole = " ".join(texts[:300])
+    encoder = WordEncoder(WORDS)
+    encoders.MEMO, kept = 20_000, encoders.MEMO
+    try:
+        found = encoder.ids([*texts, whole])
+    finally:
+        encoders.MEMO = kept
+    assert len(encoder.memo) <= 20_000 + encoders.RUN_CHARS and len(encoders._parts(whole)) > 1
+    for text, ids in zip([*texts, whole], found):
+        assert ids.tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
 def test_special_tokens_in_other_cases_are_text():
     words = WordEncoder(WORDS)
     texts = ["<|ENDOFTEXT|> a", "x <|EndOfText|>y Z", "<|endoftext|> <|ENDOFTEXT|> B", "<|StartOfText|>", "<|ENDOF\nTEXT|>"]
