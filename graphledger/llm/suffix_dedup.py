@@ -1,20 +1,23 @@
 """Removal of byte strings that an earlier document already holds, by suffix arrays.
 
-Every window of `length` bytes has an anchor: the smallest hash among its
-short grams. Windows next to each other mostly share it, so a document falls
-into runs of windows, and two equal windows always lie in runs with the same
-anchor. Only runs whose anchor two documents hold go on; they meet by anchor,
-each distinct run of a block of documents once, and each bucket of runs gets
-a suffix array:
+Every window of `length` bytes has an anchor: the first of its short grams with
+the smallest hash. Windows next to each other mostly share it, so a document
+falls into runs of windows. A window reaches beyond its anchor by half of its
+other bytes at least on one side, so two equal windows share the anchor with
+that much context on that side. A run tells both such contexts, and only those
+of its windows go on whose context two documents hold: chance hardly makes two
+contexts equal, so what goes on follows what texts really share and not the
+size of the corpus. Runs meet by anchor, each distinct run of a block of
+documents once, and each bucket of runs gets a suffix array:
 
 * two-stage sorting: suffixes smaller than their successors are sorted
   directly, all others are induced from them by scanning the array's buckets;
 * common prefixes of adjacent suffixes show which windows are equal.
 
 Suffixes are ordered by their first bytes up to a multiple of eight beyond
-`length`; longer order is never needed. An anchor that very many documents
-hold would gather its runs in one bucket, so such runs are cut into single
-windows, which are dealt out by their own hash. Nothing is dropped.
+`length`; longer order is never needed. A context that very many documents
+hold could gather many runs in one bucket, so its windows are dealt out singly,
+by their own hash. Nothing is dropped.
 
 Rows: a null text is empty. A null doc_id is larger than every id. Rows with
 the same doc_id never remove from each other. Other columns are ignored.
@@ -35,8 +38,9 @@ from graphledger.llm.common import bucket_count
 
 Key = tuple[pa.Scalar, ...]
 KEY_BITS = 38
+NO_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Estimated documents behind each count class of an anchor in one block, and the sum from which it is hot.
+#: Estimated documents behind each count class of a context in one block, and the sum from which it is hot.
 CLASS_SIZE = (1, 4, 32, 256)
 CLASS_FROM = (1, 2, 8, 64)
 HOT = 2048
@@ -56,127 +60,148 @@ def _gram(length: int) -> int:
     return max(4, min(16, length // 3))
 
 
-def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
-    out, have = values, 1
+def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the smallest of every `size` consecutive values stands, the first of equal ones."""
+    out, at, have = values, np.arange(len(values), dtype=np.int32), 1
+
+    def step(by: int) -> None:
+        nonlocal out, at
+        later = out[by:] < out[: len(out) - by]
+        at = np.where(later, at[by:], at[: len(at) - by])
+        out = np.where(later, out[by:], out[: len(out) - by])
+
     while have * 2 <= size:
-        out = np.minimum(out[:-have], out[have:])
+        step(have)
         have *= 2
-    rest = size - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    if size > have:
+        step(size - have)
+    return at
 
 
-class Runs:
-    """The windows of some texts, as runs with one anchor: windows first..last of each, by byte offset."""
+def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket and KEY_BITS further bits of each hash, as one number."""
+    return (((hashes >> A.U64(40)) % A.U64(buckets)) << A.U64(KEY_BITS)) | (hashes & A.U64((1 << KEY_BITS) - 1))
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int):
-        gram = _gram(length)
-        at = A.whole_windows(offsets, length)
-        if not len(at):
-            self.first = self.last = np.empty(0, np.int64)
-            self.anchor = np.empty(0, np.uint64)
-            self.owner = np.empty(0, np.int64)
-            return
-        grams = A.rolling(A._byte_table(0)[buf], gram)
-        least = sliding_min(grams, length - gram + 1)[at]
-        begin = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
-        self.first, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-        self.anchor = A.mix(least[begin])  # the smallest hashes are all small
-        self.owner = A.owners(offsets, self.first)
 
+class Block:
+    """The windows of a block of documents, as runs with one anchor: windows first..last of each, by byte offset.
 
-def _keys(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((hashes >> A.U64(40)) % A.U64(buckets)).astype(np.int64), hashes & A.U64((1 << KEY_BITS) - 1)
+    Windows up to `mid` are known by the left context of the anchor, later ones
+    by the right one; a side without windows has no context. `contexts` are all
+    their keys, each once, ascending.
+    """
+
+    def __init__(self, table: pa.Table, buckets: int, length: int):
+        self.ids, self.buf, self.offsets = opened(table)
+        gram = _gram(length)
+        left = -(-(length - gram) // 2)
+        right = length - gram - left + 1
+        parts = []
+        for i, j in A.runs(self.offsets):
+            base = self.offsets[i]
+            buf, offsets = self.buf[base : self.offsets[j]], self.offsets[i : j + 1] - base
+            at = A.whole_windows(offsets, length)
+            if not len(at):
+                continue
+            grams = A.rolling(A._byte_table(0)[buf], gram)
+            place = sliding_argmin(grams, length - gram + 1)[at]
+            begin = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))))
+            first, last, place = at[begin], at[np.append(begin[1:], len(at)) - 1], place[begin].astype(np.int64)
+            mid = place - left
+            sides = []
+            for which, has, start, end in ((0, first <= mid, mid, place + gram), (1, last > mid, place, place + gram + right)):
+                key = np.full(len(place), NO_KEY)
+                key[has] = _keys(A.span_hashes(buf, start[has], end[has], which), buckets)
+                sides.append(key)
+            parts.append((first + base, last + base, mid + base, A.mix(grams[place]), A.owners(offsets, first) + i, *sides))
+        empty = [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64)) + (np.empty(0, np.uint64),) * 2]
+        self.first, self.last, self.mid, self.anchor, self.owner, *self.sides = (np.concatenate(x) for x in zip(*(parts or empty)))
+        keys, owner = np.concatenate(self.sides), np.concatenate((self.owner, self.owner))
+        real = keys != NO_KEY
+        self.held = keys[real], owner[real]
+        self.contexts = np.unique(keys[real])
 
 
 def _probe(buckets: int, length: int):
-    """The anchors of a block of documents, with a class for how many documents hold each."""
+    """The contexts of a block of documents, with a class for how many documents here hold each."""
 
     def run(key: Key, table: pa.Table) -> pa.Table:
-        _, buf, offsets = opened(table)
-        found = []
-        for i, j in A.runs(offsets):
-            r = Runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-            order = np.lexsort((r.owner, r.anchor))
-            anchor, owner = r.anchor[order], r.owner[order]
-            new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))) if len(anchor) else np.empty(0, bool)
-            anchor = anchor[new]
-            begin = A.group_starts(anchor)
-            found.append((anchor[begin], np.diff(np.append(begin, len(anchor)))))
-        anchor = np.concatenate([x[0] for x in found] or [np.empty(0, np.uint64)])
-        count = np.concatenate([x[1] for x in found] or [np.empty(0, np.int64)])
-        if not len(anchor):
-            return _rows([])
-        order = np.argsort(anchor, kind="stable")
-        begin = A.group_starts(anchor[order])
-        anchor, count = anchor[order][begin], np.add.reduceat(count[order], begin)
-        bucket, low = _keys(anchor, buckets)
-        packed = (low << A.U64(2)) | (np.searchsorted(CLASS_FROM, count, "right") - 1).astype(np.uint64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, packed = bucket[order], packed[order]
-        block = key[0].as_py()
-        return _rows([(b, block, 0, A.narrow(packed[s:e], 5)) for b, s, e in A.rows_by(bucket)])
+        block = Block(table, buckets, length)
+        keys, owner = block.held
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.empty(0, bool)
+        keys = keys[new]
+        begin = A.group_starts(keys)
+        count = np.diff(np.append(begin, len(keys)))
+        packed = ((keys[begin] & A.U64((1 << KEY_BITS) - 1)) << A.U64(2)) | (np.searchsorted(CLASS_FROM, count, "right") - 1).astype(np.uint64)
+        name = key[0].as_py()
+        return _rows([(b, name, e - s, A.narrow(packed[s:e], 5)) for b, s, e in A.rows_by((keys[begin] >> A.U64(KEY_BITS)).astype(np.int64))])
 
     return run
 
 
 def _match(hot: int):
-    """Anchors of one bucket that two documents hold, told to all their blocks, and whether they are hot."""
+    """Tells each block which of its contexts in one bucket another document holds too, and which are hot; two bits for each."""
 
     def run(key: Key, table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
-        payloads = table["keys"].to_pylist()
-        blocks = np.repeat(table["block"].to_numpy(), [len(x) // 5 for x in payloads])
-        packed = A.widen(b"".join(payloads), 5)
+        counts = table["kind"].to_numpy().astype(np.int64)
+        packed = A.widen(b"".join(table["keys"].to_pylist()), 5)
         low, size = packed >> A.U64(2), np.array(CLASS_SIZE)[(packed & A.U64(3)).astype(np.int64)]
         order = np.argsort(low, kind="stable")
         begin = A.group_starts(low[order])
         total = np.add.reduceat(size[order], begin) if len(begin) else size[:0]
         spread = np.empty(len(low), np.int64)
         spread[order] = np.repeat(total, np.diff(np.append(begin, len(low))))
-        keep = spread > 1
-        out = (low[keep] << A.U64(1)) | (spread[keep] > hot).astype(np.uint64)
+        ends = np.cumsum(counts)
         bucket = key[0].as_py()
-        return _rows([(bucket, b, 0, A.narrow(out[s:e], 5)) for b, s, e in A.rows_by(blocks[keep])])
+        return _rows([(bucket, b, n, _told(spread[e - n : e] > 1, spread[e - n : e] > hot)) for b, n, e in zip(table["block"].to_pylist(), counts.tolist(), ends.tolist())])
 
     return run
 
 
+def _told(shared: np.ndarray, hot: np.ndarray) -> bytes:
+    return b"".join(np.packbits(x).tobytes() for x in ((shared, hot) if hot.any() else (shared,)))
+
+
+def _heard(n: int, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = -(-n // 8)
+    raw = np.frombuffer(payload, np.uint8)
+    return tuple(np.unpackbits(x, count=n).astype(bool) if len(x) else np.zeros(n, bool) for x in (raw[:size], raw[size:]))
+
+
 class Strings:
     """The distinct strings that a block of documents sends on, and where each occurs.
 
     Both the sending and the settling pass build this from the same rows, so a
-    string's number means the same in both.
+    string's number means the same in both. told: for each bucket what _match said.
     """
 
-    def __init__(self, table: pa.Table, replies: pa.Table, buckets: int, length: int):
-        self.ids, self.buf, self.offsets = opened(table)
-        bucket = np.repeat(replies["bucket"].to_numpy().astype(np.uint64), [len(x) // 5 for x in replies["keys"].to_pylist()])
-        packed = A.widen(b"".join(replies["keys"].to_pylist()), 5)
-        known = (bucket << A.U64(KEY_BITS)) | (packed >> A.U64(1))
-        order = np.argsort(known)
-        known, hot = known[order], (packed[order] & A.U64(1)) > 0
-        parts = []
-        for i, j in A.runs(self.offsets) if len(known) else ():
-            base = self.offsets[i]
-            buf, offsets = self.buf[base : self.offsets[j]], self.offsets[i : j + 1] - base
-            r = Runs(buf, offsets, length)
-            b, low = _keys(r.anchor, buckets)
-            probe = (b.astype(np.uint64) << A.U64(KEY_BITS)) | low
-            place = np.minimum(np.searchsorted(known, probe), len(known) - 1)
-            keep = known[place] == probe
-            cut = keep & hot[place]
-            keep &= ~cut
-            first, last, owner, anchor = r.first[keep], r.last[keep], r.owner[keep], r.anchor[keep]
-            count = r.last[cut] - r.first[cut] + 1
-            single = np.repeat(r.first[cut] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            first, last = np.concatenate((first, single)), np.concatenate((last, single))
-            owner = np.concatenate((owner, np.repeat(r.owner[cut], count)))
-            one = A.span_hashes(buf, first, last + length, 0)
-            two = A.span_hashes(buf, first, last + length, 1)
-            target = np.concatenate((anchor, one[len(anchor) :]))
-            parts.append((one, two, target, first + base, last - first + 1, owner + i))
-        empty = (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 3
-        one, two, target, self.start, self.windows, self.owner = (np.concatenate(x) for x in zip(*(parts or [empty])))
+    def __init__(self, table: pa.Table, told: dict[int, bytes], buckets: int, length: int):
+        block = Block(table, buckets, length)
+        self.ids, self.buf, self.offsets = block.ids, block.buf, block.offsets
+        heard = [_heard(e - s, told[b]) for b, s, e in A.rows_by((block.contexts >> A.U64(KEY_BITS)).astype(np.int64))]
+        shared, hot = (np.concatenate(x) for x in zip(*heard)) if heard else (np.empty(0, bool),) * 2
+        kept, cut = [], []
+        for side in block.sides:
+            at = np.searchsorted(block.contexts, side)
+            real = side != NO_KEY
+            at[~real] = 0
+            kept.append(real & shared[at] & ~hot[at] if len(shared) else real)
+            cut.append(real & hot[at] if len(shared) else real)
+        whole_first = np.where(kept[0], block.first, np.maximum(block.first, block.mid + 1))
+        whole_last = np.where(kept[1], block.last, np.minimum(block.last, block.mid))
+        some = whole_first <= whole_last
+        first, last, owner, target = whole_first[some], whole_last[some], block.owner[some], block.anchor[some]
+        singles = []
+        for which, start, end in ((cut[0], block.first, np.minimum(block.last, block.mid)), (cut[1], np.maximum(block.first, block.mid + 1), block.last)):
+            count = end[which] - start[which] + 1
+            singles.append((A_range(start[which], count), np.repeat(block.owner[which], count)))
+        single, single_owner = (np.concatenate(x) for x in zip(*singles))
+        first, last, owner = np.concatenate((first, single)), np.concatenate((last, single)), np.concatenate((owner, single_owner))
+        one, two = (A.span_hashes(self.buf, first, last + length, k) for k in (0, 1))
+        target = np.concatenate((target, one[len(target) :]))
+        self.start, self.windows, self.owner = first, last - first + 1, owner
         holder = self.ids[self.owner]
         order = np.lexsort((self.start, holder, two, one))
         begin = np.flatnonzero(np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))) if len(order) else order
@@ -190,7 +215,8 @@ def _send(buckets: int, length: int):
     def run(key: Key, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table) or not len(replies):
             return _rows([])
-        s = Strings(table, replies, buckets, length)
+        known = dict(zip(replies["bucket"].to_pylist(), replies["keys"].to_pylist()))
+        s = Strings(table, known, buckets, length)
         bucket = (s.target % A.U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         packer = zstandard.ZstdCompressor(level=1)
@@ -198,12 +224,11 @@ def _send(buckets: int, length: int):
         strings = {}
         for b, i, j in A.rows_by(bucket[order]):
             own = order[i:j]
-            head = np.stack((own, s.count[own], s.least[own], (s.target[own] // A.U64(buckets)).astype(np.int64))).astype("<i8").tobytes()
+            head = np.stack((own, s.count[own], s.least[own], (s.target[own] // A.U64(buckets) & A.U64(0xFFFF)).astype(np.int64))).astype("<i8").tobytes()
             size = s.count[own] + length - 1
             at = np.repeat(s.text_at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             strings[b] = (len(own), packer.compress(head + s.buf[at].tobytes()))
-        # The block's anchors go along and come back with the answer, so that they need not be asked for again.
-        known = dict(zip(replies["bucket"].to_pylist(), replies["keys"].to_pylist()))
+        # What the block was told goes along and comes back with the answer, so that it need not be asked for again.
         rows = [(b, block, strings.get(b, (0, b""))[0], _both(known.get(b, b""), strings.get(b, (0, b""))[1])) for b in sorted({*known, *strings})]
         return _rows(rows)
 
@@ -376,8 +401,7 @@ def A_range(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _remove(buckets: int, length: int, with_kept: bool):
     def run(key: Key, table: pa.Table, replies: pa.Table) -> pa.Table:
         parts = [_parts(x) for x in replies["keys"].to_pylist()]
-        anchors = pa.table({"bucket": replies["bucket"], "keys": pa.array([x for x, _ in parts], pa.binary())})
-        s = Strings(table, anchors, buckets, length)
+        s = Strings(table, dict(zip(replies["bucket"].to_pylist(), (x for x, _ in parts))), buckets, length)
         least = np.repeat(s.least, s.count)
         begin = np.cumsum(s.count) - s.count
         for n, (_, payload) in zip(replies["kind"].to_pylist(), parts):
@@ -414,14 +438,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_kept: bool = False, hot
     Returns one row for each document: doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256, and the kept bytes if asked for.
     Strings are judged on the input, not on what is left of it; overlaps count.
-    hot: from about so many documents on, an anchor's windows are dealt out singly.
+    hot: from about so many documents on, a context's windows are dealt out singly.
     """
     if length < 16:
         raise ValueError("length must be at least 16 bytes")
     buckets = bucket_count(docs)
     dealt = blocked(docs)
-    anchors = dealt.groupBy("block").applyInArrow(_probe(buckets, length), KEYS).groupBy("bucket").applyInArrow(_match(hot), KEYS)
-    strings = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_send(buckets, length), KEYS)
+    told = dealt.groupBy("block").applyInArrow(_probe(buckets, length), KEYS).groupBy("bucket").applyInArrow(_match(hot), KEYS)
+    strings = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(buckets, length), KEYS)
     settled = strings.groupBy("bucket").applyInArrow(_settle(length), KEYS)
     schema = RESULT + (", kept binary" if with_kept else "")
     return dealt.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(buckets, length, with_kept), schema)
