@@ -4,8 +4,11 @@ Each component is a term and each vector's value in it a posting. For a query
 the terms are ordered by how much they can still add. The essential ones are
 traversed for all vectors; the others' bounds together are too small to lift a
 vector from below, so they are probed only for vectors that stay competitive,
-and fewer with every probe. Each task keeps its best for each query while it
-goes through its vectors; the tasks' results are merged.
+and fewer with every probe. What a vector can still gain is bounded twice: by
+the ranges of the terms left, and by the lengths of what is left of query and
+vector. Each task goes through its vectors in slices, the first a small one
+that sets the bars, and keeps its best for each query from slice to slice; the
+tasks' results are merged.
 
 Queries are held in blocks of bounded size, each block one pass over all rows.
 
@@ -30,6 +33,8 @@ from graphledger.llm.common import written
 QUERY_BLOCK = 8192
 #: Terms that are probed together.
 PROBE = 8
+#: Vectors of a task's first slice, and of each further one.
+FIRST_SLICE, SLICE = 256, 1 << 14
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -66,30 +71,34 @@ class Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
-def search(query: np.ndarray, own_id: int, matrix: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, best: Best) -> None:
-    """MaxScore over the rows of one matrix; low and high bound its columns. All numbers are exact."""
-    most = np.maximum(query * low, query * high)
-    spread = most - np.minimum(query * low, query * high)
-    order = np.argsort(-spread, kind="stable")
-    rest = np.concatenate((np.cumsum(most[order][::-1])[::-1], [0]))  # what terms from each place on can add at most
+def search(query: np.ndarray, own_id: int, matrix: np.ndarray, squares: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, best: Best) -> int:
+    """MaxScore over the rows of one matrix; low and high bound its columns, squares are the rows' squared lengths.
+
+    Scores are exact. Returns how many postings were looked at.
+    """
+    most, least = np.maximum(query * low, query * high), np.minimum(query * low, query * high)
+    order = np.argsort(least - most, kind="stable")
+    ranked = query[order].astype(float)
+    rest = np.concatenate((np.cumsum(most[order][::-1].astype(float))[::-1], [0]))  # what terms from each place on can add at most
+    length = np.concatenate((np.cumsum((ranked * ranked)[::-1])[::-1], [0]))
     bar = best.bar()
-    # Non-essential: the last terms, as long as all of them together, on the least of the others, stay below the bar.
-    floor = np.concatenate(([0], np.cumsum((most - spread)[order])))
-    places = np.arange(len(order) + 1)
-    essential = max(1, int(np.argmax(floor[places] + rest[places] < bar))) if bar > -np.inf and (floor + rest < bar).any() else len(order)
-    essential = min(essential, len(order)) if bar > -np.inf else len(order)
-    if bar > -np.inf:
-        essential = max(PROBE, min(essential, len(order) // 2))
-    rows = np.arange(len(ids))
-    score = matrix[:, order[:essential]] @ query[order[:essential]]
-    at = essential
+    # Essential: the first terms, until all others together cannot lift a vector that has the least of these to the bar.
+    floor = np.concatenate(([0], np.cumsum(least[order].astype(float))))
+    slack = 1 + np.abs(ranked) @ np.maximum(np.abs(low), np.abs(high))[order].astype(float) * 2.0**-40  # more than sums of bounds round off
+    below = floor + rest + slack < bar
+    essential = max(1, int(np.argmax(below))) if below.any() else len(order)
+    rows, at = np.arange(len(ids)), essential
+    head = matrix[:, order[:at]]
+    score, left, seen = head @ query[order[:at]], squares - (head.astype(float) ** 2).sum(axis=1), head.size
     while at < len(order):
-        stay = score + rest[at] >= bar
-        rows, score = rows[stay], score[stay]
+        gain = np.minimum(rest[at], np.sqrt(np.maximum(left, 0) * length[at]))
+        stay = score + gain + slack >= bar
+        rows, score, left = rows[stay], score[stay], left[stay]
         if not len(rows):
-            return
+            return seen
         terms = order[at : at + PROBE]
-        score = score + matrix[rows[:, None], terms] @ query[terms]
+        some = matrix[rows[:, None], terms]
+        score, left, seen = score + some @ query[terms], left - (some.astype(float) ** 2).sum(axis=1), seen + some.size
         at += PROBE
     stay = (score >= bar) & (ids[rows] != own_id)
     rows, score = rows[stay], score[stay]
@@ -98,23 +107,39 @@ def search(query: np.ndarray, own_id: int, matrix: np.ndarray, ids: np.ndarray,
         rows, score = rows[score >= cut], score[score >= cut]
     if len(rows):
         best.add(score.astype(np.int64), ids[rows])
+    return seen
+
+
+def search_all(held: list[tuple[int, np.ndarray, Best]], ids: np.ndarray, matrix: np.ndarray, fresh: bool) -> int:
+    """All queries over vectors of one length, slice by slice; fresh: no bar is set yet. Returns how many postings were looked at."""
+    d, seen, at = matrix.shape[1], 0, 0
+    peak = max((int(np.abs(v).max()) for _, v, _ in held), default=0)
+    # Floats multiply fast and are exact as long as no sum can pass their whole numbers.
+    bound = 2 * peak * int(np.abs(matrix).max()) * d
+    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+    queries = [(q, v.astype(kind), best) for q, v, best in held]
+    while at < len(ids):
+        end = at + (FIRST_SLICE if fresh and at == 0 else SLICE)
+        part, own = np.asfortranarray(matrix[at:end].astype(kind)), ids[at:end]
+        low, high, squares = part.min(axis=0), part.max(axis=0), (part.astype(float) ** 2).sum(axis=1)
+        for q, v, best in queries:
+            seen += search(v, q, part, squares, own, low, high, best)
+        at = end
+    return seen
 
 
 def _top(queries: list[tuple[int, list[int]]], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(q, np.array(v, np.int64), Best(k)) for q, v in queries]
-        peak = max(int(np.abs(v).max()) for _, v, _ in held)
+        held: dict[int, list[tuple[int, np.ndarray, Best]]] = {}
+        for q, v in queries:
+            held.setdefault(len(v), []).append((q, np.array(v, np.int64), Best(k)))
+        met: set[int] = set()
         for batch in batches:
             for d, ids, matrix in _matrices(batch.column("vec_id").to_numpy(), batch.column("v")):
-                # Floats multiply fast and are exact as long as no sum can pass their whole numbers.
-                bound = 2 * peak * int(np.abs(matrix).max()) * d
-                kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-                matrix = np.asfortranarray(matrix.astype(kind))
-                low, high = matrix.min(axis=0), matrix.max(axis=0)
-                for q, v, best in held:
-                    if len(v) == d:
-                        search(v.astype(kind), q, matrix, ids, low, high, best)
-        out = [(q, i, s) for q, _, best in held for i, s in zip(best.ids.tolist(), best.scores.tolist())]
+                if d in held:
+                    search_all(held[d], ids, matrix, d not in met)
+                    met.add(d)
+        out = [(q, i, s) for own in held.values() for q, _, best in own for i, s in zip(best.ids.tolist(), best.scores.tolist())]
         columns = list(zip(*out)) or [()] * 3
         yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
