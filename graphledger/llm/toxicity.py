@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
-Two dictionaries end in the same content, which zstandard's trainer finds in
-ordinary text, so ordinary prose compresses alike with either. They begin with
-passages that set their own class apart, picked here: dictionaries trained on
-each class hardly tell them apart (figures in the README). Each window of a text
-is compressed with both; where the toxic dictionary wins, the text looks like
-toxic text. A document's wins are calibrated to a probability on training rows.
+Two dictionaries are trained by zstandard's trainer, one on toxic and one on
+ordinary text. Whole texts would fill both with the same common prose (figures
+in the README), so each is trained on the passages of its own class whose grams
+that class holds far more often than the other, beyond chance; prose from
+ordinary text, trained as well, follows in both, so that it compresses alike.
+Each window of a text is compressed with both; where the toxic dictionary wins,
+the text looks like toxic text. A document's wins are calibrated to a
+probability on training rows.
 
 Rows: a null text is empty; an empty text has no windows and gets the score of
 no evidence at all. Repeated rows each get their row. Other columns are
@@ -17,7 +19,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -33,8 +34,6 @@ from graphledger.llm.common import lean, texts, written
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 16
 WINDOW = 160
 GRAM = 5
-#: Bytes of a piece of a passage that sets a class apart, at most.
-LONGEST = 24
 HEAD_BYTES, TAIL_BYTES = 8 << 10, 24 << 10
 
 
@@ -61,49 +60,21 @@ def _gram_counts(samples: Sequence[bytes]) -> Counter:
     return out
 
 
-def _pieces(passage: bytes) -> list[bytes]:
-    """The whole passage in pieces of LONGEST bytes at most, cut before a blank where one stands."""
-    out = []
-    while len(passage) > LONGEST:
-        most = min(LONGEST, len(passage) - GRAM)
-        at = passage.rfind(b" ", GRAM, most + 1)
-        at = at if at > 0 else most
-        out.append(passage[:at])
-        passage = passage[at:]
-    return [*out, passage]
+def _passages(data: bytes, grams: set[bytes]) -> list[bytes]:
+    """What such grams cover of a text."""
+    hit = np.fromiter((data[i : i + GRAM] in grams for i in range(max(0, len(data) - GRAM + 1))), bool)
+    inside = A.covered(np.flatnonzero(hit), GRAM, len(data))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+    return [data[s:e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def _marked(samples: Sequence[bytes], grams: set[bytes], size: int) -> bytes:
-    """Passages that such grams cover, the most telling last.
-
-    A passage's rank is how many texts hold it; a text that holds k better
-    ones counts 1 / (k + 1), so that what many alike texts share leaves room
-    for what few others have.
-    """
-    held: dict[bytes, list[int]] = {}
-    for k, data in enumerate(samples):
-        hit = np.fromiter((data[i : i + GRAM] in grams for i in range(max(0, len(data) - GRAM + 1))), bool)
-        inside = A.covered(np.flatnonzero(hit), GRAM, len(data))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
-        for piece in {p for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()) for p in _pieces(data[s:e])}:
-            held.setdefault(piece, []).append(k)
-    better = np.zeros(len(samples), np.int64)
-    queue = [(-float(len(texts)), p) for p, texts in held.items()]
-    heapify(queue)
-    picked, total, so_far = [], 0, bytearray()
-    while queue:
-        _, piece = heappop(queue)
-        if total + len(piece) > size or piece in so_far:
-            continue
-        now = (-float((1 / (1 + better[held[piece]])).sum()), piece)
-        if queue and now > queue[0]:  # ranks only fall, so the best of the others may be better now
-            heappush(queue, now)
-            continue
-        picked.append(piece)
-        total += len(piece)
-        so_far += piece + b"\0"
-        better[held[piece]] += 1
-    return b"".join(reversed(picked))
+def _trained(samples: Sequence[bytes], size: int, k: int) -> bytes:
+    """The content of a dictionary trained on the samples; too little to train on stands for itself, what most samples hold last."""
+    try:
+        return zstandard.train_dictionary(size, list(samples), k=k, d=8).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        held = Counter(p for x in samples for p in set(x.split(b"\n")))
+        return b"\n".join(sorted(held, key=lambda p: (held[p], p)))[-size:]
 
 
 def _chance(c: int, k: int, share: float) -> float:
@@ -130,15 +101,6 @@ def _set_apart(mine: Counter, n: int, other: Counter, m: int) -> set[bytes]:
     return out
 
 
-def _tail(samples: Sequence[bytes]) -> bytes:
-    """Content that zstandard's trainer finds in ordinary text; both classes have such prose."""
-    windows = [w for data in samples for w in _windows(data)]
-    try:
-        return zstandard.train_dictionary(TAIL_BYTES, windows, k=64, d=8).as_bytes()[-TAIL_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        return b"".join(windows)[-TAIL_BYTES:]
-
-
 class Scorer:
     """Wins of the toxic dictionary over the windows of a text."""
 
@@ -193,8 +155,10 @@ def _dictionaries(samples: Sequence[bytes], toxic: np.ndarray) -> tuple[bytes, b
     heads = []
     for k in (0, 1):
         grams = _set_apart(counts[k], max(1, len(by[k])), counts[1 - k], max(1, len(by[1 - k])))
-        heads.append(_marked(by[k], grams, HEAD_BYTES) if by[k] else b"")
-    tail = _tail(by[1])  # ordinary prose alone, so that neither dictionary knows what sets toxic text apart
+        own = (b"\n".join(_passages(x, grams)) for x in by[k])
+        heads.append(_trained([x for x in own if x], HEAD_BYTES, 24))
+    # Ordinary prose alone, so that neither dictionary knows from it what sets toxic text apart.
+    tail = _trained([w for x in by[1] for w in _windows(x)], TAIL_BYTES, 64)
     size = max(8, *(len(h) for h in heads))
     return heads[0].rjust(size, b"\0") + tail, heads[1].rjust(size, b"\0") + tail
 
