@@ -57,20 +57,24 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, size: int | N
     """The mixture: every document as often as it drew, in a random order over all partitions.
 
     weights: source and weight. The result has the columns of docs, and copy
-    (from 1) if asked for.
+    (from 1) if asked for; with as many underscores behind it as the name needs
+    to be new.
     """
-    spark = docs.sparkSession
-    names = docs.columns
-    table = rates(docs, weights, size).withColumnRenamed("source", "r_source")
+    width_ = width(docs.sparkSession)
+    # The user's columns travel in one struct, so that no name of theirs meets one of ours.
+    fields = docs.columns
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("content"), F.struct(*docs.columns).alias("row"))
+    table = rates(docs, weights, size).select(F.col("source").alias("r_source"), "cdf")
     if table.count() <= FEW_SOURCES:
-        joined = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("r_source")))
+        joined = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("r_source")))
     else:
         spread = table.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        salted = docs.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-        joined = salted.join(spread, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("salt_") == F.col("r_salt")))
-    u = uniform(seed, F.col("doc_id"))
-    drawn = joined.withColumn("u_", u).withColumn("drawn_", F.size(F.filter("cdf", lambda c: c < F.col("u_"))))
-    copies = drawn.where("drawn_ > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("drawn_"))).alias("copy_"))
-    place = F.xxhash64(F.lit(seed), "doc_id", "copy_", "text")
-    dealt = copies.withColumn("place_", place).repartition(width(spark), "place_").sortWithinPartitions("place_")
-    return dealt.select(*names, *([F.col("copy_").alias("copy")] if with_copy else []))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+        joined = salted.join(spread, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("salt") == F.col("r_salt")))
+    drawn = joined.withColumn("u", uniform(seed, F.col("id"))).withColumn("drawn", F.size(F.filter("cdf", lambda c: c < F.col("u"))))
+    copies = drawn.where("drawn > 0").select("row", "id", "content", F.explode(F.sequence(F.lit(1), F.col("drawn"))).alias("nth"))
+    dealt = copies.withColumn("place", F.xxhash64(F.lit(seed), "id", "nth", "content")).repartition(width_, "place").sortWithinPartitions("place")
+    named = "copy"
+    while named in {c.lower() for c in fields}:
+        named += "_"
+    return dealt.select(*(F.col("row").getField(c).alias(c) for c in fields), *([F.col("nth").alias(named)] if with_copy else []))
