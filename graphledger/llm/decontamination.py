@@ -48,33 +48,75 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> np.ndarray:
-    """Which words of the item greedy string tiling marks against the text."""
+    """Which words of the item greedy string tiling marks against the text.
+
+    The longest common run of unmarked words is marked first, of equal ones the
+    first in the item and then in the text. Lengths are tried from the longest
+    possible downwards, which a search over lengths finds; so memory stays in
+    proportion to both texts however often their words repeat.
+    """
     marked = np.zeros(len(item), bool)
-    taken = np.zeros(len(text), bool)
-    a, b = A.rolling(item, min_match), A.rolling(text, min_match)
-    order = np.argsort(a, kind="stable")
-    low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    count = high - low
-    j = np.repeat(np.arange(len(b)), count)
-    i = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-    while len(i):
-        free = ~(_any(marked, i, min_match) | _any(taken, j, min_match))
-        i, j = i[free], j[free]
-        if not len(i):
-            break
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        begin = np.flatnonzero(np.concatenate(([True], (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1))))
-        size = np.diff(np.append(begin, len(i))) + min_match - 1
-        longest = begin[size == size.max()]
-        for s in longest[np.lexsort((j[longest], i[longest]))]:
-            at, to, n = i[s], j[s], size.max()
-            if not marked[at : at + n].any() and not taken[to : to + n].any():
-                marked[at : at + n] = True
-                taken[to : to + n] = True
+    shared = np.flatnonzero(np.isin(A.rolling(text, min_match), A.rolling(item, min_match)))
+    if not len(shared):
+        return marked
+    # Only what seeds cover of the text can be marked; a gap leaves one word that counts as taken.
+    inside = np.flatnonzero(A.covered(shared, min_match, len(text)))
+    gaps = np.flatnonzero(inside[1:] != inside[:-1] + 1) + 1
+    text, taken = np.insert(text[inside], gaps, 0), np.insert(np.zeros(len(inside), bool), gaps, True)
+    size = min(len(item), len(text))
+    while size >= min_match:
+        size = _most(item, text, marked, taken, min_match, size)
+        if size >= min_match:
+            _mark(item, text, marked, taken, size)
+        size -= 1
     return marked
 
 
+def _most(item: np.ndarray, text: np.ndarray, marked: np.ndarray, taken: np.ndarray, least: int, most: int) -> int:
+    """The length of the longest common unmarked run, up to `most`; less than `least` if there is none. A common run holds common runs of all smaller lengths."""
+    low, high = least - 1, most
+    step = least
+    while low < high:  # lengths are mostly short: double first, then halve
+        size = min(high, step) if step else (low + high + 1) // 2
+        if len(_places(item, text, marked, taken, size)[0]):
+            low = size
+            step = 2 * step if step else 0
+        else:
+            high, step = size - 1, 0
+    return low
+
+
+def _places(item: np.ndarray, text: np.ndarray, marked: np.ndarray, taken: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of unmarked runs of `size` words that the other text has as well, by Karp-Rabin hashes, and the hashes."""
+    a, b = A.rolling(item, size), A.rolling(text, size)
+    i = np.flatnonzero(~_any(marked, np.arange(len(a)), size))
+    j = np.flatnonzero(~_any(taken, np.arange(len(b)), size))
+    i = i[np.isin(a[i], b[j])]
+    j = j[np.isin(b[j], a[i])]
+    return i, j, a[i], b[j]
+
+
+def _mark(item: np.ndarray, text: np.ndarray, marked: np.ndarray, taken: np.ndarray, size: int) -> None:
+    """Marks common runs of `size` words, from the item's first on, each with the text's first free one."""
+    i, j, a, b = _places(item, text, marked, taken, size)
+    order = np.argsort(b, kind="stable")
+    j, b = j[order], b[order]
+    begin = np.searchsorted(b, a, "left").tolist()
+    end = np.searchsorted(b, a, "right").tolist()
+    place = j.tolist()
+    tried: dict[int, int] = {}  # places before it are taken for good
+    for at, s, e in zip(i.tolist(), begin, end):
+        if marked[at : at + size].any():
+            continue
+        k = tried.get(s, s)
+        while k < e and taken[place[k] : place[k] + size].any():
+            k += 1
+        tried[s] = k
+        if k < e and (item[at : at + size] == text[place[k] : place[k] + size]).all():
+            marked[at : at + size] = True
+            taken[place[k] : place[k] + size] = True
+
+
 def _any(flags: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(flags)))
     return total[start + size] > total[start]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -295,6 +296,74 @@ def test_tiling_catches_reordered_passages(spark, nothing):
     assert tile(np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64), 5).all()
 
 
+def greedy(item, text, least):
+    """Greedy string tiling as its definition has it."""
+    marked, taken = [False] * len(item), [False] * len(text)
+    while True:
+        best, found = least - 1, []
+        for i, j in product(range(len(item)), range(len(text))):
+            k = 0
+            while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not marked[i + k] and not taken[j + k]:
+                k += 1
+            if k > best:
+                best, found = k, []
+            if k == best and k >= least:
+                found.append((i, j))
+        if not found:
+            return marked
+        for i, j in found:
+            if not any(marked[i : i + best]) and not any(taken[j : j + best]):
+                marked[i : i + best] = taken[j : j + best] = [True] * best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tiling_is_greedy(seed):
+    rng = random.Random(seed)
+    letters = 2 + seed % 4
+    item, text = ([rng.randrange(letters) for _ in range(rng.randint(3, 60))] for _ in range(2))
+    got = tile(np.array(item, np.uint64), np.array(text, np.uint64), 3)
+    assert got.tolist() == greedy(item, text, 3)
+
+
+def test_tiling_of_one_word_over_and_over():
+    assert int(tile(np.full(60_000, 7, np.uint64), np.full(90_000, 7, np.uint64), 5).sum()) == 60_000
+    assert int(tile(np.full(90_000, 7, np.uint64), np.full(60_003, 7, np.uint64), 5).sum()) == 60_003
+
+
+def test_contaminated_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    words = lambda t: [w.lower() for w in re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", t or "")]
+    items = {r["item_id"]: words(r["text"]) for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        own = words(r["text"])
+        seeds = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+        for k, item in items.items():
+            if any(tuple(item[i : i + 5]) in seeds for i in range(len(item) - 4)):
+                covered = sum(greedy(item, own, 5))
+                if covered >= 0.5 * len(item):
+                    want.add((r["doc_id"], k, len(item), covered))
+    got = {(r["doc_id"], r["item_id"], r["item_words"], r["covered"]) for r in contaminated(docs, bench).collect()}
+    assert got == want and got
+
+
+def thue_morse(first, second, n):
+    return "".join((first, second)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_related_words_are_told_apart(spark):
+    """Two words of 1024 bytes that collide under every polynomial modulo 2**64."""
+    one, two = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    rest = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, one), (4, two), (5, " ".join([one, *rest]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.ngram_jaccard(docs.where("doc_id > 2"), words=5).collect()} == {3: 3, 4: 4, 5: 5}
+    bench = spark.createDataFrame([(9, " ".join([one] * 5))], "item_id long, text string")
+    assert contaminated(spark.createDataFrame([(1, " ".join([two] * 5)), (2, " ".join([one] * 5))], "doc_id long, text string"), bench).collect()[0]["doc_id"] == 2
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark, nothing):
     rng = random.Random(2)
     prose = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randint(1, 3))) for _ in range(80)).split()
@@ -397,6 +466,24 @@ def test_mixing(spark, monkeypatch, few):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+INNER = ["copy", "copy_", "cdf", "r_source", "u", "u_", "drawn", "place", "nth", "row", "id", "content", "salt", "score", "block", "text_as_it_is", "payload", "_chosen", "component_id", "n"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """All but the last stage return the columns they got, nulls and repeated rows included, whatever they are called."""
+    rows = [(i, f"clean text number {i} of a kind", "s", i) for i in range(6)] + [(1, "clean text number 1 of a kind", "s", 1), (None, None, None, None), (7, "", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, x long").select("doc_id", "text", "source", *(F.col("x").alias(c) for c in INNER))
+    bench = spark.createDataFrame([(1, "some other words that nobody has here")], "item_id long, text string")
+    model = toxicity.fit([], [], 0.0)
+    outs = [toxicity.drop_toxic(docs, model), ngram_jaccard.one_of_each(docs), decontaminated(docs, bench), mixing.mix_sources(docs)]
+    for out in outs:
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == (r["doc_id"] if r["text"] is not None else None) for c in INNER)
+    assert [out.count() for out in outs[:3]] == [9, 9, 9]
+    assert mixing.mix_sources(docs, with_copy=True).columns == [*docs.columns, "copy__"]
+
+
 def test_url_filter(spark):
     urls = ["HTTP://WWW.Example.COM/en/x?y#z", "https://example.com/en/1", "http://a.example.com/fr", "http://b.net/es/", "http://b.net", None, "no scheme", "x://notnet/es/", "http://c.co.uk?q", "http://bad.org/1", "http://good.org/1", "ftp://É.org/#"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)] + [(100 + i, f"http://bad.org/{i}", "h", "v") for i in range(60)] + [(300 + i, f"http://good.org/{i}", "h", "v") for i in range(60)], "page_id long, url string, host string, verdict string")
