@@ -13,15 +13,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a memo may hold before it starts afresh (under 100 MB), and characters of text that are looked up at once.
+#: Pieces that a memo holds at most, but for those of one run (under 100 MB), and characters of text that are looked up at once.
 MEMO, RUN_CHARS = 300_000, 1 << 18
 #: Longer pieces are encoded each time they occur.
 LONG = 64
 
 
-_STOP, _COMMA = re.compile(r"(?<=[a-z])\.(?= )"), re.compile(r"(?<=[a-z]),(?= )")
-
-
 class PieceCounter:
     """Counts of a sentencepiece model's tokens."""
 
@@ -87,6 +84,7 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -99,7 +97,8 @@ class WordEncoder:
         self.stop_id = -1
         stop = self.model.encode(".", add_special_tokens=False).ids
         pairs = ["ab.cd", "é.x", "a.b.c", "the.er.ing.th.ne"]
-        if len(stop) == 1 and all(self._plain(p) == np.uint32(stop[0]).tobytes().join(map(self._plain, p.split("."))) for p in pairs):
+        self.marks = {m: self._plain(m) for m in ".,"}
+        if len(stop) == 1 and all(self._plain(p) == np.uint32(stop[0]).tobytes().join(map(self._plain, p.split("."))) for p in pairs) and all(self._plain(p + m) == self._plain(p) + x for p in ("ab", "é", "the") for m, x in self.marks.items()):
             self.stop_id = stop[0]
         probes = ["a b", " a", "a ", "Ab, c. d., e.. f.", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "<|ENDOFTEXT|> a", "b<|EndOfText|>A <|StartOfText|>", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
         self.wordwise = bool(between) and all(x == self._plain(p) for x, p in zip(self._encode(probes), probes))
@@ -114,10 +113,7 @@ class WordEncoder:
             low = text.lower()
             # Lower case must not make a special token, which the library looks for in the text as it is.
             if not ("<" in low and any(t in low for t in self.special)):
-                low = low.replace("\n", " ")
-                if self.stop_id >= 0:  # a mark after a letter and before a blank is a word of its own
-                    low = _COMMA.sub(" ,", _STOP.sub(" .", low))
-                return low.split(" ")
+                return low.replace("\n", " ").split(" ")
         return text.split(" ")
 
     def _learn(self, pieces: list[str]) -> None:
@@ -126,11 +122,21 @@ class WordEncoder:
         if alone:
             self.memo.update((p, self._plain(p)) for p in alone)
             pieces = list(set(pieces).difference(alone))
-        letters = [p for p in pieces if p.isalpha()] if self.stop_id >= 0 else []
-        if letters:
-            pieces = list(set(pieces).difference(letters))
-        self._many(letters, ".", self.stop_id, 128)
-        self._many(pieces, self.between, self.between_id, 64)
+        marked: list[str] = []
+        if self.stop_id >= 0:
+            letters = {p for p in pieces if p.isalpha()}
+            marked = [p for p in pieces if p[-1] in self.marks and p[:-1].isalpha()]
+            others = list(set(pieces).difference(letters, marked))
+            # A mark behind a word is a word of its own; most such words are known without it.
+            known = {p[:-1] for p in marked} - letters - self.memo.keys()
+            again = known & self.before.keys()
+            self.memo.update((p, self.before[p]) for p in again)
+            letters |= known - again
+        else:
+            letters, others = [], pieces
+        self._many(list(letters), ".", self.stop_id, 64)
+        self._many(others, self.between, self.between_id, 64)
+        self.memo.update((p, self.memo[p[:-1]] + self.marks[p[-1]]) for p in marked)
 
     def _many(self, pieces: list[str], between: str, between_id: int, size: int) -> None:
         parts = [pieces[i : i + size] for i in range(0, len(pieces), size)]
@@ -144,16 +150,18 @@ class WordEncoder:
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(set(chain.from_iterable(split)))
-        self._learn(new)
+        new = set(chain.from_iterable(split)) - self.memo.keys()
+        again = new & self.before.keys()
+        self.memo.update((p, self.before[p]) for p in again)
+        new -= again
+        self._learn(list(new))
         get = self.memo.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         for piece in new:
             if len(piece) > LONG:
                 del self.memo[piece]
+        if len(self.memo) > MEMO // 2:  # what is not met again until the next time goes
+            self.before, self.memo = self.memo, {}
         return out
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
