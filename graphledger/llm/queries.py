@@ -118,6 +118,58 @@ WITH rows AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op4_suffix_dedup": """
+WITH bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT doc_id, 1000 * k AS base, substr(h, 2000 * k + 1, 2098) AS part, n
+  FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS k FROM bytes)
+), flat AS (
+  SELECT doc_id, base + i AS i, substr(part, 2 * i + 1, 2) AS x, CASE WHEN base + i + 50 <= n THEN substr(part, 2 * i + 1, 100) END AS piece
+  FROM (SELECT *, unnest(range(0, least(1000, n - base))) AS i FROM parts)
+), least AS (
+  SELECT hash(piece) AS a, md5_number(piece) AS b, min(doc_id) AS first_id, max(doc_id) AS last_id FROM flat WHERE piece IS NOT NULL GROUP BY ALL HAVING first_id < last_id
+), starts AS (
+  SELECT flat.doc_id, i, x, coalesce(first_id < flat.doc_id, false) AS starts
+  FROM flat LEFT JOIN least ON hash(piece) = a AND md5_number(piece) = b
+), marked AS (
+  SELECT doc_id, i, x, max(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) = 1 AS removed FROM starts
+), runs AS (
+  SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked
+), each AS (
+  SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT removed), '') AS kept
+  FROM runs GROUP BY doc_id
+)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bytes b LEFT JOIN each USING (doc_id)
+""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT reach.node, ways.b FROM reach JOIN ways ON reach.seen = ways.a
+), least AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id)::BIGINT AS component_id
+FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.node = w.doc_id
 """,
     "op8_mixing": """
 WITH counts AS (
