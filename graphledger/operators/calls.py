@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import derivation_priority, display, loose_path
@@ -84,3 +84,19 @@ def symbols_of_ranges(graph: Graph, ranges: DataFrame) -> DataFrame:
     inner = one.orderBy(F.desc("line"), F.asc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("least_end", F.min("end_line").over(inner)).where("least_end IS NULL OR least_end > end_line")
     return hits.select("path", "start", "end", "entity_id", F.when(F.col("encloses"), "enclosing").otherwise("overlapping").alias("match"))
+
+
+# Fixed values that results depend on.
+CALLABLE_KINDS = ("function", "method", "class")
+
+
+def is_callable(kind: Column, qualname: Column) -> Column:
+    """Whether a caller is a symbol that can be called, not a place in a module: by its kind, or without one by having a name."""
+    return F.when(kind.isin(*CALLABLE_KINDS), True).when(kind.isNotNull(), False).otherwise(F.coalesce(qualname, F.lit("")) != "")
+
+
+def call_site(source_line: Column, source_excerpt: Column) -> Column:
+    """The texts of a call's place that are not blank; null without any."""
+    bare = lambda x: F.when(F.trim(x) != "", x)
+    line, excerpt = bare(source_line), bare(source_excerpt)
+    return F.when(line.isNotNull() | excerpt.isNotNull(), F.struct(line.alias("source_line"), excerpt.alias("source_excerpt")))

@@ -31,10 +31,29 @@ def surviving_referrers(base_edges: DataFrame, head_nodes: DataFrame) -> DataFra
 
 
 def responsibility_moved(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Targets that lost a caller and won another: dst, lost, won. Sides are counted, never paired, so hot targets stay small."""
-    lost = removed.join(added, ["src", "dst"], "left_anti").groupBy("dst").agg(F.count_distinct("src").alias("lost"))
-    won = added.join(removed, ["src", "dst"], "left_anti").groupBy("dst").agg(F.count_distinct("src").alias("won"))
-    return lost.join(won, "dst")
+    """Targets that lost a caller and won another in the same repository: dst, repo, lost, won. Edges: src, dst, repo (of src).
+
+    Sides are counted, never paired, so hot targets stay small. Without a repo column all is one repository.
+    """
+    key = ["dst", *(["repo"] if "repo" in removed.columns and "repo" in added.columns else [])]
+    lost = removed.join(added, ["src", "dst"], "left_anti").groupBy(*key).agg(F.count_distinct("src").alias("lost"))
+    won = added.join(removed, ["src", "dst"], "left_anti").groupBy(*key).agg(F.count_distinct("src").alias("won"))
+    return lost.join(won, key)
+
+
+def in_both(base: DataFrame, head: DataFrame, *carried: str) -> DataFrame:
+    """Base and head entities with the same URN: urn, base_id, head_id, and the carried columns of both sides; ids differ from run to run."""
+    side = lambda x, name: x.select("urn", F.col("entity_id").alias(f"{name}_id"), *(F.col(c).alias(f"{name}_{c}") for c in carried))
+    return side(base, "base").join(side(head, "head"), "urn")
+
+
+def union_scopes(*scopes: DataFrame) -> DataFrame:
+    """All scopes, each once by its JSON with sorted keys: scope (a map of strings)."""
+    rows = scopes[0]
+    for more in scopes[1:]:
+        rows = rows.unionByName(more)
+    plain = F.to_json(F.array_sort(F.map_entries("scope")))
+    return rows.withColumn("plain", plain).groupBy("plain").agg(F.first("scope").alias("scope")).select("scope")
 
 
 def call_edge_delta(removed: DataFrame, added: DataFrame, paths: list[str]) -> DataFrame:

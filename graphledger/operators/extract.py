@@ -25,7 +25,8 @@ from graphledger.operators import extract_config as config
 
 # Fixed values that results depend on.
 LARGEST = 2_000_000
-HTTP_METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+HTTP_METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
+ROUTERS = ("fastapi.FastAPI", "fastapi.APIRouter", "flask.Flask", "flask.Blueprint")
 IGNORED_FOLDERS = (".git", ".idea", ".ipynb_checkpoints", ".mypy_cache", ".next", ".pytest_cache", ".ruff_cache", ".turbo", ".vercel", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules")
 
 FINDING = "repo string, path string, tag string, predicate string, kind string, subject string, object string, detail string, line int"
@@ -163,6 +164,8 @@ def python(path: str, text: str) -> Iterator[Finding]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             names[node.name] = f"{module}.{node.name}"
 
+    routers = _routers(tree, names)
+
     def walk(body: list[ast.stmt], owner: str, inside: str | None) -> Iterator[Finding]:
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -173,7 +176,7 @@ def python(path: str, text: str) -> Iterator[Finding]:
                     if name := _dotted(base):
                         yield _fact("IMPLEMENTS", "CodeSymbol", own, _meant(names, name), node.lineno)
                 for mark in node.decorator_list:
-                    yield from _route(mark, own)
+                    yield from _route(mark, own, routers)
                 yield from walk(node.body, own, own if isinstance(node, ast.ClassDef) else None)
                 if not isinstance(node, ast.ClassDef):
                     yield from _calls(node, own, owner if inside else None, names)
@@ -208,11 +211,25 @@ def _calls(node: ast.AST, caller: str, cls: str | None, names: dict[str, str]) -
             yield _fact("REFERENCES_ENV_VAR", "EnvVar", caller, str(inner.slice.value), inner.lineno, "code_access")
 
 
-def _route(mark: ast.expr, owner: str) -> Iterator[Finding]:
-    """Decorators like app.get("/x") and app.route("/x", methods=[...])."""
+def _routers(tree: ast.Module, names: dict[str, str]) -> dict[str, str | None]:
+    """Variables that hold an application or a router, with the prefix of its paths; null if that is no literal."""
+    out: dict[str, str | None] = {}
+    for node in ast.walk(tree):
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        if targets and isinstance(node.value, ast.Call) and _meant(names, _dotted(node.value.func) or "") in ROUTERS:
+            given = next((k.value for k in node.value.keywords if k.arg == "prefix"), ast.Constant(""))
+            prefix = given.value if isinstance(given, ast.Constant) and isinstance(given.value, str) else None
+            out.update((t.id, prefix) for t in targets if isinstance(t, ast.Name))
+    return out
+
+
+def _route(mark: ast.expr, owner: str, routers: dict[str, str | None]) -> Iterator[Finding]:
+    """Decorators like app.get("/x") and app.route("/x", methods=[...]) of known applications and routers."""
     if not (isinstance(mark, ast.Call) and isinstance(mark.func, ast.Attribute) and mark.args and isinstance(mark.args[0], ast.Constant) and isinstance(mark.args[0].value, str)):
         return
-    verb, path = mark.func.attr, mark.args[0].value
+    if not isinstance(mark.func.value, ast.Name) or (prefix := routers.get(mark.func.value.id)) is None:
+        return
+    verb, path = mark.func.attr.lower(), prefix + mark.args[0].value
     if verb in HTTP_METHODS:
         yield _fact("EXPOSES_ENDPOINT", "Endpoint", owner, f"{verb.upper()} {path}", mark.lineno)
     elif verb == "route":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import package_name
@@ -94,3 +94,45 @@ def handler_policies(handlers: DataFrame, policies: DataFrame) -> DataFrame:
     exact = handlers.alias("h").join(policies.alias("p"), ["module", "qualname"]).select("handler", "policy", F.lit("exact").alias("via"))
     child = policies.withColumn("qualname", F.regexp_replace("qualname", r"\.[^.]*$", "")).where(F.contains(policies.qualname, F.lit(".")))
     return exact.unionByName(handlers.join(child, ["module", "qualname"]).select("handler", "policy", F.lit("method").alias("via"))).distinct()
+
+
+def not_linked(candidates: DataFrame, links: DataFrame, *key: str) -> DataFrame:
+    """Candidates whose key no link has yet."""
+    return candidates.join(links.select(*key).distinct(), [*key], "left_anti")
+
+
+def with_fallback(wanted: DataFrame, resolvers: list[DataFrame], key: str) -> DataFrame:
+    """Each wanted row with what the first resolver that knows its key says: the wanted columns, value, resolver (its place, null for none)."""
+    known = None
+    for place, resolver in enumerate(resolvers):
+        one = resolver.select(key, "value", F.lit(place).alias("resolver"))
+        known = one if known is None else known.unionByName(one)
+    first = known.groupBy(key).agg(F.min(F.struct("resolver", "value")).alias("r"))
+    return wanted.join(first, key, "left").select(*wanted.columns, F.col("r.value").alias("value"), F.col("r.resolver").alias("resolver"))
+
+
+def routed(domains: DataFrame, routes: DataFrame) -> DataFrame:
+    """Domains with whether any route serves them: the columns of domains, routed."""
+    have = routes.select("domain").distinct().withColumn("routed", F.lit(True))
+    return domains.join(have, "domain", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
+
+
+# Fixed values that results depend on.
+ROLE_TERMS = {
+    "worker": ("task", "tasks", "worker", "workers", "job", "jobs", "consumer", "consumers", "processor", "processors"),
+    "api": ("api", "apis", "view", "views", "route", "routes", "url", "urls", "controller", "controllers"),
+    "serializer": ("serializer", "serializers", "schema", "schemas"),
+    "model": ("model", "models", "entity", "entities"),
+}
+
+
+def roles(module: Column, path: Column, symbol_kind: Column) -> Column:
+    """What a symbol is for by the segments of its module and path, as a sorted array of roles."""
+    plain = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+    parts = lambda x, by: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), by), plain), lambda t: t != "")
+    m, p = parts(module, "[.]"), parts(path, "/")
+    command = lambda x: F.contains(F.concat(F.lit("/"), F.array_join(x, "/"), F.lit("/")), F.lit("/management/commands/"))
+    has = {name: F.arrays_overlap(m, F.array(*map(F.lit, terms))) | F.arrays_overlap(p, F.array(*map(F.lit, terms))) for name, terms in ROLE_TERMS.items()}
+    has["scheduled_job"] = command(m) | command(p)
+    has["model"] &= F.coalesce(symbol_kind, F.lit("")) != "django_field"
+    return F.array_compact(F.array(*(F.when(has[name], F.lit(name)) for name in sorted(has))))

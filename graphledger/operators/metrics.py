@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import is_hash_urn
+from graphledger.operators.linker import inside_any
 
 # Fixed values that results depend on.
 STATUS_WEIGHT = {"canonical": 1.0, "candidate": 0.5, "demoted": 0.1}
@@ -53,12 +54,13 @@ def identity_health(entities: DataFrame) -> DataFrame:
 def opportunity(opportunities: DataFrame, evidence: DataFrame, coverage: DataFrame) -> DataFrame:
     """Expected facts that have evidence, and those with neither evidence nor coverage: opportunity, silent_gap.
 
-    All share predicate and path; an opportunity has a line, evidence a range.
+    All share predicate, path and, where all have them, repo and language; an opportunity has a line, evidence a range.
     """
-    o = opportunities.select("id", "predicate", "path", "line")
-    e = evidence.select("predicate", "path", "line_start", "line_end")
-    met = o.join(e, ["predicate", "path"]).where("line BETWEEN line_start AND line_end").select("id").distinct().withColumn("met", F.lit(1.0))
-    told = o.join(coverage.select("predicate", "path").distinct(), ["predicate", "path"], "left_semi").select("id").distinct().withColumn("told", F.lit(1.0))
+    key = ["predicate", "path", *(c for c in ("repo", "language") if all(c in x.columns for x in (opportunities, evidence, coverage)))]
+    scope = F.struct(*key).alias("scope")
+    o = opportunities.select("id", "line", scope)
+    met = inside_any(o, evidence.select(scope, F.col("line_start").alias("start"), F.col("line_end").alias("end")), "scope").select("id").distinct().withColumn("met", F.lit(1.0))
+    told = o.join(coverage.select(scope).distinct(), "scope", "left_semi").select("id").distinct().withColumn("told", F.lit(1.0))
     rows = o.join(met, "id", "left").join(told, "id", "left")
     gap = F.when(F.col("met").isNull() & F.col("told").isNull(), 1.0).otherwise(0.0)
     return rows.agg(F.avg(F.coalesce("met", F.lit(0.0))).alias("opportunity"), F.avg(gap).alias("silent_gap"))

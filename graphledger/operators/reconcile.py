@@ -52,14 +52,27 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 def possible_matches(left: DataFrame, right: DataFrame) -> list[tuple[str, str, float]]:
-    """Each left key, in order, takes the most similar right key still free. The pairs are few: both sides are left-overs."""
+    """Each left key, in order, takes the most similar right key still free, of equal ones the last by name; best matches first.
+
+    The pairs are few: both sides are left-overs.
+    """
     taken: set[str] = set()
     out = []
-    rows = scored(candidates(left, right)).orderBy("left_key", F.desc("similarity"), "right_key").toLocalIterator()
+    rows = scored(candidates(left, right)).orderBy("left_key", F.desc("similarity"), F.desc("right_key")).toLocalIterator()
     last = None
     for row in rows:
         if row["left_key"] != last and row["right_key"] not in taken:
             last = row["left_key"]
             taken.add(row["right_key"])
             out.append((row["left_key"], row["right_key"], row["similarity"]))
-    return out
+    return sorted(out, key=lambda m: (-m[2], m[0], m[1]))
+
+
+def cheap_score(left: str, right: str) -> F.Column:
+    """What a pair of keys looks like before it is compared: shared share of segments, common start, likeness of lengths."""
+    a, b = _segments(left), _segments(right)
+    overlap = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
+    shorter, longer = (f(F.length(left), F.length(right)) for f in (F.least, F.greatest))
+    steps = F.sequence(F.lit(1), F.greatest(shorter, F.lit(1)))
+    start = F.size(F.filter(steps, lambda n: (n <= shorter) & (F.substr(F.col(left), F.lit(1), n) == F.substr(F.col(right), F.lit(1), n))))
+    return overlap + start / F.greatest(F.lit(1), shorter) + shorter / F.greatest(F.lit(1), longer)

@@ -76,6 +76,9 @@ def reorder_in_place(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def within_budget(rows: DataFrame, budget: int) -> DataFrame:
     """The longest head of the rows by rank whose texts together stay within a number of characters: id, rank, used."""
+    # Empty texts cost nothing; of the others no more than `budget` can fit, so one task never sees more of them.
+    last = rows.where(F.length("text") > 0).orderBy("rank", "id").limit(budget + 1).agg(F.max(F.struct("rank", "id")).alias("last"), F.count(F.lit(1)).alias("n"))
+    rows = rows.crossJoin(F.broadcast(last)).where((F.col("n") <= budget) | (F.struct("rank", "id") <= F.col("last"))).drop("last", "n")
     used = F.sum(F.length("text")).over(Window.orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where(F.col("used") <= budget).select("id", "rank", "used")
 
@@ -99,3 +102,36 @@ def baseline_drift(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Counts that differ from a baseline, or are on one side only: section, key, actual, expected."""
     a, e = (x.select("section", "key", F.col("n").alias(name)) for x, name in ((actual, "actual"), (expected, "expected")))
     return a.join(e, ["section", "key"], "full_outer").where(~F.col("actual").eqNullSafe(F.col("expected")))
+
+
+# Fixed values that results depend on.
+SPECIFICITY_RANK = {"high": 0, "medium": 1, "low": 2}
+CONFIDENCE_RANK = {"strong": 2, "medium": 1, "weak": 0}
+WINNERS = ("mcp_off", "mcp_on", "tie")
+
+
+def _rank(column: str, ranks: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
+    for name, rank in ranks.items():
+        out = F.when(F.col(column) == name, rank).otherwise(out)
+    return out
+
+
+def strongest_hypotheses(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The first n hypotheses: by specificity, then most leads, most evidence, confidence and risk type; place is their order."""
+    order = [F.asc(_rank("specificity", SPECIFICITY_RANK, 2)), F.desc(F.coalesce(F.size("leads"), F.lit(0))), F.desc(F.coalesce(F.size("evidence"), F.lit(0))), F.desc(_rank("confidence", CONFIDENCE_RANK, 0)), F.asc("risk_type"), F.asc("ord")]
+    best = rows.orderBy(*order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def phase_means(rows: DataFrame) -> DataFrame:
+    """For each phase: tasks and the mean differences of tool calls, tokens and time; what is missing counts in no mean."""
+    tokens = F.col("tokens_in") + F.col("tokens_out")
+    mean = lambda x, name: F.avg(x).alias(name)
+    return rows.groupBy(F.coalesce("phase", F.lit("unknown")).alias("phase")).agg(F.count(F.lit(1)).alias("tasks"), mean("tool_calls", "avg_tool_calls_delta"), mean(tokens, "avg_token_delta"), mean("wall_time", "avg_wall_time_delta"))
+
+
+def rubric_wins(rows: DataFrame, aspects: list[str]) -> DataFrame:
+    """How often each side won each aspect; anything else is unknown: aspect, winner, n. rows: one column for each aspect."""
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(a).alias("aspect"), F.col(a).alias("winner")) for a in aspects))).alias("r")).select("r.*")
+    return each.groupBy("aspect", F.when(F.col("winner").isin(*WINNERS), F.col("winner")).otherwise("unknown").alias("winner")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphledger.sources.session import shared_top
+
 from graphledger.operators.graph import Graph
 
 #: (predicate, subject kind, object kind) that a dependency path may use.
@@ -22,17 +26,11 @@ PATH_EDGES = [
 
 
 def _cut(frame: DataFrame) -> DataFrame:
-    """A loop's state without its history; in the cluster's checkpoint folder where one is set."""
+    """A loop's state without its history: a table in the shared folder that the session names."""
     spark = frame.sparkSession
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if folder is None:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="graphledger-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
+    path = f"{shared_top(spark)}/graphledger-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

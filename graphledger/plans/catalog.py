@@ -658,3 +658,108 @@ def baseline_drift(spark, sf):
     rows = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
     count = lambda x: x.groupBy(F.lit("c").alias("section"), F.col("n_name").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return review.baseline_drift(count(rows), count(rows.where("n_regionkey <> 1 OR c_acctbal > 0")))
+
+
+REPO = "concat('r', CAST(substr(src, 2) AS BIGINT) % 3)"
+
+
+@query("d04_responsibility_moved_in_repo", DIFF + LOST + f"""
+SELECT dst, repo, l.n AS lost, w.n AS won FROM (SELECT dst, {REPO} AS repo, count(DISTINCT src) AS n FROM lost GROUP BY ALL) l JOIN (SELECT dst, {REPO} AS repo, count(DISTINCT src) AS n FROM won GROUP BY ALL) w USING (dst, repo)""")
+def responsibility_moved_in_repo(spark, sf):
+    return diff.responsibility_moved(*(x.withColumn("repo", F.expr(REPO)) for x in _sides(spark, sf)))
+
+
+@query("j20_in_both", """
+SELECT concat('urn:', c_custkey) AS urn, concat('b', c_custkey) AS base_id, concat('h', c_custkey) AS head_id, c_mktsegment AS base_kind, c_mktsegment AS head_kind FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0""")
+def in_both(spark, sf):
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    side = lambda name, n: rows.where(f"c_custkey % {n} = 0").selectExpr("concat('urn:', c_custkey) AS urn", f"concat('{name}', c_custkey) AS entity_id", "c_mktsegment AS kind")
+    return diff.in_both(side("b", 2), side("h", 3), "kind")
+
+
+@query("d02_union_scopes", """
+SELECT DISTINCT o_orderstatus AS repo, o_orderpriority AS predicate FROM orders""")
+def union_scopes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet")
+    one = rows.where("o_orderkey % 2 = 0").selectExpr("map('repo', o_orderstatus, 'predicate', o_orderpriority) AS scope")
+    two = rows.where("o_orderkey % 2 = 1 OR o_orderkey % 4 = 0").selectExpr("map('predicate', o_orderpriority, 'repo', o_orderstatus) AS scope")
+    return diff.union_scopes(one, two).selectExpr("scope['repo'] AS repo", "scope['predicate'] AS predicate")
+
+
+@query("j10_not_linked", """
+SELECT DISTINCT l_suppkey AS service, l_partkey AS target FROM lineitem WHERE l_returnflag = 'N' AND (l_suppkey, l_partkey) NOT IN (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')""")
+def not_linked(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey AS service", "l_partkey AS target", "l_returnflag AS flag")
+    return linker.not_linked(rows.where("flag = 'N'").drop("flag").distinct(), rows.where("flag = 'R'"), "service", "target")
+
+
+@query("j06_with_fallback", """
+SELECT p_partkey AS id, p_brand AS name, CASE WHEN p_partkey % 5 = 0 THEN concat('py:', p_partkey) WHEN p_partkey % 3 = 0 THEN concat('ts:', p_partkey) END AS value, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE -1 END AS resolver FROM part""")
+def with_fallback(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_brand AS name")
+    resolvers = [rows.where(f"id % {n} = 0").selectExpr("id", f"concat('{name}:', id) AS value") for name, n in (("py", 5), ("ts", 3))]
+    return linker.with_fallback(rows, resolvers, "id").withColumn("resolver", F.coalesce("resolver", F.lit(-1)))
+
+
+@query("j25_routed", """
+SELECT s_name AS domain, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A' AND l_linenumber = 7) AS routed FROM supplier""")
+def routed(spark, sf):
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    routes = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 49 AND l_returnflag = 'A' AND l_linenumber = 7")
+    return linker.routed(suppliers.selectExpr("s_name AS domain"), routes.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr("s_name AS domain"))
+
+
+MODULE = "concat(CASE p_size % 5 WHEN 0 THEN 'app.tasks' WHEN 1 THEN 'app.API' WHEN 2 THEN 'shop.models' WHEN 3 THEN 'x.serializers.views' ELSE 'pkg.core' END, '.', p_type)"
+PATH = "CASE WHEN p_partkey % 7 = 0 THEN 'shop/management/commands/run.py' WHEN p_partkey % 9 = 0 THEN 'jobs/x.py' ELSE 'shop/x.py' END"
+
+
+@query("f15_roles", f"""
+WITH r AS (SELECT p_partkey AS id, p_size % 5 AS k, p_partkey % 7 = 0 AS command, p_partkey % 7 <> 0 AND p_partkey % 9 = 0 AS jobs, p_partkey % 11 = 0 AS field FROM part)
+SELECT id, array_to_string(list_filter([CASE WHEN k IN (1, 3) THEN 'api' END, CASE WHEN k = 2 AND NOT field THEN 'model' END, CASE WHEN command THEN 'scheduled_job' END, CASE WHEN k = 3 THEN 'serializer' END, CASE WHEN k = 0 OR jobs THEN 'worker' END], lambda x: x IS NOT NULL), ',') AS roles FROM r""")
+def roles(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", f"{MODULE} AS module", f"{PATH} AS path", "CASE WHEN p_partkey % 11 = 0 THEN 'django_field' ELSE 'class' END AS kind")
+    return rows.select("id", F.array_join(linker.roles(F.col("module"), F.col("path"), F.col("kind")), ",").alias("roles"))
+
+
+@query("f19_callable", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 3 = 0 ELSE o_orderstatus <> 'P' END AS callable FROM orders""")
+def callable_symbols(spark, sf):
+    kind = "CASE WHEN o_orderkey % 4 <> 0 THEN CASE o_orderstatus WHEN 'O' THEN 'function' WHEN 'F' THEN 'method' ELSE 'module' END END"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS id", f"{kind} AS kind", "CASE WHEN o_orderkey % 3 = 0 THEN 'f' WHEN o_orderkey % 3 = 1 THEN '' END AS qualname")
+    return rows.select("id", calls.is_callable(F.col("kind"), F.col("qualname")).alias("callable"))
+
+
+@query("p04_call_site", """
+SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN event_type END AS source_line, CASE WHEN user_id % 2 = 0 THEN props END AS source_excerpt, user_id % 3 = 0 OR user_id % 2 = 0 AS known FROM events""")
+def call_sites(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    site = calls.call_site(F.expr("CASE WHEN user_id % 3 = 0 THEN event_type WHEN user_id % 3 = 1 THEN '  ' END"), F.expr("CASE WHEN user_id % 2 = 0 THEN props ELSE '' END"))
+    return rows.select(F.col("event_id").alias("id"), site.alias("s")).select("id", "s.source_line", "s.source_excerpt", F.col("s").isNotNull().alias("known"))
+
+
+@query("l10_strongest_hypotheses", """
+WITH h AS (SELECT o_orderkey AS ord, o_orderpriority AS risk_type, CASE o_orderstatus WHEN 'O' THEN 'high' WHEN 'F' THEN 'medium' ELSE 'other' END AS specificity, o_custkey % 4 AS leads, o_orderkey % 3 AS evidence, o_custkey % 3 AS strength FROM orders)
+SELECT ord, row_number() OVER o::INTEGER AS place FROM h WINDOW o AS (ORDER BY CASE specificity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, leads DESC, evidence DESC, strength DESC, risk_type, ord) ORDER BY place LIMIT 5""")
+def strongest_hypotheses(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderkey AS ord", "o_orderpriority AS risk_type", "CASE o_orderstatus WHEN 'O' THEN 'high' WHEN 'F' THEN 'medium' ELSE 'other' END AS specificity",
+        "array_repeat('l', cast(o_custkey % 4 AS int)) AS leads", "array_repeat('e', cast(o_orderkey % 3 AS int)) AS evidence", "CASE o_custkey % 3 WHEN 2 THEN 'strong' WHEN 1 THEN 'medium' ELSE 'weak' END AS confidence",
+    )
+    return review.strongest_hypotheses(rows).select("ord", "place")
+
+
+@query("a08_phase_means", """
+SELECT coalesce(CASE WHEN event_type <> 'error' THEN event_type END, 'unknown') AS phase, count(*) AS tasks, round(avg(user_id), 6) AS avg_tool_calls_delta, round(avg(CASE WHEN user_id % 2 = 0 THEN event_id END + user_id), 6) AS avg_token_delta, round(avg(value), 6) AS avg_wall_time_delta FROM events GROUP BY 1""")
+def phase_means(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("CASE WHEN event_type <> 'error' THEN event_type END AS phase", "user_id AS tool_calls", "CASE WHEN user_id % 2 = 0 THEN event_id END AS tokens_in", "user_id AS tokens_out", "value AS wall_time")
+    means = review.phase_means(rows)
+    return means.select("phase", "tasks", *(F.round(c, 6).alias(c) for c in means.columns[2:]))
+
+
+@query("a08_rubric_wins", """
+WITH r AS (SELECT CASE user_id % 4 WHEN 0 THEN 'mcp_on' WHEN 1 THEN 'mcp_off' WHEN 2 THEN 'tie' END AS evidence, CASE event_type WHEN 'click' THEN 'tie' WHEN 'view' THEN 'draw' ELSE 'mcp_on' END AS correctness FROM events)
+SELECT 'evidence' AS aspect, coalesce(evidence, 'unknown') AS winner, count(*) AS n FROM r GROUP BY 2
+UNION ALL SELECT 'correctness', CASE correctness WHEN 'draw' THEN 'unknown' ELSE correctness END, count(*) FROM r GROUP BY 2""")
+def rubric_wins(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("CASE user_id % 4 WHEN 0 THEN 'mcp_on' WHEN 1 THEN 'mcp_off' WHEN 2 THEN 'tie' END AS evidence", "CASE event_type WHEN 'click' THEN 'tie' WHEN 'view' THEN 'draw' ELSE 'mcp_on' END AS correctness")
+    return review.rubric_wins(rows, ["evidence", "correctness"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +18,17 @@ def attach(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_top(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a session of one machine that names none gets one of its own."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir", None)
+    if top is None and context._jsc.sc().getCheckpointDir().isDefined():
+        top = context._jsc.sc().getCheckpointDir().get()
+    if top is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="graphledger-")
+        context.setCheckpointDir(top)
+    return top.rstrip("/")

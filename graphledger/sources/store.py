@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     A line that is no object fails the read.
     """
-    # Ids grow with partition and row, and partitions follow the file's splits.
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    # Splits are planned by size, so rows are put in order by file and place before they are numbered.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = lines.orderBy("file", "start", "row").withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
     bare = ", ".join(p for p in schema.split(", ") if not p.startswith("ord "))
     rows = lines.select(F.from_json("value", bare, {"mode": "FAILFAST"}).alias("r"), "ord").select("r.*", "ord")
     return conform(rows, schema)
@@ -33,6 +35,36 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         (writer.partitionBy("predicate") if name == "facts" else writer).parquet(f"{path}/{name}")
 
 
+def read_jsonl_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_jsonl, or no rows where nothing is at the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return read_jsonl(spark, path, schema)
+    return conform(spark.createDataFrame([], schema), schema)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
+    """write_tables as a whole: readers see all old tables or all new ones; a failed write leaves the old ones.
+
+    The new tables are written beside the old ones, which one rename then replaces.
+    """
+    path = path.rstrip("/")
+    staged, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
+    at, new, gone = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, old))
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write_tables(tables, staged)
+    except Exception:
+        store.delete(new, True)
+        raise
+    if store.exists(at) and not store.rename(at, gone):
+        raise OSError(f"{path} cannot be moved")
+    if not store.rename(new, at):
+        store.rename(gone, at)
+        raise OSError(f"{staged} cannot be moved")
+    store.delete(gone, True)
+
+
 def read_graph(spark: SparkSession, path: str) -> Graph:
     table = lambda name: conform(spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}"), SCHEMAS[name])
     return Graph(table("entities"), table("facts"), table("evidence"), table("coverage"))

@@ -134,3 +134,37 @@ def test_stream_takes_each_id_once(spark, tmp_path):
     stream = ingest.evidence_once(ingest.read_stream(spark, "evidence", str(source)))
     ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(r["evidence_id"] for r in spark.read.schema(graph.EVIDENCE).parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_routes_need_an_application_or_router():
+    code = """
+from unittest import mock
+from fastapi import APIRouter, FastAPI
+import flask
+app, cache = FastAPI(), make_cache()
+api = APIRouter(prefix="/v1")
+odd = APIRouter(prefix=PREFIX)
+site: flask.Blueprint = flask.Blueprint("site", __name__, url_prefix="/s")
+app = FastAPI()
+
+@mock.patch("pkg.mod.fn")
+@cache.get("k")
+def no(): ...
+
+@app.get("/a")
+def a(): ...
+
+@api.post("/b")
+def b(): ...
+
+@odd.get("/c")
+def c(): ...
+
+@app.trace("/d")
+def d(): ...
+
+@site.route("/e", methods=["PUT"])
+def e(): ...
+"""
+    routes = [f[4] for f in extract.python("m.py", code) if f[1] == "EXPOSES_ENDPOINT"]
+    assert routes == ["GET /a", "POST /v1/b", "PUT /e"]

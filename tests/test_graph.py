@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from urllib.parse import quote
 
@@ -217,3 +218,50 @@ def test_members_of_deep_hierarchies(spark):
     members = spark.createDataFrame([("c11", "far"), ("c0", "near")], "class_id string, member string")
     got = {tuple(r) for r in traverse.transitive_members(bases, members).collect()}
     assert got == {("c0", "near"), *((f"c{i}", "far") for i in range(12))}
+
+
+def test_jsonl_is_numbered_in_input_order(spark, tmp_path):
+    """A short file read before a long one, which is read in several splits."""
+    schema = "entity_id string, ord long"
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"entity_id": f"a{i:06}"}) + "\n" for i in range(10)))
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"entity_id": f"b{i:06}"}) + "\n\n" for i in range(20_000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = store.read_jsonl(spark, f"file://{tmp_path}", schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [r["entity_id"] for r in sorted(rows, key=lambda r: r["ord"])] == sorted(r["entity_id"] for r in rows) and len(rows) == 20_010
+    assert store.read_jsonl_if_exists(spark, f"file://{tmp_path}/none", schema).count() == 0
+
+
+def test_publish_is_whole_or_not_at_all(spark, tmp_path):
+    path = f"file://{tmp_path}/snapshot"
+    table = lambda n: {"coverage": spark.createDataFrame([(f"c{i}", i) for i in range(n)], "coverage_id string, ord long")}
+    store.publish(spark, table(3), path)
+    store.publish(spark, table(5), path)
+    assert spark.read.parquet(f"{path}/coverage").count() == 5
+    with pytest.raises(Exception):
+        store.publish(spark, {**table(7), "facts": spark.createDataFrame([(1,)], "x int")}, path)
+    assert spark.read.parquet(f"{path}/coverage").count() == 5 and [p.name for p in tmp_path.iterdir()] == ["snapshot"]
+
+
+def test_best_match_of_equal_ones_is_the_last_by_name(spark):
+    side = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    found = reconcile.possible_matches(side("/orders/a", "/orders/b"), side("/orders/x", "/orders/y", "/other"))
+    assert found == [("/orders/a", "/orders/y", 0.889), ("/orders/b", "/orders/x", 0.889)]
+
+
+def test_opportunities_meet_evidence_and_coverage_of_their_own_scope(spark):
+    columns = "predicate string, path string, repo string, language string"
+    o = spark.createDataFrame([(1, 5, "CALLS", "a.py", "r1", "python"), (2, 5, "CALLS", "a.py", "r2", "python")], f"id int, line int, {columns}")
+    e = spark.createDataFrame([("CALLS", "a.py", "r1", "python", 1, 9)], f"{columns}, line_start int, line_end int")
+    c = spark.createDataFrame([("CALLS", "a.py", "r1", "go")], columns)
+    row = metrics.opportunity(o, e, c).first()
+    assert (row["opportunity"], row["silent_gap"]) == (0.5, 0.5)
+
+
+def test_moves_stay_in_a_repository(spark):
+    edges = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, repo string")
+    moved = diff.responsibility_moved(edges(("x", "z", "r1"), ("v", "w", "r1")), edges(("y", "z", "r1"), ("u", "w", "r2")))
+    assert [tuple(r) for r in moved.select("dst", "repo", "lost", "won").collect()] == [("z", "r1", 1, 1)]
