@@ -16,6 +16,9 @@ U64 = np.uint64
 #: A word is a maximal run of bytes other than space and \t \n \v \f \r.
 WORD_BYTE = np.ones(256, dtype=bool)
 WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
+#: A-Z as a-z, all else as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Stands for a null id inside the arrays: larger than every real id.
 NO_ID = np.iinfo(np.int64).max
 #: Texts are worked on in runs of about this many bytes.

@@ -2,7 +2,8 @@
 
 Both libraries work word by word wherever a space stands, so a text's tokens
 are those of its pieces between spaces. The memo holds pieces the library has
-encoded; it is bounded and only saves time.
+encoded; it is bounded and only saves time. WordEncoder's memo knows a piece by
+a 64-bit hash of its bytes, so that pieces are found without touching each.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces that a memo holds at most, but for those of one run (under 100 MB), and characters of text that are looked up at once.
-MEMO, RUN_CHARS = 300_000, 1 << 18
+from graphledger.llm import arrays as A
+
+#: Pieces that a memo holds at most, but for those of one run of text (under 100 MB).
+MEMO = 400_000
 #: Longer pieces are encoded each time they occur.
 LONG = 64
 
@@ -79,21 +83,15 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self._forget()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         between = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.between, self.between_id = (between[-1]["content"], between[-1]["id"]) if between else ("", -1)
-        steps = spec["normalizer"] or {}
-        kinds = [n["type"] for n in steps.get("normalizers", [steps])  if n]
-        # In Latin text lower case is the same before and after composition, so pieces in either case may share an entry.
-        self.latin = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]*+") if kinds == ["NFC", "Replace", "Lowercase"] else None
         self.stop_id = -1
         stop = self.model.encode(".", add_special_tokens=False).ids
         pairs = ["ab.cd", "é.x", "a.b.c", "the.er.ing.th.ne"]
@@ -101,102 +99,94 @@ class WordEncoder:
         if len(stop) == 1 and all(self._plain(p) == np.uint32(stop[0]).tobytes().join(map(self._plain, p.split("."))) for p in pairs) and all(self._plain(p + m) == self._plain(p) + x for p in ("ab", "é", "the") for m, x in self.marks.items()):
             self.stop_id = stop[0]
         probes = ["a b", " a", "a ", "Ab, c. d., e.. f.", "a  B.c ", "it's 42 o'clock", "x\n y z", "É é İ", "<|endoftext|> a", "<|ENDOFTEXT|> a", "b<|EndOfText|>A <|StartOfText|>", "Straße, niño; 'll 'S ½ — naïve!!", "thththe ererer.Thion'd", "\x00 \t\u00a0x ª"]
-        self.wordwise = bool(between) and all(x == self._plain(p) for x, p in zip(self._encode(probes), probes))
-        self.memo = {}
+        self.wordwise = bool(between)
+        self.wordwise = self.wordwise and all(x.tobytes() == self._plain(p) for x, p in zip(self.ids(probes), probes))
+        self._forget()
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        """The text between blanks; to the normaliser a line feed is one, and case does not matter in Latin text."""
-        if self.latin is not None and self.latin.fullmatch(text):
-            low = text.lower()
-            # Lower case must not make a special token, which the library looks for in the text as it is.
-            if not ("<" in low and any(t in low for t in self.special)):
-                return low.replace("\n", " ").split(" ")
-        return text.split(" ")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the ids of new pieces into the memo."""
-        alone = [p for p in pieces if not p or "<" in p and any(t in p for t in self.special)]
-        if alone:
-            self.memo.update((p, self._plain(p)) for p in alone)
-            pieces = list(set(pieces).difference(alone))
-        marked: list[str] = []
-        if self.stop_id >= 0:
-            letters = {p for p in pieces if p.isalpha()}
-            marked = [p for p in pieces if p[-1] in self.marks and p[:-1].isalpha()]
-            others = list(set(pieces).difference(letters, marked))
-            # A mark behind a word is a word of its own; most such words are known without it.
-            known = {p[:-1] for p in marked} - letters - self.memo.keys()
-            again = known & self.before.keys()
-            self.memo.update((p, self.before[p]) for p in again)
-            letters |= known - again
-        else:
-            letters, others = [], pieces
-        self._many(list(letters), ".", self.stop_id, 64)
-        self._many(others, self.between, self.between_id, 64)
-        self.memo.update((p, self.memo[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def _many(self, pieces: list[str], between: str, between_id: int, size: int) -> None:
-        parts = [pieces[i : i + size] for i in range(0, len(pieces), size)]
+    def _spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces between blanks, and each text's first; a last mark behind a letter is a piece of its own."""
+        starts, ends, first = A.word_spans(buf, offsets)
+        if self.stop_id < 0 or not len(starts):
+            return starts, ends, first
+        last, before = buf[ends - 1], buf[np.maximum(ends - 2, 0)]
+        cut = (ends - starts > 1) & ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122)
+        extra = np.cumsum(cut)
+        at = np.flatnonzero(cut)
+        return np.insert(starts, at + 1, ends[at] - 1), np.insert(ends, at, ends[at] - 1), first + np.concatenate(([0], extra))[first]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        known: dict[str, bytes] = {}
+        alone = {p for p in pieces if "<" in p and any(t in p for t in self.special)}
+        letters = [p for p in pieces if p.isalpha() and (p.isascii() or p.lower().isalpha())] if self.stop_id >= 0 else []
+        others = list(set(pieces).difference(letters, alone))
+        known.update((p, self._plain(p)) for p in alone)
+        self._many(letters, ".", self.stop_id, known)
+        self._many(others, self.between, self.between_id, known)
+        return [known[p] for p in pieces]
+
+    def _many(self, pieces: list[str], between: str, between_id: int, known: dict[str, bytes]) -> None:
+        parts = [pieces[i : i + 64] for i in range(0, len(pieces), 64)]
         for part, e in zip(parts, self.model.encode_batch_fast([between.join(x) for x in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == between_id)).tolist()
             if len(cuts) == len(part) - 1:
-                self.memo.update((p, raw[i:j]) for p, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
+                known.update((p, raw[i:j]) for p, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))
             else:
-                self.memo.update((p, self._plain(p)) for p in part)
-
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        new = set(chain.from_iterable(split)) - self.memo.keys()
-        again = new & self.before.keys()
-        self.memo.update((p, self.before[p]) for p in again)
-        new -= again
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for piece in new:
-            if len(piece) > LONG:
-                del self.memo[piece]
-        if len(self.memo) > MEMO // 2:  # what is not met again until the next time goes
-            self.before, self.memo = self.memo, {}
-        return out
-
-    def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text, worked on in runs of bounded size, so that the memo never outgrows its bound by more than a run."""
+                known.update((p, self._plain(p)) for p in part)
+
+    def _forget(self) -> None:
+        self.memo: dict[int, int] = {}
+        self.flat, self.begin, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def _add(self, hashes: list[int], ids: list[bytes]) -> None:
+        n, sizes = len(self.memo), np.array([len(x) // 4 for x in ids], np.int64)
+        need, total = n + len(ids) + 1, self.used + int(sizes.sum())
+        if need > len(self.begin):
+            self.begin = np.concatenate((self.begin, np.zeros(need, np.int64)))
+        if total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(total, np.uint32)))
+        self.begin[n : need] = self.used + np.concatenate(([0], np.cumsum(sizes)))
+        self.flat[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
+        self.memo.update(zip(hashes, range(n, need)))
+        self.used = total
+
+    def _run(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and where each text's begin."""
+        low = A.LOWER[buf]
+        for k in np.unique(A.owners(offsets, np.flatnonzero(buf == 60))).tolist():
+            # Case matters to special tokens, which the library looks for in the text as it is.
+            low[offsets[k] : offsets[k + 1]] = buf[offsets[k] : offsets[k + 1]]
+        starts, ends, first = self._spans(low, offsets)
+        hashes, lead, place = np.unique(A.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self.memo) > MEMO:
+            self._forget()
+        get = self.memo.get
+        entry = [get(h, -1) for h in hashes.tolist()]
+        index = np.array(entry, np.int64)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            raw, s, e = low.tobytes(), starts[lead[new]].tolist(), ends[lead[new]].tolist()
+            size = len(self.memo)
+            self._add(hashes[new].tolist(), self._learn([raw[i:j].decode() for i, j in zip(s, e)]))
+            index[new] = np.arange(size, size + len(new))
+        word = index[place]
+        sizes = self.begin[word + 1] - self.begin[word]
+        done = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(int(done[-1])) + np.repeat(self.begin[word] - done[:-1], sizes)
+        return self.flat[at], done[first]
+
+    def ids(self, texts: Sequence[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.wordwise:
-            return [np.frombuffer(self._plain(t), "<u4") for t in texts]
-        out: list[list[bytes]] = []
-        run: list[str] = []
-        owner: list[int] = []
-        held = 0
-
-        def flush() -> None:
-            for k, x in zip(owner, self._encode(run)):
-                out[k].append(x)
-            run.clear(), owner.clear()
-
-        for k, text in enumerate(texts):
-            out.append([])
-            for part in _parts(text):
-                run.append(part), owner.append(k)
-                held += len(part)
-                if held >= RUN_CHARS:
-                    flush()
-                    held = 0
-        flush()
-        return [np.frombuffer(x[0] if len(x) == 1 else b"".join(x), "<u4") for x in out]
-
-
-def _parts(text: str) -> list[str]:
-    """The text cut at blanks into parts of RUN_CHARS or little more; nearly always the text itself."""
-    out, at = [], 0
-    while len(text) - at > 2 * RUN_CHARS:
-        end = text.find(" ", at + RUN_CHARS)
-        if end < 0:
-            break
-        out.append(text[at:end])
-        at = end + 1
-    return [*out, text[at:] if at else text]
+            return [np.frombuffer(self._plain(t), "<u4") for t in column.to_pylist()]
+        buf, offsets = A.text_bytes(column)
+        out: list[np.ndarray] = []
+        for i, j in A.runs(offsets):
+            ids, begin = self._run(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            out.extend(ids[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist()))
+        return out

@@ -50,7 +50,7 @@ def _tokenize(path: str, end_id: int, vocabulary: int):
             _encoders[path] = WordEncoder(path)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [x.astype(kind).tobytes() + end for x in _encoders[path].ids(batch.column("text").to_pylist())]
+            ids = [x.astype(kind).tobytes() + end for x in _encoders[path].ids(batch.column("text"))]
             sizes = pa.array([len(x) // len(end) for x in ids], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
         lean()
