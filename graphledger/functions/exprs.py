@@ -23,6 +23,15 @@ def stable_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 24)
 
 
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON of the fields by name, without blanks and in ASCII alone; missing values are null."""
+    raw = F.to_json(F.struct(*(fields[n].alias(n) for n in sorted(fields))), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})
+    # Escapes are wanted in lower case; a \\u that itself is escaped is none.
+    parts = F.split(raw, r"(?<=(?<!\\)(?:\\\\){0,99}\\u)")
+    lower = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substr(p, F.lit(5)))))
+    return F.replace(F.array_join(lower, ""), F.lit("\x7f"), F.lit("\\u007f"))
+
+
 def urn_part(value: Column) -> Column:
     """Percent-encodes a trimmed identity field, leaving no character safe but unreserved ones; null if blank."""
     trimmed = F.trim(value)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import is_test_path, strict_path
+from graphledger.operators.graph import Graph
+
+# Fixed values that results depend on: parts of a qualifier that move with the source and do not tell facts apart.
+VOLATILE = ("source_line", "source_excerpt", "line", "line_start", "line_end", "col", "column")
 
 
 def row_diff(base: DataFrame, head: DataFrame, *key: str) -> DataFrame:
@@ -15,6 +19,31 @@ def row_diff(base: DataFrame, head: DataFrame, *key: str) -> DataFrame:
     return removed.unionByName(h.join(b, [*key], "left_anti").withColumn("change", F.lit("added")))
 
 
+def natural_key() -> Column:
+    """What a fact is, whatever its id and place: subject, object and the lasting parts of its qualifier, sorted."""
+    parts = F.from_json(F.coalesce("qualifier", F.lit("{}")), "map<string,string>")
+    lasting = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(parts, lambda k, _: ~k.isin(*VOLATILE)))))
+    return F.concat_ws("|", F.coalesce("subject_id", F.lit("")), F.coalesce("object_id", F.lit("")), F.to_json(lasting))
+
+
+def snapshot_diff(base: Graph, head: Graph) -> DataFrame:
+    """What one snapshot has and the other lacks: section entity or fact, name (kind or predicate), change, key (URN or natural key).
+
+    Entities are told apart by URN alone, so changed attributes, lines and ids are no change. Duplicates count once.
+    """
+    entities = [g.entities.groupBy(F.col("urn").alias("key")).agg(F.first("kind").alias("name")).withColumn("section", F.lit("entity")) for g in (base, head)]
+    facts = [g.facts.select(F.col("predicate").alias("name"), natural_key().alias("key")).distinct().withColumn("section", F.lit("fact")) for g in (base, head)]
+    wanted = ["section", "name", "change", "key"]
+    return row_diff(*entities, "key").select(*wanted).unionByName(row_diff(*facts, "name", "key").select(*wanted))
+
+
+def one_tenant(base: Graph, head: Graph) -> None:
+    """Fails if the snapshots belong to different tenants; tables without one fit each other only."""
+    found = [sorted(str(r[0]) for r in g.entities.select("tenant_id").distinct().limit(2).collect()) for g in (base, head)]
+    if found[0] != found[1]:
+        raise ValueError(f"snapshots of different tenants: {found[0]} and {found[1]}")
+
+
 def diff_counts(base: DataFrame, head: DataFrame, *key: str) -> DataFrame:
     """One row: removed, added, common."""
     b = base.select(*key).distinct().withColumn("b", F.lit(1))

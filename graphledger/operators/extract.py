@@ -29,21 +29,21 @@ HTTP_METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
 ROUTERS = ("fastapi.FastAPI", "fastapi.APIRouter", "flask.Flask", "flask.Blueprint")
 IGNORED_FOLDERS = (".git", ".idea", ".ipynb_checkpoints", ".mypy_cache", ".next", ".pytest_cache", ".ruff_cache", ".turbo", ".vercel", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules")
 
-FINDING = "repo string, path string, tag string, predicate string, kind string, subject string, object string, detail string, line int"
+FINDING = "repo string, path string, tag string, predicate string, kind string, subject string, object string, detail string, line int, end_line int, place int"
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript", ".cs": "dotnet", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby"}
 #: Languages whose parsers need programs that are not part of this package.
 NEEDS_PARSER = {"typescript": "typescript_parser_unavailable", "dotnet": "csharp_parser_unavailable"}
 
-Finding = tuple[str, str, str, str, str, str | None, int]
+Finding = tuple[str, str, str, str, str, str | None, int, int]
 Adapter = Callable[[str, str], Iterator[Finding]]
 
 
-def _fact(predicate: str, kind: str, subject: str, obj: str, line: int, detail: str | None = None) -> Finding:
-    return "fact", predicate, kind, subject, obj, detail, line
+def _fact(predicate: str, kind: str, subject: str, obj: str, line: int, detail: str | None = None, end: int | None = None) -> Finding:
+    return "fact", predicate, kind, subject, obj, detail, line, line if end is None else end
 
 
 def _gap(reason: str) -> Finding:
-    return "coverage", "", "", "", reason, None, 0
+    return "coverage", "", "", "", reason, None, 0, 0
 
 
 _ASSIGNMENT = re.compile(r"\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=(.*)")
@@ -146,7 +146,7 @@ def python(path: str, text: str) -> Iterator[Finding]:
         yield _gap("python_parse_error")
         return
     module = re.sub(r"(/__init__)?\.py$", "", path).replace("/", ".")
-    yield _fact("DEFINED_IN", "CodeModule", module, "", 1)
+    yield _fact("DEFINED_IN", "CodeModule", module, "", 1, None, max(1, len(text.splitlines())))
     names: dict[str, str] = {}
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
@@ -170,8 +170,8 @@ def python(path: str, text: str) -> Iterator[Finding]:
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 own = f"{owner}.{node.name}"
-                kind = "class" if isinstance(node, ast.ClassDef) else "method" if inside else "function"
-                yield _fact("DEFINED_IN", "CodeSymbol", own, module, node.lineno, kind)
+                kind = "class" if isinstance(node, ast.ClassDef) else "method" if inside else "async_function" if isinstance(node, ast.AsyncFunctionDef) else "function"
+                yield _fact("DEFINED_IN", "CodeSymbol", own, module, node.lineno, kind, node.end_lineno)
                 for base in getattr(node, "bases", ()):
                     if name := _dotted(base):
                         yield _fact("IMPLEMENTS", "CodeSymbol", own, _meant(names, name), node.lineno)
@@ -307,8 +307,8 @@ def findings_of(path: str, text: str | None) -> list[Finding]:
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split(" ")[0] for c in FINDING.split(", ")]
     for frame in batches:
-        rows = [(repo, path, *finding) for repo, path, text in zip(frame["repo"], frame["path"], frame["content"]) for finding in findings_of(path, text)]
-        yield pd.DataFrame(rows, columns=["repo", "path", "tag", "predicate", "kind", "subject", "object", "detail", "line"])[names]
+        rows = [(repo, path, *finding, place) for repo, path, text in zip(frame["repo"], frame["path"], frame["content"]) for place, finding in enumerate(findings_of(path, text))]
+        yield pd.DataFrame(rows, columns=names)
 
 
 def extract(files: DataFrame) -> DataFrame:

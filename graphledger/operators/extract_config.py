@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-Finding = tuple[str, str, str, str, str, str | None, int]
+Finding = tuple[str, str, str, str, str, str | None, int, int]
 
 # Fixed values that results depend on.
 WORKLOADS = ("Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job", "CronJob", "Pod")
@@ -22,11 +22,11 @@ DOMAIN = re.compile(r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}")
 
 
 def _fact(predicate: str, kind: str, subject: str, obj: str, line: int, detail: str | None = None) -> Finding:
-    return "fact", predicate, kind, subject, obj, detail, line
+    return "fact", predicate, kind, subject, obj, detail, line, line
 
 
 def _gap(reason: str) -> Finding:
-    return "coverage", "", "", "", reason, None, 0
+    return "coverage", "", "", "", reason, None, 0, 0
 
 
 def _line(text: str, needle: str) -> int:

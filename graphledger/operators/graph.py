@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import canonical, display
@@ -65,9 +65,9 @@ class Graph:
 
 
 def first_wins(frame: DataFrame, key: str) -> DataFrame:
-    """One row for each key, the first by input order."""
-    place = Window.partitionBy(key).orderBy("ord")
-    return frame.withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
+    """One row for each key, the first by input order; rows of a hot key are reduced before they are exchanged."""
+    first = F.min_by(F.struct(*(F.col(c) for c in frame.columns if c != key)), F.struct("ord"))
+    return frame.groupBy(key).agg(first.alias("first_")).select(key, "first_.*").select(*frame.columns)
 
 
 def summary(graph: Graph) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphledger.sources.session import shared_top
-
 from graphledger.operators.graph import Graph
+from graphledger.sources.session import settled
 
 #: (predicate, subject kind, object kind) that a dependency path may use.
 PATH_EDGES = [
@@ -25,25 +22,17 @@ PATH_EDGES = [
 ]
 
 
-def _cut(frame: DataFrame) -> DataFrame:
-    """A loop's state without its history: a table in the shared folder that the session names."""
-    spark = frame.sparkSession
-    path = f"{shared_top(spark)}/graphledger-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Least number of hops from any root to each node, up to depth: node, depth. edges: src, dst; roots: root_id."""
-    seen = _cut(roots.select(F.col("root_id").alias("node"), F.lit(0).alias("depth")).distinct())
+    seen = settled(roots.select(F.col("root_id").alias("node"), F.lit(0).alias("depth")).distinct())
     front = seen
     links = edges.select("src", "dst").distinct()
     for hop in range(1, depth + 1):
         ahead = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct()
-        front = _cut(ahead.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)))
+        front = settled(ahead.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = settled(seen.unionByName(front))
     return seen
 
 
@@ -95,12 +84,12 @@ def dependency_paths(edges: DataFrame, source: str, target: str, max_depth: int
     goal = spark.createDataFrame([(target,)], "root_id string")
     back = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     left = reach(back, goal, max_depth).select(F.col("node").alias("n"), F.col("depth").alias("left"))
-    step = _cut(step.join(left, step.dst == left.n).select("src", "dst", "left"))
+    step = settled(step.join(left, step.dst == left.n).select("src", "dst", "left"))
     front = spark.createDataFrame([([source],)], "nodes array<string>")
     done = None
     for hop in range(1, max_depth + 1):
         ahead = front.join(step, (F.element_at("nodes", -1) == F.col("src")) & (F.col("left") <= max_depth - hop)).where(~F.array_contains("nodes", F.col("dst")))
-        ahead = _cut(ahead.select(F.concat("nodes", F.array("dst")).alias("nodes")))
+        ahead = settled(ahead.select(F.concat("nodes", F.array("dst")).alias("nodes")))
         arrived = ahead.where(F.element_at("nodes", -1) == target)
         done = arrived if done is None else done.unionByName(arrived)
         front = ahead.where(F.element_at("nodes", -1) != target)
@@ -122,14 +111,14 @@ def import_consumer_leads(graph: Graph, module: str, names: list[str], limit: in
 
 def transitive_members(bases: DataFrame, members: DataFrame) -> DataFrame:
     """Members of classes and of all their bases, however far: class_id, member. bases: class_id, base_id; members: class_id, member."""
-    pairs = _cut(members.select(F.col("class_id").alias("own"), F.col("class_id").alias("at")).union(bases.select("class_id", "class_id")).distinct())
+    pairs = settled(members.select(F.col("class_id").alias("own"), F.col("class_id").alias("at")).union(bases.select("class_id", "class_id")).distinct())
     front = pairs
     while True:  # each pair is in front once, so cycles end too
         ahead = front.join(bases, front["at"] == bases.class_id).select("own", F.col("base_id").alias("at")).distinct()
-        front = _cut(ahead.join(pairs, ["own", "at"], "left_anti"))
+        front = settled(ahead.join(pairs, ["own", "at"], "left_anti"))
         if front.isEmpty():
             break
-        pairs = _cut(pairs.unionByName(front))
+        pairs = settled(pairs.unionByName(front))
     return pairs.join(members, pairs["at"] == members.class_id).select(F.col("own").alias("class_id"), "member").distinct()
 
 

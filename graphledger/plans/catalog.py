@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions import exprs
-from graphledger.operators import calls, diff, extract, graph, imports, linker, metrics, reconcile, review, surfaces, traverse
+from graphledger.operators import build, calls, diff, extract, graph, imports, linker, metrics, reconcile, review, surfaces, traverse
 from graphledger.plans.projections import call_graph, event_graph, frame, import_graph, page_graph, with_oracle
+from graphledger.sources import store
+from graphledger.sources.session import shared_top
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -763,3 +766,58 @@ UNION ALL SELECT 'correctness', CASE correctness WHEN 'draw' THEN 'unknown' ELSE
 def rubric_wins(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("CASE user_id % 4 WHEN 0 THEN 'mcp_on' WHEN 1 THEN 'mcp_off' WHEN 2 THEN 'tie' END AS evidence", "CASE event_type WHEN 'click' THEN 'tie' WHEN 'view' THEN 'draw' ELSE 'mcp_on' END AS correctness")
     return review.rubric_wins(rows, ["evidence", "correctness"])
+
+
+#: Source files of a small repository: every supplier's module uses that of a nation's number, if there is one.
+SOURCE = """concat('import os\\nimport requests\\nfrom src.m', s_nationkey, ' import f', s_nationkey, '\\n\\nclass C', s_suppkey, ':\\n    def run(self):\\n        return f', s_nationkey, '(os.getenv(\"KEY_', s_nationkey, '\"))\\n\\ndef f', s_suppkey, '():\\n    return C', s_suppkey, '()\\n')"""
+
+
+def _stored(spark, sf) -> graph.Graph:
+    """Extracts, builds, publishes and reads the graph of the suppliers' files."""
+    files = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("'r' AS repo", "concat('src/m', s_suppkey, '.py') AS path", f"{SOURCE} AS content")
+    repos = spark.createDataFrame([("r", "acme", "c0ffee")], "repo string, owner string, commit_sha string")
+    path = f"{shared_top(spark)}/graphledger-{uuid.uuid4().hex}"
+    store.publish(spark, build.build(files, repos), path)
+    return store.read_graph(spark, path)
+
+
+@query("g01_stored_edges", """
+WITH f AS (SELECT s_suppkey AS k, s_nationkey AS n, s_nationkey IN (SELECT s_suppkey FROM supplier) AS inside FROM supplier)
+SELECT 'DEFINED_IN' AS predicate, concat('src.m', k) AS subject, 'r' AS object FROM f
+UNION ALL SELECT 'IMPLEMENTS', concat('src.m', k), 'r' FROM f
+UNION ALL SELECT 'DEFINED_IN', concat('src.m', k, '.', s), concat('src.m', k) FROM (SELECT k, unnest([concat('C', k), concat('C', k, '.run'), concat('f', k)]) AS s FROM f)
+UNION ALL SELECT 'IMPORTS', concat('src.m', k), unnest(['os', 'requests', CASE WHEN inside THEN concat('src.m', n) ELSE 'src' END]) FROM f
+UNION ALL SELECT 'CALLS', concat('src.m', k, '.C', k, '.run'), unnest(['os', CASE WHEN inside THEN concat('src.m', n, '.f', n) ELSE 'src' END]) FROM f
+UNION ALL SELECT 'REFERENCES_ENV_VAR', concat('src.m', k, '.C', k, '.run'), concat('KEY_', n) FROM f
+UNION ALL SELECT 'CALLS', concat('src.m', k, '.f', k), concat('src.m', k, '.C', k) FROM f""")
+def stored_edges(spark, sf):
+    return _stored(spark, sf).edges().selectExpr("predicate", "s_display AS subject", "o_display AS object")
+
+
+@query("g02_stored_symbols", """
+WITH s AS (SELECT s_suppkey AS k, unnest([struct_pack(q := concat('C', s_suppkey), t := 'class', l := 5, e := 7), struct_pack(q := concat('C', s_suppkey, '.run'), t := 'method', l := 6, e := 7), struct_pack(q := concat('f', s_suppkey), t := 'function', l := 9, e := 10)]) AS x FROM supplier)
+SELECT concat('graph://code-symbol/default/r/src.m', k, '/', x.q, '/', x.t) AS urn, concat('src/m', k, '.py') AS path, x.l AS line, x.e AS end_line,
+  concat('ent_', substr(sha256(concat('CodeSymbol|{"module":"src.m', k, '","qualname":"', x.q, '","repo":"r","symbol_kind":"', x.t, '","tenant_id":"default"}')), 1, 24)) AS entity_id FROM s""")
+def stored_symbols(spark, sf):
+    return _stored(spark, sf).entities.where("kind = 'CodeSymbol'").select("urn", "path", "line", "end_line", "entity_id")
+
+
+SNAPSHOT = """
+WITH base AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS line FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), head AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS line FROM orders WHERE o_orderkey % 2 <> 0 GROUP BY ALL)"""
+
+
+@query("d01_snapshot_diff", SNAPSHOT + """
+, b AS (SELECT DISTINCT o_custkey, o_orderstatus FROM base), h AS (SELECT DISTINCT o_custkey, o_orderstatus FROM head)
+SELECT 'entity' AS section, 'CodeModule' AS name, 'removed' AS change, concat('urn:', o_custkey) AS key FROM (SELECT o_custkey FROM b EXCEPT SELECT o_custkey FROM h)
+UNION ALL SELECT 'entity', 'CodeModule', 'added', concat('urn:', o_custkey) FROM (SELECT o_custkey FROM h EXCEPT SELECT o_custkey FROM b)
+UNION ALL SELECT 'fact', 'CALLS', 'removed', concat('c', o_custkey, '|x|{"category":"', o_orderstatus, '"}') FROM (FROM b EXCEPT FROM h)
+UNION ALL SELECT 'fact', 'CALLS', 'added', concat('c', o_custkey, '|x|{"category":"', o_orderstatus, '"}') FROM (FROM h EXCEPT FROM b)""")
+def snapshot_diff(spark, sf):
+    def side(n: int, line: str) -> graph.Graph:
+        rows = spark.read.parquet(f"{sf}/orders.parquet").where(f"o_orderkey % {n} <> 0")
+        # The lines of a fact differ on both sides and say nothing about what it is.
+        facts = rows.selectExpr("concat('f', o_orderkey) AS fact_id", "'CALLS' AS predicate", "concat('c', o_custkey) AS subject_id", "'x' AS object_id", f"concat('{{\"{line}\":', o_orderkey, ',\"category\":\"', o_orderstatus, '\"}}') AS qualifier", "o_orderkey AS ord")
+        entities = rows.selectExpr("concat('e', o_custkey) AS entity_id", "concat('urn:', o_custkey) AS urn", "'CodeModule' AS kind", "'t' AS tenant_id")
+        return graph.Graph.of(spark, entities, facts)
+
+    return diff.snapshot_diff(side(3, "line"), side(2, "source_line"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -32,3 +33,11 @@ def shared_top(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="graphledger-")
         context.setCheckpointDir(top)
     return top.rstrip("/")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, without its history, and safe when executors are lost."""
+    spark = frame.sparkSession
+    path = f"{shared_top(spark)}/graphledger-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
-from graphledger.operators import extract, graph
+from pyspark.sql import functions as F
+
+from graphledger.functions import exprs
+from graphledger.operators import build, calls, extract, graph
+from graphledger.sources import store
 from graphledger.streaming import ingest
 
 PY = '''
@@ -31,11 +36,11 @@ def view():
 
 
 def facts(path, text):
-    return {(p, s, o) for tag, p, _, s, o, _, _ in extract.findings_of(path, text) if tag == "fact"}
+    return {(p, s, o) for tag, p, _, s, o, *_ in extract.findings_of(path, text) if tag == "fact"}
 
 
 def gaps(path, text):
-    return {o for tag, *_, o, _, _ in extract.findings_of(path, text) if tag == "coverage"}
+    return {o for tag, _, _, _, o, *_ in extract.findings_of(path, text) if tag == "coverage"}
 
 
 def test_python_golden():
@@ -168,3 +173,52 @@ def e(): ...
 """
     routes = [f[4] for f in extract.python("m.py", code) if f[1] == "EXPOSES_ENDPOINT"]
     assert routes == ["GET /a", "POST /v1/b", "PUT /e"]
+
+
+def _python_hash(*parts) -> str:
+    text = "|".join(json.dumps(p, sort_keys=True, separators=(",", ":")) if isinstance(p, dict) else str(p) for p in parts)
+    return hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def test_canonical_json_is_that_of_the_ids(spark):
+    rows = ["plain", "é­\U0001f600", 'q"\\u00E9 \\\\u00C9\\', "tab\t\x01/\x7f", None]
+    frame = spark.createDataFrame([(r,) for r in rows], "v string")
+    got = [r[0] for r in frame.select(exprs.canonical_json({"b": F.col("v"), "a": F.lit(1)})).collect()]
+    assert got == [json.dumps({"a": 1, "b": r}, separators=(",", ":"), sort_keys=True) for r in rows]
+
+
+def test_graph_from_files(spark, tmp_path):
+    other = "from src.m import A, view\nimport requests\n\nasync def go():\n    A()\n    print(requests.get('x'), view())\n"
+    rows = [("r", "src/m.py", PY), ("r", "src/n.py", other), ("r", "src/__init__.py", ""), ("r", ".env", "HOST=é.example.org\nAPI=api.example.com\n"), ("r", "a.go", "x"), ("r", "none.py", None), ("other", "a.py", "x = 1")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    repos = spark.createDataFrame([("r", "acme", "c0ffee"), ("empty", None, None)], "repo string, owner string, commit_sha string")
+    tables = build.build(files, repos)
+    store.publish(spark, tables, f"file://{tmp_path}/graph")
+    g = store.read_graph(spark, f"file://{tmp_path}/graph")
+    edges = {(r["predicate"], r["s_display"], r["o_display"]) for r in g.edges().collect()}
+    assert {("CALLS", "src.n.go", "src.m.A"), ("CALLS", "src.n.go", "src.m.view"), ("CALLS", "src.n.go", "requests"), ("CALLS", "src.n.go", "builtins.print"), ("IMPORTS", "src.n", "src.m"), ("IMPORTS", "src.n", "requests")} <= edges
+    assert {("DEFINED_IN", "src.m.A.f", "src.m"), ("DEFINED_IN", "src.m", "r"), ("IMPLEMENTS", "src.m", "r"), ("IMPLEMENTS", "src.m.A", "src.m.Base"), ("EXPOSES_ENDPOINT", "src.m.view", "GET /a/<int:i>"), ("REFERENCES_DOMAIN", "r", "api.example.com"), ("REFERENCES_ENV_VAR", "r", "HOST")} <= edges
+    assert not any("requests.get" in e for e in edges)
+    entities = {r["urn"]: r for r in g.entities.collect()}
+    identity = {"tenant_id": "default", "repo": "r", "module": "src.n", "qualname": "go", "symbol_kind": "async_function"}
+    go = entities["graph://code-symbol/default/r/src.n/go/async_function"]
+    assert go["entity_id"] == "ent_" + _python_hash("CodeSymbol", identity) and (go["path"], go["line"], go["end_line"]) == ("src/n.py", 4, 6)
+    route = {"tenant_id": "default", "repo": "r", "protocol": "http", "method": "POST", "path": "/a/<int:i>", "host": None}
+    assert entities["graph://endpoint/default/r/http/POST/_/%2Fa%2F%3Cint%3Ai%3E"]["entity_id"] == "ent_" + _python_hash("Endpoint", route)
+    owner = {"tenant_id": "default", "host": "local", "owner": None, "name": "empty"}
+    assert entities[f"graph://repo/{_python_hash(owner)}"]["entity_id"] == "ent_" + _python_hash("Repo", owner)
+    facts = {r["fact_id"]: r for r in g.facts.collect()}
+    assert all(i == "fact_" + _python_hash(r["predicate"], r["subject_id"], r["object_id"], json.loads(r["qualifier"])) for i, r in facts.items())
+    evidence = g.evidence.collect()
+    assert {r["target_id"] for r in evidence} == facts.keys() | {r["fact_id"] for r in tables["support_facts"].collect()}
+    assert {(r["path"], r["reason"]) for r in g.coverage.collect()} == {("a.go", "unsupported_language"), ("none.py", "file_unreadable")}
+    assert [r["qualifier"] for r in tables["support_facts"].collect()] == ['{"family":"swallowed_exception"}']
+    assert {r["name"]: r["n"] for r in build.manifest(tables).collect()}["facts"] == len(facts)
+    found = calls.find_callers(g, "src.m.view")
+    assert [r["caller"] for r in found.collect()] == ["src.n.go"]
+
+
+def test_graph_of_no_files(spark):
+    empty = spark.createDataFrame([], "repo string, path string, content string")
+    tables = build.build(empty, spark.createDataFrame([], "repo string, owner string, commit_sha string"))
+    assert {r["name"]: r["n"] for r in build.manifest(tables).collect()} == dict.fromkeys(tables, 0)
