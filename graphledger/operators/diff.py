@@ -59,6 +59,14 @@ def surviving_referrers(base_edges: DataFrame, head_nodes: DataFrame) -> DataFra
     return rows.groupBy(F.col("dst").alias("removed")).agg(F.count_distinct("src").alias("referrers"))
 
 
+def former_referrers(base_edges: DataFrame, head_edges: DataFrame, head_nodes: DataFrame) -> DataFrame:
+    """The referrers behind surviving_referrers, one by one: removed, referrer, likely_unchanged (no call was added to the referrer)."""
+    gone = base_edges.select(F.col("dst").alias("node")).distinct().join(head_nodes, "node", "left_anti")
+    rows = base_edges.join(gone, base_edges.dst == gone.node, "left_semi").join(head_nodes.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst").distinct()
+    gained = head_edges.select("src", "dst").join(base_edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src").distinct().withColumn("gained", F.lit(True))
+    return rows.join(gained, "src", "left").select(F.col("dst").alias("removed"), F.col("src").alias("referrer"), F.col("gained").isNull().alias("likely_unchanged"))
+
+
 def responsibility_moved(removed: DataFrame, added: DataFrame) -> DataFrame:
     """Targets that lost a caller and won another in the same repository: dst, repo, lost, won. Edges: src, dst, repo (of src).
 

@@ -122,3 +122,32 @@ def transitive_members(bases: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(members, pairs["at"] == members.class_id).select(F.col("own").alias("class_id"), "member").distinct()
 
 
+
+
+def reach_by_root(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """Least number of hops from each root to each node, every root walked for itself: root, node, depth (from 0)."""
+    links = edges.select("src", "dst").distinct()
+    seen = settled(roots.select(F.col("root_id").alias("root"), F.col("root_id").alias("node"), F.lit(0).alias("depth")).distinct())
+    front = seen
+    for hop in range(1, depth + 1):
+        ahead = front.join(links, front.node == links.src).select("root", F.col("dst").alias("node")).distinct()
+        front = settled(ahead.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = settled(seen.unionByName(front))
+    return seen
+
+
+def reverse_impact_by_root(edges: DataFrame, roots: DataFrame, depth: int = 3, bridges: DataFrame | None = None) -> DataFrame:
+    """What leads to each root and where a walk ends: root, node, depth, terminal (null, max_depth_reached or no_callers).
+
+    Callers of a class count as callers of its constructor through bridges (src, dst), as one hop.
+    """
+    links = edges.select("src", "dst")
+    links = (links.unionByName(bridges.select("src", "dst")) if bridges is not None else links).distinct()
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    rows = reach_by_root(back, roots, depth)
+    called = back.select(F.col("src").alias("node")).distinct().withColumn("called", F.lit(True))
+    rows = rows.join(called, "node", "left")
+    terminal = F.when(F.col("called").isNull(), "no_callers").when(F.col("depth") == depth, "max_depth_reached")
+    return rows.where("depth > 0").select("root", "node", "depth", terminal.alias("terminal"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphledger.functions import exprs
-from graphledger.operators import build, calls, diff, extract, graph, imports, linker, metrics, reconcile, review, surfaces, traverse
+from graphledger.operators import build, calls, diff, extract, graph, hypotheses, imports, linker, metrics, reconcile, review, surfaces, traverse
 from graphledger.plans.projections import call_graph, event_graph, frame, import_graph, page_graph, with_oracle
 from graphledger.sources import store
 from graphledger.sources.session import shared_top
@@ -821,3 +821,52 @@ def snapshot_diff(spark, sf):
         return graph.Graph.of(spark, entities, facts)
 
     return diff.snapshot_diff(side(3, "line"), side(2, "source_line"))
+
+
+@query("d03_former_referrers", DIFF + LOST + HEAD + """
+, gone AS (SELECT DISTINCT dst FROM base_edges WHERE dst NOT IN (SELECT node FROM nodes))
+SELECT DISTINCT dst AS removed, src AS referrer, src NOT IN (SELECT src FROM won) AS likely_unchanged FROM base_edges WHERE dst IN (SELECT dst FROM gone) AND src IN (SELECT node FROM nodes)""")
+def former_referrers(spark, sf):
+    base, head = _sides(spark, sf)
+    return diff.former_referrers(base, head, _nodes(head))
+
+
+@query("q05_reverse_impact_by_root", CALLS.replace("WITH ", "WITH RECURSIVE ", 1) + """
+, roots AS (SELECT entity_id AS root FROM symbols ORDER BY ord LIMIT 3),
+walk AS (SELECT root, root AS node, 0 AS depth FROM roots UNION SELECT root, src, depth + 1 FROM walk JOIN call_edges ON node = dst WHERE depth < 2),
+least AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL)
+SELECT root, node, depth, CASE WHEN node NOT IN (SELECT dst FROM call_edges) THEN 'no_callers' WHEN depth = 2 THEN 'max_depth_reached' END AS terminal FROM least WHERE depth > 0""")
+def reverse_impact_by_root(spark, sf):
+    g = call_graph(spark, sf)
+    roots = g.entities.orderBy("ord").limit(3).select(F.col("entity_id").alias("root_id"))
+    return traverse.reverse_impact_by_root(traverse.call_edges(g), roots, depth=2)
+
+
+@query("h01_review_hypotheses", """
+WITH l AS (SELECT l_orderkey AS review, l_linenumber AS k, l_suppkey AS s, l_returnflag AS r, l_partkey AS p FROM lineitem),
+f AS (SELECT review, count(*) FILTER (k = 1) AS tests, count(*) FILTER (k <= 2) AS tests_or_configs, count(*) FILTER (k = 3) AS styles FROM l GROUP BY 1),
+y AS (SELECT review, 'f' || s % 5 AS name FROM l WHERE k IN (2, 4)), ys AS (SELECT review, count(*) AS symbols FROM y GROUP BY 1), names AS (SELECT DISTINCT review, name FROM y),
+e AS (SELECT review, 'f' || s % 5 AS subject, r = 'R' AS destroys FROM l WHERE k IN (3, 5)),
+es AS (SELECT review, count(*) AS edges, count(*) FILTER ((review, subject) IN (SELECT (review, name) FROM names)) AS code_edges, count(*) FILTER (destroys AND (review, subject) IN (SELECT (review, name) FROM names)) AS destructive FROM e GROUP BY 1),
+g AS (SELECT review, count(*) AS swallowed FROM l WHERE p % 4 = 0 AND k <= 5 GROUP BY 1), c AS (SELECT review, count(*) AS runtime FROM l WHERE p % 11 = 0 GROUP BY 1),
+a AS (SELECT review, review % 7 = 0 AS low, coalesce(tests, 0) AS tests, coalesce(tests_or_configs, 0) AS tests_or_configs, coalesce(styles, 0) AS styles, coalesce(symbols, 0) AS symbols, coalesce(edges, 0) AS edges, coalesce(code_edges, 0) AS code_edges, coalesce(destructive, 0) AS destructive, coalesce(swallowed, 0) AS swallowed, coalesce(runtime, 0) AS runtime
+  FROM (SELECT o_orderkey AS review FROM orders) LEFT JOIN f USING (review) LEFT JOIN ys USING (review) LEFT JOIN es USING (review) LEFT JOIN g USING (review) LEFT JOIN c USING (review)),
+h AS (SELECT review, 'direct_call_contract_drift' AS risk_type, 'low' AS specificity, CASE WHEN runtime > 0 THEN 'strong' ELSE 'medium' END AS confidence, edges AS leads FROM a WHERE NOT low AND symbols > 0 AND edges > 0
+  UNION ALL SELECT review, 'runtime_endpoint_or_event_contract_drift', 'low', CASE WHEN symbols > 0 THEN 'medium' ELSE 'weak' END, symbols FROM a WHERE NOT low AND runtime > 0
+  UNION ALL SELECT review, 'test_or_config_masks_runtime_change', 'low', 'weak', symbols FROM a WHERE NOT low AND tests_or_configs > 0 AND symbols + edges > 0
+  UNION ALL SELECT review, 'test_locks_in_regression', 'low', 'weak', symbols + code_edges FROM a WHERE NOT low AND tests > 0 AND code_edges > 0
+  UNION ALL SELECT review, 'destructive_mutation_test_gap', 'medium', CASE WHEN symbols > 0 THEN 'medium' ELSE 'weak' END, destructive FROM a WHERE NOT low AND destructive > 0 AND tests = 0
+  UNION ALL SELECT review, 'swallowed_exception_state_drift', 'high', CASE WHEN symbols > 0 AND edges > 0 THEN 'medium' ELSE 'weak' END, swallowed FROM a WHERE NOT low AND swallowed > 0
+  UNION ALL SELECT review, 'low_coverage_stylesheet_gap', 'low', 'weak', symbols FROM a WHERE low AND styles > 0)
+SELECT review, risk_type, specificity, confidence, leads, row_number() OVER (PARTITION BY review ORDER BY CASE specificity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, leads DESC, CASE confidence WHEN 'strong' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, risk_type)::INTEGER AS place FROM h QUALIFY place <= 5""")
+def review_hypotheses(spark, sf):
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS review", "l_linenumber AS k", "l_suppkey % 5 AS s", "l_returnflag AS r", "l_partkey AS p")
+    reviews = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS review", "o_orderkey % 7 = 0 AS low_coverage")
+    path = "CASE k WHEN 1 THEN 'tests/a.py' WHEN 2 THEN 'conf/a.yaml' WHEN 3 THEN 'a.css' WHEN 4 THEN 'src/a.py' WHEN 5 THEN 'src/b.py' ELSE 'src/c.py' END"
+    files = l.selectExpr("review", f"{path} AS path")
+    symbols = l.where("k IN (2, 4)").selectExpr("review", "concat('m.f', s) AS symbol", "'src/m.py' AS path")
+    edges = l.where("k IN (3, 5)").selectExpr("review", "'callee' AS side", "concat('m.f', s) AS subject", "'db.q' AS object", "CASE WHEN r = 'R' THEN 'db.q.deleteMany' ELSE 'db.q.find' END AS call")
+    # Signals lie on changed files; those of the sixth line and later do not.
+    signals = l.where("p % 4 = 0").selectExpr("review", "'swallowed_exception' AS family", "'x' AS symbol", f"CASE WHEN k > 5 THEN 'other.py' ELSE concat('./', {path}) END AS path")
+    sections = l.where("p % 11 = 0").selectExpr("review", "'endpoints' AS section", "1 AS n")
+    return hypotheses.hypotheses(reviews, files, symbols, edges, signals, sections)

@@ -265,3 +265,25 @@ def test_moves_stay_in_a_repository(spark):
     edges = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, repo string")
     moved = diff.responsibility_moved(edges(("x", "z", "r1"), ("v", "w", "r1")), edges(("y", "z", "r1"), ("u", "w", "r2")))
     assert [tuple(r) for r in moved.select("dst", "repo", "lost", "won").collect()] == [("z", "r1", 1, 1)]
+
+
+def test_snapshot_diff_ignores_places_and_ids(spark):
+    side = lambda i, line, *more: graph.Graph.of(
+        spark,
+        spark.createDataFrame([(f"e{i}", "urn:a", "Repo", "t"), (f"f{i}", f"urn:{i}", "Domain", "t")], "entity_id string, urn string, kind string, tenant_id string"),
+        spark.createDataFrame([(f"x{i}", "CALLS", "a", "b", f'{{"line":{line},"b":[1],"a":"q"}}'), *more], "fact_id string, predicate string, subject_id string, object_id string, qualifier string"),
+    )
+    base, head = side(1, 5), side(2, 9, ("y", "CALLS", "a", "b", None))
+    rows = {(r["section"], r["name"], r["change"], r["key"]) for r in diff.snapshot_diff(base, head).collect()}
+    assert rows == {("entity", "Domain", "removed", "urn:1"), ("entity", "Domain", "added", "urn:2"), ("fact", "CALLS", "added", "a|b|{}")}
+    diff.one_tenant(base, head)
+    with pytest.raises(ValueError):
+        diff.one_tenant(base, graph.Graph.of(spark, base.entities.withColumn("tenant_id", F.lit("u")), base.facts))
+
+
+def test_impact_of_each_root_and_bridges(spark):
+    edges = spark.createDataFrame([("x", "A"), ("y", "x"), ("z", "y"), ("A", "x")], "src string, dst string")
+    roots = spark.createDataFrame([("i",), ("x",)], "root_id string")
+    bridges = spark.createDataFrame([("A", "i")], "src string, dst string")
+    got = {tuple(r) for r in traverse.reverse_impact_by_root(edges, roots, 2, bridges).collect()}
+    assert got == {("i", "A", 1, None), ("i", "x", 2, "max_depth_reached"), ("x", "y", 1, None), ("x", "A", 1, None), ("x", "z", 2, "no_callers")}
