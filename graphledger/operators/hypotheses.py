@@ -93,7 +93,7 @@ def _signal_counts(signals: DataFrame, symbols: DataFrame, files: DataFrame) ->
 
 
 def hypotheses(reviews: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, signals: DataFrame, sections: DataFrame) -> DataFrame:
-    """review, risk_type, specificity, confidence, leads and place, at most five a review.
+    """review, risk_type, specificity, confidence, leads (all of them) and place, at most five a review.
 
     Order is by specificity, leads, confidence and name. A review with low coverage has the stylesheet family alone.
     Nulls count as absent; a review without inputs has no row.
@@ -130,7 +130,7 @@ def hypotheses(reviews: DataFrame, files: DataFrame, symbols: DataFrame, edges:
     families = [(name, specificity, ~F.col("low") & trigger, confidence, leads) for name, specificity, trigger, confidence, leads in families]
     families.append(("low_coverage_stylesheet_gap", "low", F.col("low") & (n("styles") > 0), F.lit("weak"), n("symbols")))
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    one = lambda name, specificity, trigger, confidence, leads: F.when(trigger, F.struct(F.lit(name).alias("risk_type"), as_column(specificity).alias("specificity"), confidence.alias("confidence"), F.least(leads, F.lit(10)).cast("long").alias("leads")))
+    one = lambda name, specificity, trigger, confidence, leads: F.when(trigger, F.struct(F.lit(name).alias("risk_type"), as_column(specificity).alias("specificity"), confidence.alias("confidence"), leads.cast("long").alias("leads")))
     found = rows.select("review", F.explode(F.array_compact(F.array(*(one(*f) for f in families)))).alias("h")).select("review", "h.*")
     rank = lambda column, ranks: F.element_at(F.create_map(*(F.lit(v) for pair in ranks.items() for v in pair)), F.col(column))
     order = Window.partitionBy("review").orderBy(rank("specificity", SPECIFICITY_RANK), F.desc("leads"), F.desc(rank("confidence", CONFIDENCE_RANK)), "risk_type")  # 13 rows a review at most
