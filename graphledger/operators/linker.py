@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from graphledger.functions.exprs import package_name
 
+#: Names in a chunk, on average at most; two chunks make up to the square of it in rows.
+CHUNK = 256
+
 
 def link_packages(consumers: DataFrame, providers: DataFrame) -> DataFrame:
     """Packages that exactly one other repository provides: repo, package, provider.
@@ -55,17 +58,33 @@ def sole_service(services: DataFrame) -> DataFrame:
     return services.groupBy("repo").agg(F.count_distinct("service").alias("n"), F.min("service").alias("service")).where("n = 1").drop("n")
 
 
+def _alike(rows: DataFrame, name: str, pairs: str) -> DataFrame:
+    """Names grouped by all the pairs lists they have in a namespace: namespace, sets, n, and chunks of the names."""
+    each = rows.groupBy("namespace", name).agg(F.array_sort(F.collect_set(F.array_sort(F.map_entries(pairs)))).alias("sets"))
+    sizes = each.groupBy("namespace", "sets").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
+    dealt = each.join(sizes, ["namespace", "sets"]).withColumn("chunk", F.pmod(F.xxhash64(name), "n"))
+    return dealt.groupBy("namespace", "sets", "chunk").agg(F.collect_list(F.struct(name)).alias(f"{name}s"))
+
+
 def select_workloads(selectors: DataFrame, workloads: DataFrame) -> DataFrame:
     """Workloads whose labels hold all of a selector, in one namespace; an empty selector selects nothing.
 
     selectors: service, namespace, selector (map). workloads: workload,
-    namespace, labels (map). Joined on one pair of each selector, not on the
-    namespace alone.
+    namespace, labels (map). Services with equal selectors and workloads with
+    equal labels are compared once, on one pair of each selector. What fits is
+    dealt out as chunks of names and only then expanded, each pair of names
+    once, so that no pair is shuffled and no key makes a large task.
     """
-    s = selectors.where(F.size("selector") > 0).withColumn("pair", F.get(F.array_sort(F.map_entries("selector")), F.lit(0))).select("service", "namespace", "selector", F.col("pair.key").alias("k"), F.col("pair.value").alias("v"))
-    w = workloads.select("workload", "namespace", "labels", F.explode("labels").alias("k", "v"))
-    rows = s.join(w, ["namespace", "k", "v"])
-    return rows.where(F.forall(F.map_entries("selector"), lambda e: F.try_element_at("labels", e["key"]) == e["value"])).select("service", "workload", "namespace").distinct()
+    # A null value equals nothing; a selector with one selects nothing.
+    known = selectors.where("namespace IS NOT NULL AND size(selector) > 0 AND forall(map_values(selector), v -> v IS NOT NULL)")
+    s = _alike(known, "service", "selector").withColumnRenamed("sets", "s_sets")
+    w = _alike(workloads.where("namespace IS NOT NULL AND size(labels) > 0"), "workload", "labels").withColumnRenamed("sets", "w_sets")
+    wanted = s.select("namespace", "s_sets").distinct().withColumn("selector", F.explode("s_sets")).withColumn("pair", F.get("selector", F.lit(0)))
+    held = w.select("namespace", "w_sets").distinct().withColumn("labels", F.explode("w_sets")).withColumn("pair", F.explode("labels"))
+    fits = wanted.join(held, ["namespace", "pair"]).where(F.forall("selector", lambda e: F.array_contains(F.col("labels"), e))).select("namespace", "s_sets", "w_sets").distinct()
+    chunks = fits.join(s, ["namespace", "s_sets"]).join(w, ["namespace", "w_sets"]).select("namespace", "services", "workloads")
+    spread = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select("namespace", "workloads", F.explode("services").alias("s")).select("namespace", "s", F.explode("workloads").alias("w")).select("s.service", "w.workload", "namespace")
 
 
 def nearest_before(points: DataFrame, marks: DataFrame, key: str) -> DataFrame:

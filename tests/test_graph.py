@@ -176,6 +176,26 @@ def test_selectors_need_all_pairs(spark):
     assert [(r["service"], r["workload"]) for r in linker.select_workloads(s, w).collect()] == [("s", "w")]
 
 
+def test_selectors_in_any_number_and_with_nulls(spark):
+    schema = "string, namespace string, selector map<string,string>"
+    s = spark.createDataFrame([("s", "n", {"a": "1"}), ("s", "n", {"b": "2"}), ("s", "n", {"b": "2"}), ("s", None, {"a": "1"}), ("t", "n", {"a": None}), (None, "n", {"b": "2"})], f"service {schema}")
+    w = spark.createDataFrame([("w", "n", {"b": "2", "a": "1"}), ("w", "n", {"a": "1", "c": None}), ("x", "n", {"a": None}), ("y", None, {"a": "1"}), (None, "n", {"a": "1"}), ("z", "n", None)], "workload string, namespace string, labels map<string,string>")
+    assert sorted((r["service"] or "", r["workload"] or "") for r in linker.select_workloads(s, w).collect()) == [("", "w"), ("s", ""), ("s", "w")]
+
+
+def test_pairs_of_selectors_are_never_shuffled(spark):
+    """Three million pairs, most of them of one key; an exchange sees names and chunks of them alone."""
+    s = spark.range(1000).selectExpr("concat('s', id) AS service", "if(id < 990, 'n', 'm') AS namespace", "map('a', '1') AS selector")
+    w = spark.range(6000).selectExpr("concat('w', id) AS workload", "if(id % 2 = 0, 'n', 'm') AS namespace", "map('a', '1', 'b', cast(id % 2 AS string)) AS labels")
+    got = linker.select_workloads(s, w)
+    got = got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("service", "workload", "namespace").alias("k")).collect()
+    total = 990 * 3000 + 10 * 3000
+    assert sum(r["n"] for r in got) == sum(r["k"] for r in got) == total
+    assert max(r["n"] for r in got) < total * 0.6
+    plan = linker.select_workloads(s, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition") and "Aggregate" not in plan[: plan.index("Repartition")]
+
+
 def test_endpoint_without_method_matches_nothing(spark):
     ends = [{"entity_id": f"e{i}", "kind": "Endpoint", "path": p} for i, p in enumerate(["/a/{id}", "/a/:x", "/a/<y>"])]
     services = [{"entity_id": s, "kind": "Service", "name": s} for s in ("p", "c", "d")]
