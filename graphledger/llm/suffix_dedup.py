@@ -39,6 +39,7 @@ from graphledger.llm.common import bucket_count
 Key = tuple[pa.Scalar, ...]
 KEY_BITS = 38
 NO_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
+UPPER = np.uint64(0xFFFFFFFF00000000)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Estimated documents behind each count class of a context in one block, and the sum from which it is hot.
 CLASS_SIZE = (1, 4, 32, 256)
@@ -60,22 +61,19 @@ def _gram(length: int) -> int:
     return max(4, min(16, length // 3))
 
 
-def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
-    """Where the smallest of every `size` consecutive values stands, the first of equal ones."""
-    out, at, have = values, np.arange(len(values), dtype=np.int32), 1
-
-    def step(by: int) -> None:
-        nonlocal out, at
-        later = out[by:] < out[: len(out) - by]
-        at = np.where(later, at[by:], at[: len(at) - by])
-        out = np.where(later, out[by:], out[: len(out) - by])
+def sliding_argmin(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Where the smallest of every `size` consecutive hashes stands, by their upper halves, the first of equal ones.
 
+    A hash's upper half and its place (under 2**32: a text is shorter) are one
+    number, so each step is one minimum of two arrays.
+    """
+    out, have = (hashes & UPPER) | np.arange(len(hashes), dtype=np.uint64), 1
     while have * 2 <= size:
-        step(have)
+        out = np.minimum(out[have:], out[:-have])
         have *= 2
     if size > have:
-        step(size - have)
-    return at
+        out = np.minimum(out[size - have :], out[: have - size])
+    return (out & ~UPPER).astype(np.int64)
 
 
 def _keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -106,7 +104,7 @@ class Block:
             grams = A.rolling(A._byte_table(0)[buf], gram)
             place = sliding_argmin(grams, length - gram + 1)[at]
             begin = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))))
-            first, last, place = at[begin], at[np.append(begin[1:], len(at)) - 1], place[begin].astype(np.int64)
+            first, last, place = at[begin], at[np.append(begin[1:], len(at)) - 1], place[begin]
             mid = place - left
             sides = []
             for which, has, start, end in ((0, first <= mid, mid, place + gram), (1, last > mid, place, place + gram + right)):
@@ -119,7 +117,8 @@ class Block:
         keys, owner = np.concatenate(self.sides), np.concatenate((self.owner, self.owner))
         real = keys != NO_KEY
         self.held = keys[real], owner[real]
-        self.contexts = np.unique(keys[real])
+        ordered = np.sort(keys[real])  # np.unique would hash them first
+        self.contexts = ordered[A.group_starts(ordered)]
 
 
 def _probe(buckets: int, length: int):

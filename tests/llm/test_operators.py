@@ -101,6 +101,16 @@ def test_suffix_dedup(spark, docs, nothing, hot):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 35, 64])
+def test_smallest_of_consecutive_hashes(size):
+    """By upper halves, whatever the lower ones say; the first of equal ones, so that equal windows have one anchor."""
+    rng = np.random.default_rng(size)
+    hashes = (rng.integers(0, 5, 300, dtype=np.uint64) << np.uint64(62)) | rng.integers(0, 1 << 32, 300, dtype=np.uint64)
+    upper = (hashes >> np.uint64(32)).tolist()
+    want = [min(range(i, i + size), key=upper.__getitem__) for i in range(300 - size + 1)]
+    assert suffix_dedup.sliding_argmin(hashes, size).tolist() == want
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
 def test_two_stage_sorting(letters):
     text = np.random.default_rng(letters).integers(0, letters, 500).astype(np.uint8)
