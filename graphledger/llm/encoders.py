@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from graphledger.llm import arrays as A
 
-#: Pieces that a memo holds at most, but for those of one run of text (under 100 MB).
+#: Pieces that a memo holds at most, but for those of one run of text (under 100 MB). A full one of WordEncoder keeps what came back.
 MEMO = 400_000
 #: Longer pieces are encoded each time they occur.
 LONG = 64
@@ -67,6 +67,74 @@ class PieceCounter:
         return list(chain.from_iterable(self._count(texts[i : i + 256]) for i in range(0, len(texts), 256)))
 
 
+class Memo:
+    """The ids of pieces by the pieces' hashes: an open-addressed table in arrays, asked for many pieces at once."""
+
+    def __init__(self, slots: int = 1 << 15):
+        self.entry, self.key = np.full(slots, -1, np.int32), np.zeros(slots, np.uint64)
+        self.hashes, self.again = np.empty(slots, np.uint64), np.zeros(slots, bool)
+        self.begin, self.flat = np.zeros(slots + 1, np.int64), np.empty(slots, np.uint32)
+        self.n = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        mask = np.int64(len(self.entry) - 1)
+        at = hashes.view(np.int64) & mask
+        out = self.entry[at].astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.key[at] != hashes))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & mask
+            out[open_] = self.entry[at]
+            on = (out[open_] >= 0) & (self.key[at] != hashes[open_])
+            open_, at = open_[on], at[on]
+        self.again[out[out >= 0]] = True
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Adds distinct hashes that are not in it, each with its ids; returns their entries."""
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        return self._add(hashes, sizes, np.frombuffer(b"".join(ids), "<u4"))
+
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        n, used = self.n, int(self.begin[self.n])
+        need, total = n + len(hashes), used + len(ids)
+        if need > len(self.hashes):
+            self.hashes, self.again, self.begin = (np.concatenate((x, np.zeros(need, x.dtype))) for x in (self.hashes, self.again, self.begin))
+        if total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(total, np.uint32)))
+        self.hashes[n:need], self.again[n:need], self.flat[used:total] = hashes, False, ids
+        self.begin[n + 1 : need + 1] = used + np.cumsum(sizes)
+        self.n, first = need, n
+        if 2 * need > len(self.entry):
+            slots = 1 << (2 * need - 1).bit_length()
+            self.entry, self.key, first = np.full(slots, -1, np.int32), np.zeros(slots, np.uint64), 0
+        mine = np.arange(first, need, dtype=np.int32)
+        mask = np.int64(len(self.entry) - 1)
+        at = self.hashes[first:need].view(np.int64) & mask
+        while len(mine):
+            free = self.entry[at] < 0
+            self.entry[at[free]] = mine[free]  # of those that meet in a slot one stays
+            won = self.entry[at] == mine
+            self.key[at[won]] = self.hashes[mine[won]]
+            mine, at = mine[~won], (at[~won] + 1) & mask
+        return np.arange(n, need)
+
+    def shrink(self, limit: int) -> None:
+        """Over the limit, only pieces that were found again since the last time stay, half the limit at most."""
+        if self.n <= limit:
+            return
+        keep = np.flatnonzero(self.again[: self.n])[-(limit // 2) :]
+        sizes = self.begin[keep + 1] - self.begin[keep]
+        at = np.repeat(self.begin[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        hashes, ids = self.hashes[keep], self.flat[at]
+        self.__init__()
+        self._add(hashes, sizes, ids)
+
+
 class WordEncoder:
     """Ids of a tokenizers-library tokenizer whose words end at white space; the library encodes every piece.
 
@@ -139,20 +207,7 @@ class WordEncoder:
                 known.update((p, self._plain(p)) for p in part)
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.flat, self.begin, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-
-    def _add(self, hashes: list[int], ids: list[bytes]) -> None:
-        n, sizes = len(self.memo), np.array([len(x) // 4 for x in ids], np.int64)
-        need, total = n + len(ids) + 1, self.used + int(sizes.sum())
-        if need > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros(need, np.int64)))
-        if total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(total, np.uint32)))
-        self.begin[n : need] = self.used + np.concatenate(([0], np.cumsum(sizes)))
-        self.flat[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
-        self.memo.update(zip(hashes, range(n, need)))
-        self.used = total
+        self.memo = Memo()
 
     def _run(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and where each text's begin."""
@@ -161,23 +216,18 @@ class WordEncoder:
             # Case matters to special tokens, which the library looks for in the text as it is.
             low[offsets[k] : offsets[k + 1]] = buf[offsets[k] : offsets[k + 1]]
         starts, ends, first = self._spans(low, offsets)
-        hashes, lead, place = np.unique(A.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO:
-            self._forget()
-        get = self.memo.get
-        entry = [get(h, -1) for h in hashes.tolist()]
-        index = np.array(entry, np.int64)
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            raw, s, e = low.tobytes(), starts[lead[new]].tolist(), ends[lead[new]].tolist()
-            size = len(self.memo)
-            self._add(hashes[new].tolist(), self._learn([raw[i:j].decode() for i, j in zip(s, e)]))
-            index[new] = np.arange(size, size + len(new))
-        word = index[place]
-        sizes = self.begin[word + 1] - self.begin[word]
+        hashes = A.span_hashes(low, starts, ends)
+        self.memo.shrink(MEMO)
+        word = self.memo.find(hashes)
+        missed = np.flatnonzero(word < 0)
+        if len(missed):
+            new, lead, place = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            raw, s, e = low.tobytes(), starts[missed[lead]].tolist(), ends[missed[lead]].tolist()
+            word[missed] = self.memo.add(new, self._learn([raw[i:j].decode() for i, j in zip(s, e)]))[place]
+        sizes = self.memo.begin[word + 1] - self.memo.begin[word]
         done = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.arange(int(done[-1])) + np.repeat(self.begin[word] - done[:-1], sizes)
-        return self.flat[at], done[first]
+        at = np.arange(int(done[-1])) + np.repeat(self.memo.begin[word] - done[:-1], sizes)
+        return self.memo.flat[at], done[first]
 
     def ids(self, texts: Sequence[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""

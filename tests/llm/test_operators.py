@@ -224,6 +224,39 @@ def test_encoder_equals_the_library_on_all_documents():
         assert ids.tolist() == encoder.model.encode(text, add_special_tokens=False).ids
 
 
+def test_memo_of_pieces():
+    memo = encoders.Memo(slots=8)
+    # Many with the same lower bits, so that slots collide and the table grows.
+    hashes = np.array([(k << 40) | (k % 3) for k in range(500)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+    ids = [np.arange(k, k + k % 4, dtype="<u4").tobytes() for k in range(501)]
+    held = lambda entry: [memo.flat[memo.begin[e] : memo.begin[e + 1]].tobytes() for e in entry.tolist()]
+    assert memo.find(hashes).tolist() == [-1] * 501
+    for i in range(0, 501, 100):
+        assert memo.add(hashes[i : i + 100], ids[i : i + 100]).tolist() == list(range(i, min(i + 100, 501)))
+    assert held(memo.find(hashes[:50])) == ids[:50]
+    memo.shrink(501)
+    assert len(memo) == 501
+    memo.shrink(400)
+    assert held(memo.find(hashes[:50])) == ids[:50] and (memo.find(hashes[50:]) < 0).all()
+    memo.shrink(40)
+    assert len(memo) == 20 and held(memo.find(hashes[30:50])) == ids[30:50]
+
+
+def test_full_memo_keeps_what_comes_back():
+    """The library is asked for frequent words once, however often the memo fills up."""
+    words = WordEncoder(WORDS)
+    asked, learn = Counter(), words._learn
+    words._learn = lambda pieces: asked.update(pieces) or learn(pieces)
+    frequent = [f"often{k}" for k in range(50)]
+    encoders.MEMO, kept = 1000, encoders.MEMO
+    try:
+        found = [words.ids([" ".join([*frequent, *(f"once{n}x{k}" for k in range(300))])])[0] for n in range(20)]
+    finally:
+        encoders.MEMO = kept
+    assert all(asked[w] == 1 for w in frequent) and len(words.memo) <= 1350
+    assert found[19].tolist() == words.model.encode(" ".join([*frequent, *(f"once19x{k}" for k in range(300))]), add_special_tokens=False).ids
+
+
 def test_special_tokens_in_other_cases_are_text():
     words = WordEncoder(WORDS)
     texts = ["<|ENDOFTEXT|> a", "x <|EndOfText|>y Z", "<|endoftext|> <|ENDOFTEXT|> B", "<|StartOfText|>", "<|ENDOF\nTEXT|>"]
